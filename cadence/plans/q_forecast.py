@@ -1 +1,329 @@
-"""Registered queries."""
+"""Registered forecasting queries.
+
+Entity = customer nation on the densified monthly PB panel (and customer for
+the support guard); target = order value, predictor = order count lagged one
+period, growth mode, cut-off 2000-12, horizon 6.  OLS with a trend and one
+driver has a closed form (Cramer's rule), which the DuckDB oracles use;
+elastic net, Bayesian ridge, boosting and importance get rows-only checks and
+property tests in ``tests/``.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from cadence.operators.forecast import features as FE
+from cadence.operators.forecast import pipeline as PL
+from cadence.operators.forecast import project as PR
+from cadence.panel import month_start
+from cadence.plans import sql as S
+from cadence.plans.panels import build_pb, money, read
+from cadence.plans.registry import register, rnd
+
+KEYS = ["c_nationkey"]
+CUT = dt.date(2000, 12, 1)
+CUT_SQL = "DATE '2000-12-01'"
+H = 6
+LAG = 1
+FEATS = FE.feature_names(["order_count"], LAG)
+
+
+def pb_df(spark, sf):
+    return build_pb(spark, sf).df
+
+
+def run(spark, sf, model="ols", mode="growth"):
+    return PL.fit_predict(pb_df(spark, sf), KEYS, "period", "order_value", ["order_count"],
+                          model=model, lag=LAG, horizon=H, mode=mode, cutoff=CUT, freq="month")
+
+
+def frame_sql(src: str = "pb", key: str = "c_nationkey") -> str:
+    return f"""
+fr AS (
+  SELECT {key}, period, order_value AS target_level,
+         (order_value / NULLIF(lag(order_value) OVER w, 0) - 1) * 100 AS target_model,
+         CAST(date_diff('month', MIN(period) OVER (PARTITION BY {key}), period) AS DOUBLE) AS trend,
+         lag(order_count, 1) OVER w AS order_count_lag1
+  FROM {src} WHERE period <= {CUT_SQL}
+  WINDOW w AS (PARTITION BY {key} ORDER BY period)),
+mf AS (SELECT * FROM fr WHERE target_level IS NOT NULL AND target_model IS NOT NULL
+         AND order_count_lag1 IS NOT NULL)"""
+
+
+SPLIT_SQL = S.PB_WIDE + "," + frame_sql() + """,
+kept AS (SELECT * FROM (SELECT *, COUNT(*) OVER (PARTITION BY c_nationkey) AS n FROM mf) WHERE n >= 10),
+ho AS (SELECT *, CASE WHEN tn >= 2 THEN tn ELSE 0 END AS test_n
+       FROM (SELECT *, LEAST(GREATEST(3, CAST(round(n * 0.2) AS BIGINT)), n - 6) AS tn FROM kept)),
+hs AS (SELECT * EXCLUDE (tn), row_number() OVER (PARTITION BY c_nationkey ORDER BY period DESC) <= test_n
+              AS is_test FROM ho)"""
+
+
+def coef_sql(name: str, where: str) -> str:
+    return f"""
+{name}_s AS (SELECT c_nationkey, AVG(trend) AS m1, AVG(order_count_lag1) AS m2, AVG(target_model) AS my,
+              COVAR_POP(trend, trend) AS s11, COVAR_POP(trend, order_count_lag1) AS s12,
+              COVAR_POP(order_count_lag1, order_count_lag1) AS s22,
+              COVAR_POP(trend, target_model) AS s1y, COVAR_POP(order_count_lag1, target_model) AS s2y
+       FROM hs WHERE {where} GROUP BY 1),
+{name}_b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1,
+                       (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM {name}_s),
+{name} AS (SELECT c_nationkey, b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM {name}_b)"""
+
+
+OLS_SQL = SPLIT_SQL + "," + coef_sql("cf", "TRUE") + "," + coef_sql("ct", "test_n > 0 AND NOT is_test") + """,
+ins AS (SELECT hs.*, cf.b0 + cf.b1 * trend + cf.b2 * order_count_lag1 AS predicted_model
+        FROM hs JOIN cf USING (c_nationkey)),
+hol AS (SELECT hs.*, ct.b0 + ct.b1 * trend + ct.b2 * order_count_lag1 AS predicted_model
+        FROM hs JOIN ct USING (c_nationkey) WHERE is_test)"""
+
+
+@register("m01_feature_frame", S.with_(S.PB_WIDE, frame_sql()) + "SELECT * FROM mf")
+def m01_feature_frame(spark, sf):
+    """M1: model frame up to the cut-off: growth target, order count lagged
+    one period, trend, complete cases."""
+    return FE.feature_frame(pb_df(spark, sf), KEYS, "period", "order_value", ["order_count"],
+                            LAG, "growth", CUT, "month")
+
+
+@register("m02_target_modes", S.with_(S.PB_WIDE) + f"""
+SELECT c_nationkey, period, order_value AS target_level,
+       (order_value / NULLIF(lag(order_value) OVER w, 0) - 1) * 100 AS target_growth,
+       order_value - lag(order_value) OVER w AS target_diff
+FROM pb WHERE period <= {CUT_SQL} WINDOW w AS (PARTITION BY c_nationkey ORDER BY period)""")
+def m02_target_modes(spark, sf):
+    """M2: the three target modes side by side (growth %, difference, level)."""
+    from cadence.panel import series_window
+    w = series_window(KEYS, "period")
+    d = pb_df(spark, sf).where(F.col("period") <= F.lit(CUT)).select(
+        *KEYS, "period", F.col("order_value").alias("target_level"))
+    return d.withColumns({"target_growth": FE.target_transform("target_level", "growth", w),
+                          "target_diff": FE.target_transform("target_level", "diff", w)})
+
+
+def customer_panel(spark, sf):
+    o = read(spark, sf, "orders")
+    return o.groupBy("o_custkey", month_start("o_orderdate").alias("period")).agg(
+        F.sum(money("o_totalprice")).cast("double").alias("order_value"),
+        F.count(F.lit(1)).cast("double").alias("order_count"))
+
+
+CUST_SQL = """
+pcu AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
+               CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS order_value,
+               CAST(COUNT(*) AS DOUBLE) AS order_count FROM orders GROUP BY 1, 2)"""
+
+
+@register("m03_support_guard", S.with_(CUST_SQL, frame_sql("pcu", "o_custkey")) + """
+SELECT o_custkey, 'fewer than 10 complete observations' AS reason, COUNT(*) AS n
+FROM mf GROUP BY 1 HAVING COUNT(*) < 10""")
+def m03_support_guard(spark, sf):
+    """M3: per-customer model frames with fewer than max(10, p + 5) complete
+    rows are rejected with their count."""
+    frame = FE.feature_frame(customer_panel(spark, sf), ["o_custkey"], "period", "order_value",
+                             ["order_count"], LAG, "growth", CUT, "month")
+    _, rej = FE.support_split(frame, ["o_custkey"], FE.minimum_support(len(FEATS)))
+    return rej
+
+
+@register("m04_holdout_split", S.with_(SPLIT_SQL) + "SELECT * FROM hs")
+def m04_holdout_split(spark, sf):
+    """M4: temporal hold-out flags (last max(3, round(0.2 n)) rows, capped)."""
+    frame = FE.feature_frame(pb_df(spark, sf), KEYS, "period", "order_value", ["order_count"],
+                             LAG, "growth", CUT, "month")
+    kept, _ = FE.support_split(frame, KEYS, FE.minimum_support(len(FEATS)))
+    return FE.holdout_split(kept, KEYS, "period", len(FEATS))
+
+
+def _z(col: str) -> str:
+    sd = f"STDDEV_POP({col}) OVER ws"
+    return (f"round(({col} - AVG({col}) OVER ws) / CASE WHEN {sd} > 0 THEN {sd} ELSE 1.0 END, 6) "
+            f"+ 0.0 AS z_{col}")
+
+
+@register("m05_standardise", S.with_(SPLIT_SQL, """
+sc AS (SELECT *, 'full' AS scope FROM hs UNION ALL
+       SELECT *, 'train' FROM hs WHERE test_n > 0 AND NOT is_test)""") + f"""
+SELECT c_nationkey, scope, period, {_z('trend')}, {_z('order_count_lag1')}
+FROM sc WINDOW ws AS (PARTITION BY c_nationkey, scope)""")
+def m05_standardise(spark, sf):
+    """M5: features standardised per (entity, fit scope) with population std."""
+    split = run(spark, sf)["frame"]
+    z = FE.standardise(FE.with_scopes(split), KEYS, FEATS)
+    return rnd(z.select(*KEYS, "scope", "period", *[f"z_{f}" for f in FEATS]),
+               [f"z_{f}" for f in FEATS])
+
+
+@register("m06_ols", S.with_(OLS_SQL) + """
+SELECT c_nationkey, period, target_model, round(predicted_model, 4) + 0.0 AS predicted_model FROM ins""")
+def m06_ols(spark, sf):
+    """M6: per-nation OLS (trend + lagged driver) fitted values of the growth
+    target, solved from distributed sufficient statistics."""
+    out = run(spark, sf, "ols")
+    h = out["predictions"].where(F.col("kind") == "history")
+    fr = out["frame"].select(*KEYS, "period", "target_model")
+    return rnd(fr.join(h.select(*KEYS, "period", "predicted_model"), [*KEYS, "period"]),
+               ["predicted_model"], 4)
+
+
+@register("m10_fit_quality", S.with_(OLS_SQL, """
+q AS (SELECT c_nationkey, 'in' AS split, COUNT(*) AS n, SUM((target_model - predicted_model) ** 2) AS ss,
+             VAR_POP(target_model) * COUNT(*) AS st FROM ins GROUP BY 1
+      UNION ALL
+      SELECT c_nationkey, 'ho', COUNT(*), SUM((target_model - predicted_model) ** 2),
+             VAR_POP(target_model) * COUNT(*) FROM hol GROUP BY 1),
+m AS (SELECT c_nationkey, split, n, CASE WHEN n >= 2 AND st > 0 THEN 1 - ss / st END AS r2,
+             sqrt(ss / n) AS rmse FROM q)""") + """
+SELECT c_nationkey,
+       MAX(CASE WHEN split = 'in' THEN n END) AS n,
+       round(MAX(CASE WHEN split = 'in' THEN r2 END), 6) + 0.0 AS r2_in,
+       round(MAX(CASE WHEN split = 'in' THEN rmse END), 6) + 0.0 AS rmse_in,
+       round(MAX(CASE WHEN split = 'ho' THEN r2 END), 6) + 0.0 AS r2_holdout,
+       round(MAX(CASE WHEN split = 'ho' THEN rmse END), 6) + 0.0 AS rmse_holdout,
+       COALESCE(MAX(CASE WHEN split = 'ho' THEN n END), 0) AS n_holdout
+FROM m GROUP BY 1""")
+def m10_fit_quality(spark, sf):
+    """In-sample and hold-out R^2 / RMSE on the transformed target."""
+    m = run(spark, sf, "ols")["metrics"].select(*KEYS, "n", "r2_in", "rmse_in", "r2_holdout",
+                                                "rmse_holdout", "n_holdout")
+    return rnd(m, ["r2_in", "rmse_in", "r2_holdout", "rmse_holdout"])
+
+
+@register("m11_fitted_levels", S.with_(OLS_SQL) + """
+SELECT c_nationkey, period, target_level AS actual,
+       round(lag(target_level) OVER (PARTITION BY c_nationkey ORDER BY period)
+             * (1 + predicted_model / 100.0), 0) + 0.0 AS predicted
+FROM ins""")
+def m11_fitted_levels(spark, sf):
+    """Fitted levels rebuilt from the previous observed level."""
+    h = run(spark, sf, "ols")["predictions"].where(F.col("kind") == "history")
+    return rnd(h.select(*KEYS, "period", "actual", "predicted"), ["predicted"], 0)
+
+
+LINES_SQL = f"""
+tail AS (SELECT c_nationkey, period, order_count AS v FROM (
+           SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY period DESC) AS rn
+           FROM pb WHERE order_count IS NOT NULL AND period <= {CUT_SQL}) WHERE rn <= 10),
+lines AS (SELECT c_nationkey, COUNT(*) AS n,
+                 regr_slope(v, CAST(year(period) * 12 + month(period) - 1 AS DOUBLE)) AS slope,
+                 regr_intercept(v, CAST(year(period) * 12 + month(period) - 1 AS DOUBLE)) AS intercept
+          FROM tail GROUP BY 1 HAVING COUNT(*) >= 2)"""
+
+
+@register("m12_driver_trend", S.with_(S.PB_WIDE, LINES_SQL) + """
+SELECT c_nationkey, n, round(slope, 6) + 0.0 AS slope, round(intercept, 3) + 0.0 AS intercept FROM lines""")
+def m12_driver_trend(spark, sf):
+    """Local driver trend through the last <= 10 points up to the cut-off."""
+    lines, _ = PR.driver_trend(pb_df(spark, sf), KEYS, "period", "order_count", CUT, "month", 10)
+    return rnd(rnd(lines, ["slope"]), ["intercept"], 3)
+
+
+GRID_SQL = f"""
+grid AS (SELECT c_nationkey, CAST(s AS INTEGER) AS step,
+                CAST({CUT_SQL} + to_months(CAST(s AS INTEGER)) AS DATE) AS period,
+                CAST({CUT_SQL} + to_months(CAST(s - {LAG} AS INTEGER)) AS DATE) AS driver_period
+         FROM (SELECT DISTINCT c_nationkey FROM pb), generate_series(1, {H}) AS g(s))"""
+
+
+@register("m13_future_grid", S.with_(S.PB_WIDE, GRID_SQL) + "SELECT * FROM grid")
+def m13_future_grid(spark, sf):
+    """H future periods per entity with the lagged driver period."""
+    return PR.future_grid(pb_df(spark, sf), KEYS, CUT, H, LAG, "month")
+
+
+DRIVER_SQL = LINES_SQL + "," + GRID_SQL + f""",
+drv AS (SELECT g.*, COALESCE(k.order_count, l.slope * CAST(year(g.driver_period) * 12 + month(g.driver_period) - 1 AS DOUBLE)
+                              + l.intercept) AS order_count_lag1
+        FROM grid g JOIN lines l USING (c_nationkey)
+        LEFT JOIN (SELECT c_nationkey, period, order_count FROM pb
+                   WHERE order_count IS NOT NULL AND period <= {CUT_SQL}) k
+          ON k.c_nationkey = g.c_nationkey AND k.period = g.driver_period)"""
+
+
+@register("j07_known_else_trend", S.with_(S.PB_WIDE, DRIVER_SQL) + """
+SELECT c_nationkey, step, period, driver_period, round(order_count_lag1, 4) + 0.0 AS order_count_lag1 FROM drv""")
+def j07_known_else_trend(spark, sf):
+    """Future driver values: observed when known at or before the
+    cut-off, else the local trend line."""
+    pb = pb_df(spark, sf)
+    lines, _ = PR.driver_trend(pb, KEYS, "period", "order_count", CUT, "month", 10)
+    grid = PR.future_grid(pb, KEYS, CUT, H, LAG, "month")
+    d = PR.known_else_trend(grid, pb, lines, KEYS, "period", "order_count", CUT, "month",
+                            out="order_count_lag1")
+    return rnd(d, ["order_count_lag1"], 4)
+
+
+PROJ_SQL = OLS_SQL + "," + DRIVER_SQL + f""",
+t0 AS (SELECT c_nationkey, MIN(year(period) * 12 + month(period) - 1) AS t0 FROM pb
+       WHERE period <= {CUT_SQL} GROUP BY 1),
+last AS (SELECT c_nationkey, arg_max(order_value, period) AS last_level FROM pb
+         WHERE order_value IS NOT NULL AND period <= {CUT_SQL} GROUP BY 1),
+fut AS (SELECT d.c_nationkey, d.step, d.period,
+               cf.b0 + cf.b1 * CAST(year(d.period) * 12 + month(d.period) - 1 - t0.t0 AS DOUBLE)
+                 + cf.b2 * d.order_count_lag1 AS predicted_model
+        FROM drv d JOIN t0 USING (c_nationkey) JOIN cf USING (c_nationkey)
+        WHERE d.c_nationkey IN (SELECT c_nationkey FROM hs)),
+proj AS (SELECT f.*, l.last_level * product(1 + predicted_model / 100.0)
+                  OVER (PARTITION BY f.c_nationkey ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  AS predicted
+         FROM fut f JOIN last l USING (c_nationkey))"""
+
+
+@register("m14_recursive_projection", S.with_(PROJ_SQL) + """
+SELECT c_nationkey, period, round(predicted_model, 4) + 0.0 AS predicted_model,
+       round(predicted, 0) + 0.0 AS predicted FROM proj""")
+def m14_recursive_projection(spark, sf):
+    """Projected growth and levels rebuilt recursively from the last
+    observed level."""
+    p = run(spark, sf, "ols")["predictions"].where(F.col("kind") == "projection")
+    return rnd(rnd(p.select(*KEYS, "period", "predicted_model", "predicted"), ["predicted_model"], 4),
+               ["predicted"], 0)
+
+
+@register("u01_history_projection", S.with_(PROJ_SQL) + """
+SELECT c_nationkey, period, target_level AS actual,
+       round(lag(target_level) OVER (PARTITION BY c_nationkey ORDER BY period)
+             * (1 + predicted_model / 100.0), 0) + 0.0 AS predicted, 'history' AS kind FROM ins
+UNION ALL
+SELECT c_nationkey, period, CAST(NULL AS DOUBLE), round(predicted, 0) + 0.0, 'projection' FROM proj""")
+def u01_history_projection(spark, sf):
+    """History and projection rows appended into one prediction table."""
+    p = run(spark, sf, "ols")["predictions"]
+    return rnd(p.select(*KEYS, "period", "actual", "predicted", "kind"), ["predicted"], 0)
+
+
+@register("m07_elastic_net")
+def m07_elastic_net(spark, sf):
+    """M7: per-nation elastic net, (alpha, l1 ratio) chosen on expanding time
+    folds from block statistics; metrics with the chosen parameters."""
+    return run(spark, sf, "elastic_net")["metrics"]
+
+
+@register("m08_bayesian_ridge")
+def m08_bayesian_ridge(spark, sf):
+    """M8: per-nation Bayesian ridge; metrics with noise / weight precision."""
+    return run(spark, sf, "bayesian_ridge")["metrics"]
+
+
+@register("m09_gbt")
+def m09_gbt(spark, sf):
+    """M9: gradient-boosted trees pooled over nations; fitted and projected
+    levels."""
+    return run(spark, sf, "gbt")["predictions"]
+
+
+@register("m15_importance")
+def m15_importance(spark, sf):
+    """Standardised Bayesian-ridge coefficients with posterior std,
+    ranked by |coefficient| per nation."""
+    coefs = run(spark, sf, "bayesian_ridge")["coefficients"]
+    return PR.importance(coefs, KEYS, FEATS)
+
+
+@register("m16_level_ols")
+def m16_level_ols(spark, sf):
+    """Level OLS with a global trend per driver, raw features, projection
+    after the last model period."""
+    return PL.level_ols(pb_df(spark, sf), KEYS, "period", "order_value", ["order_count"],
+                        lag=LAG, horizon=H, freq="month")["predictions"]
