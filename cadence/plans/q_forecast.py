@@ -19,7 +19,7 @@ from cadence.operators.forecast import pipeline as PL
 from cadence.operators.forecast import project as PR
 from cadence.panel import month_start
 from cadence.plans import sql as S
-from cadence.plans.panels import build_pb, money, read
+from cadence.plans.panels import build_pb, dollars, money, read
 from cadence.plans.registry import register, rnd
 
 KEYS = ["c_nationkey"]
@@ -105,13 +105,13 @@ def m02_target_modes(spark, sf):
 def customer_panel(spark, sf):
     o = read(spark, sf, "orders")
     return o.groupBy("o_custkey", month_start("o_orderdate").alias("period")).agg(
-        F.sum(money("o_totalprice")).cast("double").alias("order_value"),
+        dollars(F.sum(money("o_totalprice"))).alias("order_value"),
         F.count(F.lit(1)).cast("double").alias("order_count"))
 
 
 CUST_SQL = """
 pcu AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
-               CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS order_value,
+               CAST(SUM(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0 AS order_value,
                CAST(COUNT(*) AS DOUBLE) AS order_count FROM orders GROUP BY 1, 2)"""
 
 

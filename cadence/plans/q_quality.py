@@ -14,7 +14,8 @@ from cadence.operators import project as P
 from cadence.operators import quality as Q
 from cadence.panel import to_long
 from cadence.plans import sql as S
-from cadence.plans.panels import PA_METRICS, build_ev, build_pa, build_pb, build_sc, build_tx, read
+from cadence.plans.panels import (PA_METRICS, build_ev, build_pa, build_pb, build_sc, build_tx,
+                                  dollars, money, read)
 from cadence.plans.registry import register
 from cadence.session import scratch_path
 from cadence.sources import files as SRC
@@ -50,12 +51,12 @@ SERIES_CODES = {"order_value": "OV.TOT", "order_count": "OC.TOT"}
 def yearly_nation_long(spark, sf):
     orders = read(spark, sf, "orders")
     per_cust = (orders.groupBy("o_custkey", F.year("o_orderdate").alias("year"))
-                .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"),
+                .agg(F.sum(money("o_totalprice")).alias("v"),
                      F.count(F.lit(1)).alias("c")))
     cust = read(spark, sf, "customer").select("c_custkey", "c_nationkey")
     by_nation = (per_cust.join(cust, per_cust.o_custkey == cust.c_custkey)
                  .groupBy("c_nationkey", "year")
-                 .agg(F.sum("v").cast("double").alias("order_value"),
+                 .agg(dollars(F.sum("v")).alias("order_value"),
                       F.sum("c").cast("double").alias("order_count")))
     nation = read(spark, sf, "nation")
     named = by_nation.join(nation, by_nation.c_nationkey == nation.n_nationkey)
@@ -72,8 +73,8 @@ def _yearly_sql() -> str:
     return """
 yn AS (
   SELECT n_name, n_nationkey, year,
-         CAST(SUM(v) AS DOUBLE) AS order_value, CAST(SUM(c) AS DOUBLE) AS order_count
-  FROM (SELECT o_custkey, year(o_orderdate) AS year, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS v,
+         CAST(SUM(v) AS DOUBLE) / 100.0 AS order_value, CAST(SUM(c) AS DOUBLE) AS order_count
+  FROM (SELECT o_custkey, year(o_orderdate) AS year, SUM(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS v,
                COUNT(*) AS c FROM orders GROUP BY 1, 2) pc
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   GROUP BY 1, 2, 3),

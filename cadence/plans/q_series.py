@@ -195,9 +195,9 @@ def p11_display_scale(spark, sf):
 
 @register("w11_shares", S.with_("""
 sh AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
-              CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total,
-              CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS part_f,
-              CAST(SUM(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS part_o
+              CAST(SUM(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0 AS total,
+              CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) ELSE 0 END) AS DOUBLE) / 100.0 AS part_f,
+              CAST(SUM(CASE WHEN o_orderstatus = 'O' THEN CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) ELSE 0 END) AS DOUBLE) / 100.0 AS part_o
        FROM orders GROUP BY 1, 2),
 c AS (SELECT *, COUNT(*) OVER (PARTITION BY o_orderpriority) AS n FROM sh
       WHERE total IS NOT NULL AND part_f IS NOT NULL AND part_o IS NOT NULL)""") + """
@@ -205,14 +205,14 @@ SELECT o_orderpriority, period, part_f / NULLIF(total, 0) * 100 AS part_f_share,
        part_o / NULLIF(total, 0) * 100 AS part_o_share FROM c WHERE n >= 2""")
 def w11_shares(spark, sf):
     """Composition shares of order value by order status, per priority."""
-    from cadence.plans.panels import money, read
+    from cadence.plans.panels import dollars, money, read
     from cadence.panel import month_start
     o = read(spark, sf, "orders")
     p = money("o_totalprice")
     wide = o.groupBy("o_orderpriority", month_start("o_orderdate").alias("period")).agg(
-        F.sum(p).cast("double").alias("total"),
-        F.sum(F.when(F.col("o_orderstatus") == "F", p).otherwise(F.lit(0))).cast("double").alias("part_f"),
-        F.sum(F.when(F.col("o_orderstatus") == "O", p).otherwise(F.lit(0))).cast("double").alias("part_o"))
+        dollars(F.sum(p)).alias("total"),
+        dollars(F.sum(F.when(F.col("o_orderstatus") == "F", p).otherwise(F.lit(0)))).alias("part_f"),
+        dollars(F.sum(F.when(F.col("o_orderstatus") == "O", p).otherwise(F.lit(0)))).alias("part_o"))
     return T.shares(wide, ["o_orderpriority"], "period", "total", ["part_f", "part_o"])
 
 

@@ -6,18 +6,18 @@ from __future__ import annotations
 PA_WIDE = """
 pa_li AS (
   SELECT l_orderkey,
-         SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS rev,
-         SUM(CAST(l_quantity AS DECIMAL(18,2))) AS qty,
-         SUM(CAST(l_discount AS DECIMAL(18,2))) AS disc,
+         SUM(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) * (100 - CAST(floor(l_discount * 100 + 0.5) AS BIGINT))) AS rev,
+         SUM(CAST(floor(l_quantity * 100 + 0.5) AS BIGINT)) AS qty,
+         SUM(CAST(floor(l_discount * 100 + 0.5) AS BIGINT)) AS disc,
          COUNT(*) AS nl
   FROM lineitem GROUP BY l_orderkey),
 pa AS (
   SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
-         CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS order_value,
+         CAST(SUM(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0 AS order_value,
          CAST(COUNT(*) AS DOUBLE) AS order_count,
-         CAST(SUM(rev) AS DOUBLE) AS line_revenue,
-         CAST(SUM(qty) AS DOUBLE) AS line_qty,
-         CAST(SUM(disc) AS DOUBLE) / NULLIF(CAST(SUM(nl) AS DOUBLE), 0) AS avg_discount
+         CAST(SUM(rev) AS DOUBLE) / 10000.0 AS line_revenue,
+         CAST(SUM(qty) AS DOUBLE) / 100.0 AS line_qty,
+         (CAST(SUM(disc) AS DOUBLE) / 100.0) / NULLIF(CAST(SUM(nl) AS DOUBLE), 0) AS avg_discount
   FROM orders LEFT JOIN pa_li ON o_orderkey = l_orderkey
   GROUP BY 1, 2)"""
 
@@ -38,10 +38,10 @@ PA_LONG = PA_WIDE + ",\n" + long_cte("pa_long", "pa", ["o_orderpriority"], PA_ME
 PB_WIDE = """
 pb_cust AS (
   SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
-         SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS value, COUNT(*) AS cnt
+         SUM(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS value, COUNT(*) AS cnt
   FROM orders GROUP BY 1, 2),
 pb_agg AS (
-  SELECT c_nationkey, period, CAST(SUM(value) AS DOUBLE) AS order_value,
+  SELECT c_nationkey, period, CAST(SUM(value) AS DOUBLE) / 100.0 AS order_value,
          CAST(SUM(cnt) AS DOUBLE) AS order_count
   FROM pb_cust JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 pb_spine AS (
@@ -60,7 +60,7 @@ PC_WIDE = """
 pc AS (
   SELECT event_type, CAST(ts AS DATE) AS period,
          CAST(COUNT(*) AS DOUBLE) AS n,
-         CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_sum,
+         CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0 AS value_sum,
          CAST(COUNT(DISTINCT user_id) AS DOUBLE) AS users
   FROM events GROUP BY 1, 2)"""
 
