@@ -20,7 +20,7 @@ from cadence.operators.forecast import project as PR
 from cadence.panel import month_start
 from cadence.plans import sql as S
 from cadence.plans.panels import build_pb, dollars, money, read
-from cadence.plans.registry import register, rnd
+from cadence.plans.registry import register, rnd, sig
 
 KEYS = ["c_nationkey"]
 CUT = dt.date(2000, 12, 1)
@@ -191,14 +191,13 @@ def m10_fit_quality(spark, sf):
 
 
 @register("m11_fitted_levels", S.with_(OLS_SQL) + """
-SELECT c_nationkey, period, target_level AS actual,
-       round(lag(target_level) OVER (PARTITION BY c_nationkey ORDER BY period)
-             * (1 + predicted_model / 100.0), 0) + 0.0 AS predicted
-FROM ins""")
+SELECT c_nationkey, period, target_level AS actual, """ + S.sig(
+    "lag(target_level) OVER (PARTITION BY c_nationkey ORDER BY period) * (1 + predicted_model / 100.0)")
+    + """ AS predicted FROM ins""")
 def m11_fitted_levels(spark, sf):
     """Fitted levels rebuilt from the previous observed level."""
     h = run(spark, sf, "ols")["predictions"].where(F.col("kind") == "history")
-    return rnd(h.select(*KEYS, "period", "actual", "predicted"), ["predicted"], 0)
+    return sig(h.select(*KEYS, "period", "actual", "predicted"), ["predicted"])
 
 
 LINES_SQL = f"""
@@ -272,25 +271,25 @@ proj AS (SELECT f.*, l.last_level * product(1 + predicted_model / 100.0)
 
 @register("m14_recursive_projection", S.with_(PROJ_SQL) + """
 SELECT c_nationkey, period, round(predicted_model, 4) + 0.0 AS predicted_model,
-       round(predicted, 0) + 0.0 AS predicted FROM proj""")
+       """ + S.sig("predicted") + """ AS predicted FROM proj""")
 def m14_recursive_projection(spark, sf):
     """Projected growth and levels rebuilt recursively from the last
     observed level."""
     p = run(spark, sf, "ols")["predictions"].where(F.col("kind") == "projection")
-    return rnd(rnd(p.select(*KEYS, "period", "predicted_model", "predicted"), ["predicted_model"], 4),
-               ["predicted"], 0)
+    return sig(rnd(p.select(*KEYS, "period", "predicted_model", "predicted"), ["predicted_model"], 4),
+               ["predicted"])
 
 
 @register("u01_history_projection", S.with_(PROJ_SQL) + """
-SELECT c_nationkey, period, target_level AS actual,
-       round(lag(target_level) OVER (PARTITION BY c_nationkey ORDER BY period)
-             * (1 + predicted_model / 100.0), 0) + 0.0 AS predicted, 'history' AS kind FROM ins
+SELECT c_nationkey, period, target_level AS actual, """ + S.sig(
+    "lag(target_level) OVER (PARTITION BY c_nationkey ORDER BY period) * (1 + predicted_model / 100.0)")
+    + """ AS predicted, 'history' AS kind FROM ins
 UNION ALL
-SELECT c_nationkey, period, CAST(NULL AS DOUBLE), round(predicted, 0) + 0.0, 'projection' FROM proj""")
+SELECT c_nationkey, period, CAST(NULL AS DOUBLE), """ + S.sig("predicted") + """, 'projection' FROM proj""")
 def u01_history_projection(spark, sf):
     """History and projection rows appended into one prediction table."""
     p = run(spark, sf, "ols")["predictions"]
-    return rnd(p.select(*KEYS, "period", "actual", "predicted", "kind"), ["predicted"], 0)
+    return sig(p.select(*KEYS, "period", "actual", "predicted", "kind"), ["predicted"])
 
 
 @register("m07_elastic_net")

@@ -40,6 +40,17 @@ def rnd(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in cols})
 
 
+def sig(df: DataFrame, cols, digits: int = 7) -> DataFrame:
+    """Round to ``digits`` significant digits (for compounded levels whose
+    magnitude varies by series)."""
+    def one(c):
+        x = F.col(c)
+        e = F.floor(F.log10(F.abs(x)))
+        scaled = F.round(x / F.pow(F.lit(10.0), e), digits - 1) * F.pow(F.lit(10.0), e)
+        return F.when(x == 0, F.lit(0.0)).otherwise(scaled) + F.lit(0.0)
+    return df.withColumns({c: one(c) for c in cols})
+
+
 def load_all() -> dict[str, Query]:
     # importing the modules fills REGISTRY
     from cadence.plans import (q_forecast, q_joins, q_quality, q_series,  # noqa: F401

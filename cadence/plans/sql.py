@@ -107,3 +107,10 @@ def with_(*ctes: str) -> str:
 def r6(expr: str, digits: int = 6) -> str:
     """Round a floating result (adding 0.0 turns -0.0 into 0.0)."""
     return f"(round({expr}, {digits}) + 0.0)"
+
+
+def sig(expr: str, digits: int = 7) -> str:
+    """Round to significant digits (mirror of ``registry.sig``)."""
+    e = f"floor(log10(abs({expr})))"
+    return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / pow(10.0, {e}), {digits - 1}) "
+            f"* pow(10.0, {e}) END + 0.0)")
