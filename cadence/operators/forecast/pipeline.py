@@ -40,12 +40,26 @@ def _future_features(df, keys, period, predictors, lag, horizon, cutoff, freq, e
     return grid, rejections
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir``: cuts the
+    lineage (a lost executor does not replay the panel build) and computes
+    the frame/fit once for all the outputs that reuse it.  The key
+    partitioning of the checkpointed plan is kept."""
+    from cadence.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
                 predictors: Sequence[str], model: str = "ols", lag: int = 1, horizon: int = 5,
-                mode: str = "growth", cutoff=None, freq: str = "month") -> dict[str, DataFrame]:
+                mode: str = "growth", cutoff=None, freq: str = "month",
+                materialise: bool = True) -> dict[str, DataFrame]:
     """Fit one model per entity (or one pooled booster) and project ``horizon``
     periods past ``cutoff``.  Returns DataFrames: predictions (keys, period,
-    actual, predicted, kind), metrics, coefficients, rejections, holdout."""
+    actual, predicted, kind), metrics, coefficients, rejections, holdout.
+
+    With ``materialise`` the model frame and the coefficient table (one row
+    per entity and scope) are checkpointed once; every output reuses them."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}")
     keys = list(keys)
@@ -53,6 +67,8 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
     frame = FE.feature_frame(df, keys, period, target, predictors, lag, mode, cutoff, freq)
     kept, rej_support = FE.support_split(frame, keys, FE.minimum_support(len(feats)))
     split = FE.holdout_split(kept, keys, period, len(feats))
+    if materialise:
+        split = _materialise(split)
 
     if model == "gbt":
         from cadence.operators.forecast.boost import fit_gbt
@@ -60,6 +76,8 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
     else:
         z = FE.time_blocks(FE.standardise(FE.with_scopes(split), keys, feats), keys, period)
         coefs = G.fit(G.block_stats(z, keys, feats), keys, model)
+        if materialise:
+            coefs = _materialise(coefs)
         full = coefs.where(F.col("scope") == "full").drop("scope", "n")
         train = coefs.where(F.col("scope") == "train").drop("scope", "n")
         in_sample = split.join(full, keys, "inner").withColumn("predicted_model", G.predict_expr(feats))
