@@ -294,3 +294,36 @@ def a13_bounds(spark, sf):
 def u02_distinct(spark, sf):
     """Duplicate elimination of (language, source) labels."""
     return read(spark, sf, "documents").select("lang", "source").distinct()
+
+
+# ------------------------------------------------------------------ O1-O3: sorts
+@register("o01_sort_period", S.with_(S.PB_WIDE) + """
+SELECT * FROM pb ORDER BY period ASC NULLS LAST, c_nationkey""")
+def o01_sort_period(spark, sf):
+    """O1: ascending period sort, NULLs last (total order: range-partitioned
+    sort, no single-task collect)."""
+    return build_pb(spark, sf).df.orderBy(F.col("period").asc_nulls_last(), "c_nationkey")
+
+
+@register("o02_sort_mixed", S.with_(S.EV) + """
+SELECT * FROM ev ORDER BY start ASC NULLS LAST, severity DESC NULLS LAST, event_id""")
+def o02_sort_mixed(spark, sf):
+    """O2: mixed-direction multi-key sort (start asc, severity desc)."""
+    from cadence.plans.panels import build_ev
+    return build_ev(spark, sf).orderBy(F.col("start").asc_nulls_last(),
+                                       F.col("severity").desc_nulls_last(), "event_id")
+
+
+@register("o03_sort_abs", _transform_sql(
+    S.PB_LONG, "pb_long", PB_KEYS,
+    "(original / NULLIF(lag(original) OVER (PARTITION BY c_nationkey, metric ORDER BY period), 0)"
+    " - 1) * 100", "Period change (%)", False).replace(
+    "SELECT * FROM t WHERE transformed IS NOT NULL AND isfinite(transformed)",
+    """SELECT c_nationkey, metric, period, transformed FROM t
+WHERE transformed IS NOT NULL AND isfinite(transformed)
+ORDER BY abs(transformed) DESC, c_nationkey, metric, period"""))
+def o03_sort_abs(spark, sf):
+    """O3: period changes sorted by absolute value, descending."""
+    t = T.transform_series(build_pb(spark, sf).long(), PB_KEYS, kind="pct_change")
+    return t.select(*PB_KEYS, "period", "transformed").orderBy(
+        F.abs("transformed").desc(), *PB_KEYS, "period")

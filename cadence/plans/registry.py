@@ -54,5 +54,5 @@ def sig(df: DataFrame, cols, digits: int = 7) -> DataFrame:
 def load_all() -> dict[str, Query]:
     # importing the modules fills REGISTRY
     from cadence.plans import (q_forecast, q_joins, q_quality, q_series,  # noqa: F401
-                               q_summary)
+                               q_stream, q_summary)
     return REGISTRY
