@@ -40,16 +40,33 @@ def explode_intervals(events: DataFrame, freq: str, start: str = "start", end: s
         "band_mid": mid})
 
 
+def salted_period_join(big: DataFrame, small: DataFrame, period: str, id_cols: Sequence[str],
+                       buckets: int) -> DataFrame:
+    """Equi-join on a low-cardinality period key without hot partitions: the
+    event side gets a deterministic salt (hash of its id, so a retried task
+    after an executor loss reproduces the same rows), the per-period panel
+    rows are replicated once per salt bucket, and the join runs on
+    (period, salt).  One day holding a third of all events is then spread
+    over ``buckets`` tasks.  AQE skew-join remains on as a second line."""
+    if buckets <= 1:
+        return big.join(small, period, "inner")
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), F.lit(buckets)))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                      F.lit(buckets - 1).cast("long"))))
+    return b.join(s, [period, "_salt"], "inner").drop("_salt")
+
+
 def overlay(events: DataFrame, panel: DataFrame, freq: str, period: str = "period",
-            start: str = "start", end: str = "end") -> DataFrame:
+            start: str = "start", end: str = "end", id_cols: Sequence[str] = ("event_id",),
+            salt_buckets: int = 8) -> DataFrame:
     """Attach every event to each panel row whose period it covers."""
     ex = explode_intervals(events.where(F.col(end) >= F.col(start)), freq, start, end, period)
-    return ex.join(panel, period, "inner")
+    return salted_period_join(ex, panel, period, id_cols, salt_buckets)
 
 
 def event_study(events: DataFrame, panel: DataFrame, keys: Sequence[str], freq: str,
                 period: str = "period", value: str = "value", event_cols: Sequence[str] = ("event_id",),
-                start: str = "start", end: str = "end") -> DataFrame:
+                start: str = "start", end: str = "end", salt_buckets: int = 8) -> DataFrame:
     """Value one period before the start, at the end and one period after
     the end of each event, for every series of the panel, with the % change
     before->during and during->after (NULL when the base is NULL or 0).
@@ -61,7 +78,8 @@ def event_study(events: DataFrame, panel: DataFrame, keys: Sequence[str], freq:
         F.struct(F.lit("during").alias("phase"), F.col(end).alias(period)),
         F.struct(F.lit("after").alias("phase"), add_periods(end, 1, freq).alias(period)),
     )).alias("_p")).select(*event_cols, "_p.phase", f"_p.{period}")
-    j = ph.join(panel.select(*keys, period, value), period, "inner")
+    j = salted_period_join(ph, panel.select(*keys, period, value), period, event_cols,
+                           salt_buckets)
     g = j.groupBy(*event_cols, *keys).agg(
         *[F.max(F.when(F.col("phase") == p, F.col(value))).alias(p)
           for p in ("before", "during", "after")])
