@@ -381,7 +381,7 @@ def p08_membership(spark, sf):
 
 
 @register("p10_nonblank_text", """
-SELECT conv_id, turn, role, length(text) AS text_len FROM conversations WHERE length(trim(text)) > 0""")
+SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS text_len FROM conversations WHERE length(trim(text)) > 0""")
 def p10_nonblank_text(spark, sf):
     """P10: rows whose text is not blank (lengths only in the output)."""
     c = P.nonblank_rows(read(spark, sf, "conversations"), "text")

@@ -226,11 +226,11 @@ mp AS (
 
 SCORE_SQL = MATCH_SQL + """,
 ps AS (
-  SELECT parent_id, COUNT(*) AS matches, SUM(CAST(result = 'W' AS INTEGER)) AS wins,
-         SUM(goals_for - goals_against) AS goal_diff,
-         SUM(CAST(result = 'W' AS INTEGER) * is_knockout) AS ko_wins,
-         SUM(CAST(result = 'W' AS INTEGER) * strong_rival) AS wins_vs_strong,
-         SUM(CAST(result = 'L' AS INTEGER) * weak_rival) AS losses_vs_weak,
+  SELECT parent_id, COUNT(*) AS matches, CAST(SUM(CAST(result = 'W' AS INTEGER)) AS BIGINT) AS wins,
+         CAST(SUM(goals_for - goals_against) AS BIGINT) AS goal_diff,
+         CAST(SUM(CAST(result = 'W' AS INTEGER) * is_knockout) AS BIGINT) AS ko_wins,
+         CAST(SUM(CAST(result = 'W' AS INTEGER) * strong_rival) AS BIGINT) AS wins_vs_strong,
+         CAST(SUM(CAST(result = 'L' AS INTEGER) * weak_rival) AS BIGINT) AS losses_vs_weak,
          COUNT(DISTINCT phase) AS phases, MAX(is_knockout) AS reached_knockout,
          CAST(COUNT(DISTINCT phase) - 1 + arg_max(is_knockout * CAST(result = 'W' AS INTEGER), {'m': match_no, 'k': is_knockout * CAST(result = 'W' AS INTEGER)}) AS INTEGER) AS phases_passed
   FROM mp GROUP BY 1),
