@@ -71,6 +71,10 @@ def fit(stats: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
         raise ValueError(f"unknown model {model!r}")
     key_fields = [stats.schema[k] for k in keys]
     schema = coef_schema(key_fields)
+    # one small row per (entity, scope) but CPU-heavy solves: spread the rows
+    # over every core instead of letting AQE coalesce them into one task
+    cores = max(stats.sparkSession.sparkContext.defaultParallelism, 1)
+    stats = stats.repartition(cores, *keys)
     names = schema.fieldNames()
 
     def solve(batches):

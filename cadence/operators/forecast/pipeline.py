@@ -64,6 +64,10 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
         raise ValueError(f"unknown model {model!r}")
     keys = list(keys)
     feats = FE.feature_names(predictors, lag)
+    if materialise:
+        # the panel feeds the frame, the driver trends, the known-value lookup
+        # and the last observed level: compute its used columns once
+        df = _materialise(df.select(*keys, period, target, *predictors))
     frame = FE.feature_frame(df, keys, period, target, predictors, lag, mode, cutoff, freq)
     kept, rej_support = FE.support_split(frame, keys, FE.minimum_support(len(feats)))
     split = FE.holdout_split(kept, keys, period, len(feats))
