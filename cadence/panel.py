@@ -118,3 +118,48 @@ class Panel:
 
     def with_df(self, df: DataFrame) -> "Panel":
         return Panel(df, self.keys, self.period, self.metrics, self.freq)
+
+
+# ---------------------------------------------------------------- convenience
+def _long_keys(p: Panel) -> list[str]:
+    return [*p.keys, METRIC]
+
+
+def transform(panel: Panel, kind: str, base_period=None, unit: str | None = None) -> DataFrame:
+    """Every series of the panel through one transform."""
+    from cadence.operators.transforms import transform_series
+    return transform_series(panel.long(), _long_keys(panel), panel.period, VALUE, kind,
+                            base_period, unit)
+
+
+def trend(panel: Panel) -> DataFrame:
+    """Trend summary of every series (A3)."""
+    from cadence.operators.summary import trend_summary
+    return trend_summary(panel.long(), _long_keys(panel), panel.period, VALUE, panel.freq)
+
+
+def coverage_of(panel: Panel) -> DataFrame:
+    """Coverage of every series (A5)."""
+    from cadence.operators.summary import coverage
+    return coverage(panel.long(), _long_keys(panel), panel.period, VALUE)
+
+
+def correlations(panel: Panel, use_changes: bool = False, method: str = "pearson") -> DataFrame:
+    """Correlation matrix of the panel's metrics per entity."""
+    from cadence.operators import relate
+    fn = relate.correlation_matrix if method == "pearson" else relate.spearman_matrix
+    return fn(panel.df, list(panel.keys), panel.period, list(panel.metrics), use_changes)
+
+
+def forecast(panel: Panel, target: str, predictors, **kw) -> dict:
+    """Per-entity model fit and projection (M1-M16); see ``fit_predict``."""
+    from cadence.operators.forecast import fit_predict
+    return fit_predict(panel.df, list(panel.keys), panel.period, target, list(predictors),
+                       freq=panel.freq, **kw)
+
+
+Panel.transform = transform
+Panel.trend = trend
+Panel.coverage = coverage_of
+Panel.correlations = correlations
+Panel.forecast = forecast

@@ -121,3 +121,15 @@ def test_local_tail_and_support_guard(spark):
     kept, rej = T.support_guard(df, K, "value", 2)
     assert rows(rej) == [("b", "insufficient_points", 1)]
     assert kept.where("k = 'b'").count() == 0
+
+
+def test_panel_convenience(spark):
+    from cadence import Panel
+    wide = spark.createDataFrame([("a", t, float(t + 1), float(10 - t)) for t in range(6)],
+                                 "k string, period int, x double, y double")
+    p = Panel(wide, ("k",), "period", ("x", "y"), "year")
+    assert p.transform("base100", base_period=0).where("metric = 'x' AND period = 0") \
+        .collect()[0].transformed == 100.0
+    assert p.trend().count() == 2 and p.coverage().count() == 2
+    r = {(x.metric_x, x.metric_y): x.r for x in p.correlations().collect()}
+    assert r[("x", "y")] == pytest.approx(-1.0)
