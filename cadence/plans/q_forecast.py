@@ -149,8 +149,7 @@ SELECT c_nationkey, scope, period, {_z('trend')}, {_z('order_count_lag1')}
 FROM sc WINDOW ws AS (PARTITION BY c_nationkey, scope)""")
 def m05_standardise(spark, sf):
     """M5: features standardised per (entity, fit scope) with population std."""
-    split = run(spark, sf)["frame"]
-    z = FE.standardise(FE.with_scopes(split), KEYS, FEATS)
+    z = FE.standardise(FE.with_scopes(m04_holdout_split(spark, sf)), KEYS, FEATS)
     return rnd(z.select(*KEYS, "scope", "period", *[f"z_{f}" for f in FEATS]),
                [f"z_{f}" for f in FEATS])
 
