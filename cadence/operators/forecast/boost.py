@@ -28,12 +28,17 @@ def _booster(feats: Sequence[str]):
 
 
 def fit_gbt(split: DataFrame, keys: Sequence[str], feats: Sequence[str]):
+    """Train the full-sample and the hold-out booster concurrently: two
+    independent sequences of Spark jobs submitted from two driver threads."""
+    from concurrent.futures import ThreadPoolExecutor
     va = VectorAssembler(inputCols=list(feats), outputCol="_features")
     data = va.transform(split)
-    full_model = _booster(feats).fit(data)
-    in_sample = full_model.transform(data).drop("_features")
     train = data.where((F.col("test_n") > 0) & ~F.col("is_test"))
-    holdout_model = _booster(feats).fit(train)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        full_f = pool.submit(_booster(feats).fit, data)
+        hold_f = pool.submit(_booster(feats).fit, train)
+        full_model, holdout_model = full_f.result(), hold_f.result()
+    in_sample = full_model.transform(data).drop("_features")
     holdout = holdout_model.transform(data.where(F.col("is_test"))).drop("_features")
     spark = split.sparkSession
     imp = [float(x) for x in full_model.featureImportances.toArray()]
