@@ -96,9 +96,11 @@ def build_pb(spark: SparkSession, sf_dir: str, dense: bool = True) -> Panel:
         F.sum("cnt").cast("double").alias("order_count"))
     if dense:
         nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
-        lo = orders.select(F.min(month_start("o_orderdate"))).scalar()
-        hi = orders.select(F.max(month_start("o_orderdate"))).scalar()
-        df = densify(df, nations, ["c_nationkey"], "period", lo, hi, "month")
+        m = month_start("o_orderdate")
+        # one scalar subquery for both bounds (referenced twice, planned once)
+        bounds = orders.select(F.struct(F.min(m).alias("lo"), F.max(m).alias("hi"))).scalar()
+        df = densify(df, nations, ["c_nationkey"], "period", bounds.getField("lo"),
+                     bounds.getField("hi"), "month")
     return Panel(df, ("c_nationkey",), "period", PB_METRICS, "month")
 
 
