@@ -222,3 +222,38 @@ def support_guard(df: DataFrame, keys: Sequence[str], value: str, min_n: int,
                 .agg(F.max("_support").cast("bigint").alias("n"))
                 .withColumn("reason", F.lit(reason)).select(*keys, "reason", "n"))
     return kept, rejected
+
+
+# Warning texts reported by ``transform_warnings``.
+WARN_FEW = "fewer than 2 points"
+WARN_NO_BASE = "no non-zero base value"
+WARN_ZERO_STD = "zero standard deviation"
+WARN_NONPOS = "non-positive values omitted"
+
+
+def transform_warnings(df: DataFrame, keys: Sequence[str], kinds: Sequence[str],
+                       value: str = "value", min_points: int = 2) -> DataFrame:
+    """Why a series is omitted from (or thinned in) a transform, as rows
+    (keys, kind, warning, n) from one grouped aggregate: too few points, no
+    non-zero base (base-100 family), zero std (z-score), and the number of
+    non-positive values dropped by log10."""
+    v = F.col(value)
+    g = df.where(v.isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(v != 0).alias("_nz"),
+        F.count_if(v <= 0).alias("_np"), F.stddev_pop(v).alias("_sd"))
+    def row(kind, warning, n):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(warning).alias("warning"),
+                        n.cast("bigint").alias("n"))
+
+    rows = []
+    for kind in kinds:
+        few = F.col("_n") < min_points
+        rows.append(row(kind, WARN_FEW, F.when(few, F.col("_n"))))
+        if kind in ("base100", "log10_base100", "cum_change"):
+            rows.append(row(kind, WARN_NO_BASE, F.when(~few & (F.col("_nz") == 0), F.col("_n"))))
+        if kind == "zscore":
+            rows.append(row(kind, WARN_ZERO_STD, F.when(~few & (F.col("_sd") == 0), F.col("_n"))))
+        if kind == "log10":
+            rows.append(row(kind, WARN_NONPOS, F.when(~few & (F.col("_np") > 0), F.col("_np"))))
+    out = g.select(*keys, F.inline(F.array(*rows)))
+    return out.where(F.col("n").isNotNull())

@@ -282,3 +282,25 @@ def w16_support_guard(spark, sf):
     their count (the kept series continue downstream)."""
     _, rejected = T.support_guard(pb_long(spark, sf), PB_KEYS, "value", 80)
     return rejected
+
+
+@register("w06_transform_warnings", S.with_(S.PB_LONG, """
+ch AS (SELECT c_nationkey, metric, period,
+              (value / NULLIF(lag(value) OVER (PARTITION BY c_nationkey, metric ORDER BY period), 0) - 1) * 100 AS value
+       FROM pb_long),
+g AS (SELECT c_nationkey, metric, COUNT(*) AS n, COUNT(*) FILTER (WHERE value <> 0) AS nz,
+             COUNT(*) FILTER (WHERE value <= 0) AS np, STDDEV_POP(value) AS sd
+      FROM ch WHERE value IS NOT NULL GROUP BY 1, 2)""") + """
+SELECT * FROM (
+  SELECT c_nationkey, metric, k.kind, 'fewer than 2 points' AS warning, CASE WHEN n < 2 THEN n END AS n
+  FROM g, (VALUES ('base100'), ('log10'), ('zscore')) AS k(kind)
+  UNION ALL SELECT c_nationkey, metric, 'base100', 'no non-zero base value', CASE WHEN n >= 2 AND nz = 0 THEN n END FROM g
+  UNION ALL SELECT c_nationkey, metric, 'log10', 'non-positive values omitted', CASE WHEN n >= 2 AND np > 0 THEN np END FROM g
+  UNION ALL SELECT c_nationkey, metric, 'zscore', 'zero standard deviation', CASE WHEN n >= 2 AND sd = 0 THEN n END FROM g
+) WHERE n IS NOT NULL""")
+def w06_transform_warnings(spark, sf):
+    """W6/W9 warnings: per series of PB period changes, the points log10
+    omits and the series that base-100 or z-score cannot use."""
+    ch = T.pct_change(pb_long(spark, sf), PB_KEYS, "period", "value", "change")
+    ch = ch.select(*PB_KEYS, "period", F.col("change").alias("value"))
+    return T.transform_warnings(ch, PB_KEYS, ["base100", "log10", "zscore"])

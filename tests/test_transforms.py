@@ -133,3 +133,16 @@ def test_panel_convenience(spark):
     assert p.trend().count() == 2 and p.coverage().count() == 2
     r = {(x.metric_x, x.metric_y): x.r for x in p.correlations().collect()}
     assert r[("x", "y")] == pytest.approx(-1.0)
+
+
+def test_transform_warnings(spark):
+    df = frame(spark, [("neg", 1, -1.0), ("neg", 2, 0.0), ("neg", 3, 5.0),
+                       ("zero", 1, 0.0), ("zero", 2, 0.0), ("flat", 1, 2.0), ("flat", 2, 2.0),
+                       ("one", 1, 3.0), ("one", 2, None)])
+    got = {(r.k, r.kind, r.warning): r.n for r in
+           T.transform_warnings(df, K, ["base100", "log10", "zscore"]).collect()}
+    assert got[("neg", "log10", T.WARN_NONPOS)] == 2
+    assert got[("zero", "base100", T.WARN_NO_BASE)] == 2
+    assert got[("zero", "zscore", T.WARN_ZERO_STD)] == 2 and got[("flat", "zscore", T.WARN_ZERO_STD)] == 2
+    assert got[("one", "base100", T.WARN_FEW)] == 1
+    assert ("neg", "base100", T.WARN_NO_BASE) not in got
