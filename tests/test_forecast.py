@@ -198,3 +198,16 @@ def test_level_ols_exact(spark):
     m = out["metrics"].collect()[0]
     assert m.r2 == pytest.approx(1.0) and m.n == 11
     assert out["predictions"].where("kind='projection'").count() == 2
+
+
+@pytest.mark.parametrize("p", [1, 2, 4])
+def test_exact_elastic_net_matches_coordinate_descent(p):
+    z, y = data(5 + p, n=50, p=p) if p <= 3 else (np.random.default_rng(9).normal(size=(50, p)),
+                                                    np.random.default_rng(9).normal(size=50))
+    s = stats_of(z, y)
+    g, c, _ = s.centred()
+    a, r = SV.ALPHAS[None, ::7], SV.L1_RATIOS[:, None]
+    exact = SV._enet_exact(g, c, s.n, a, r)
+    cd = SV._cd_grid(g, c, s.n, a, r)
+    assert not np.isnan(exact).any()
+    assert np.allclose(exact, cd, atol=1e-7)
