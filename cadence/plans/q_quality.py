@@ -368,7 +368,9 @@ SELECT * FROM pa WHERE period BETWEEN DATE '1997-01-01' AND DATE '1998-12-01'"""
 def p07_period_range(spark, sf):
     """Inclusive period range, pushed into the orders Parquet scan."""
     o = read(spark, sf, "orders")
-    o = P.period_range(o, "o_orderdate", dt.datetime(1997, 1, 1), dt.datetime(1998, 12, 31, 23, 59, 59))
+    lo = F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")
+    hi = F.lit("1998-12-31 23:59:59").cast("timestamp_ntz")
+    o = P.period_range(o, "o_orderdate", lo, hi)
     return build_pa(spark, sf, orders=o).df
 
 

@@ -27,9 +27,13 @@ EVENTS_SCHEMA = T.StructType([
 
 def daily_panel_stream(events: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Streaming aggregate: (event_type, day window) -> n, value in cents.
-    Watermarks need a zoned TIMESTAMP; the wall-clock (NTZ) event time is
-    read in the session time zone."""
-    ev = events.withColumn("event_time", F.col("ts").cast("timestamp"))
+    Watermarks need a zoned TIMESTAMP: the wall-clock (NTZ) event time is
+    rebuilt as the same wall clock in UTC, so day windows (aligned to UTC
+    epoch days) are calendar days whatever the session time zone is."""
+    ts = F.col("ts")
+    wall_utc = F.make_timestamp_ltz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts),
+                                    F.minute(ts), F.second(ts).cast("decimal(8,6)"), F.lit("UTC"))
+    ev = events.withColumn("event_time", wall_utc)
     return (ev.withWatermark("event_time", watermark)
             .groupBy("event_type", F.window("event_time", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum(cents("value")).alias("value_cents")))
@@ -39,7 +43,8 @@ def latest(table: DataFrame) -> DataFrame:
     """Latest emitted version of every (event_type, day) group."""
     last = F.max_by(F.struct("n", "value_cents"), "batch_id")
     g = table.groupBy("event_type", "w").agg(last.alias("v"))
-    return g.select("event_type", F.to_date(F.col("w.start")).alias("period"),
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+    return g.select("event_type", day.alias("period"),
                     F.col("v.n").cast("double").alias("n"),
                     (F.col("v.value_cents").cast("double") / 100.0).alias("value_sum"))
 
