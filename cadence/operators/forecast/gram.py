@@ -64,11 +64,22 @@ def _as_dict(x):
     return x if isinstance(x, dict) else x.asDict() if hasattr(x, "asDict") else dict(x)
 
 
+def _ship_by_value() -> None:
+    """Serialise the solver code with the task (cloudpickle by value), so
+    executors need numpy/pandas only — not this package on their path."""
+    import sys
+
+    from pyspark import cloudpickle
+    for mod in (solvers, sys.modules[__name__]):
+        cloudpickle.register_pickle_by_value(mod)
+
+
 def fit(stats: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
     """Solve every (entity, scope) in ``mapInPandas``: one input row per
     entity and scope, numpy on a p x p system."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}")
+    _ship_by_value()
     key_fields = [stats.schema[k] for k in keys]
     schema = coef_schema(key_fields)
     # one small row per (entity, scope) but CPU-heavy solves: spread the rows

@@ -51,7 +51,7 @@ def latest(table: DataFrame) -> DataFrame:
 
 def run_daily_panel(spark: SparkSession, source: str, out_path: str | None = None,
                     checkpoint: str | None = None, watermark: str = "2 days",
-                    file_glob: str | None = None) -> DataFrame:
+                    file_glob: str | None = None, state_partitions: int | None = None) -> DataFrame:
     """Process everything currently in the ``source`` folder (trigger
     availableNow; ``file_glob`` selects files) and return the maintained
     panel.  Paths default to fresh folders under the shared checkpoint folder."""
@@ -66,8 +66,17 @@ def run_daily_panel(spark: SparkSession, source: str, out_path: str | None = Non
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
-    q = (daily_panel_stream(stream, watermark).writeStream.outputMode("update")
-         .foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    # the state store is split into spark.sql.shuffle.partitions at the first
+    # start (then fixed by the checkpoint): size it to the cores, not to a
+    # batch-job default
+    parts = state_partitions or max(spark.sparkContext.defaultParallelism, 1)
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (daily_panel_stream(stream, watermark).writeStream.outputMode("update")
+             .foreachBatch(sink).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
     return latest(spark.read.parquet(out_path))
