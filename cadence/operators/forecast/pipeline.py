@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cadence.operators.forecast import features as FE
 from cadence.operators.forecast import gram as G
 from cadence.operators.forecast import project as PR
+from cadence.operators.quality import require_columns
 from cadence.panel import period_index
 
 MODELS = ("ols", "elastic_net", "bayesian_ridge", "gbt")
@@ -63,6 +64,7 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}")
     keys = list(keys)
+    require_columns(df, [*keys, period, target, *predictors], "forecast input")
     feats = FE.feature_names(predictors, lag)
     if materialise:
         # the panel feeds the frame, the driver trends, the known-value lookup
@@ -141,6 +143,7 @@ def level_ols(df: DataFrame, keys: Sequence[str], period: str, target: str,
     period."""
     from cadence.panel import series_window, whole_series
     keys = list(keys)
+    require_columns(df, [*keys, period, target, *predictors], "forecast input")
     w = series_window(keys, period)
     lagged = {f"{p}_lag{lag}": F.lag(p, lag).over(w) for p in predictors}
     d = df.select(*keys, period, F.col(target).cast("double").alias("target_level"),

@@ -211,3 +211,9 @@ def test_exact_elastic_net_matches_coordinate_descent(p):
     cd = SV._cd_grid(g, c, s.n, a, r)
     assert not np.isnan(exact).any()
     assert np.allclose(exact, cd, atol=1e-7)
+
+
+def test_fit_predict_column_contract(spark):
+    df = spark.createDataFrame([("a", 2000, 1.0)], "k string, period int, y double")
+    with pytest.raises(ValueError, match="missing columns"):
+        PL.fit_predict(df, ["k"], "period", "y", ["x"], cutoff=2000, freq="year")
