@@ -397,3 +397,14 @@ def p12_trend_offset(spark, sf):
     """Trend regressor = periods since the series' first period."""
     d = P.trend_offset(build_pb(spark, sf).df, ["c_nationkey"], "period", "month")
     return d.select("c_nationkey", "period", "trend")
+
+
+@register("s06_partition_read", S.with_(S.PA_WIDE) + """
+SELECT *, CAST(year(period) AS INTEGER) AS year FROM pa WHERE year(period) BETWEEN 1997 AND 1998""")
+def s06_partition_read(spark, sf):
+    """S6 read side: the PA panel written partitioned by year, read back for
+    1997-1998 through partition pruning (only two directories are listed)."""
+    pa = build_pa(spark, sf).df.withColumn("year", F.year("period"))
+    path = scratch_path(spark, f"s06_pa_read_{abs(hash(sf))}")
+    SRC.write_table(pa, path, ["year"])
+    return SRC.read_partitions(spark, path, "year", 1997, 1998)

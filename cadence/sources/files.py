@@ -95,3 +95,10 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     return back.agg(F.count(F.lit(1)).alias("n_rows"),
                     F.lit(len(back.columns)).cast("int").alias("n_cols"),
                     F.min(period).alias("min_period"), F.max(period).alias("max_period"))
+
+
+def read_partitions(spark: SparkSession, path: str, column: str, lo, hi, fmt: str = "parquet") -> DataFrame:
+    """Read a table written by ``write_table(..., partition_by=[column])`` for
+    an inclusive range of the partition column; the range becomes a
+    partition filter, so only the matching directories are listed and read."""
+    return spark.read.format(fmt).load(path).where(F.col(column).between(lo, hi))

@@ -54,3 +54,13 @@ def test_write_table_report(spark, tmp_path):
     rep = SRC.write_table(df, str(tmp_path / "out"), ["k"]).collect()[0]
     assert (rep.n_rows, rep.n_cols, rep.min_period, rep.max_period) == (2, 2, 1, 3)
     assert os.path.isdir(tmp_path / "out" / "k=a")
+
+
+def test_partition_pruning(spark, tmp_path):
+    df = spark.createDataFrame([(y, float(y)) for y in range(1995, 2002)], "year int, v double")
+    path = str(tmp_path / "panel")
+    SRC.write_table(df, path, ["year"], period="year")
+    part = SRC.read_partitions(spark, path, "year", 1997, 1998)
+    assert sorted(r.year for r in part.collect()) == [1997, 1998]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "1997" in plan
