@@ -19,7 +19,7 @@ from cadence.operators.forecast import features as FE
 from cadence.operators.forecast import gram as G
 from cadence.operators.forecast import project as PR
 from cadence.operators.quality import require_columns
-from cadence.panel import period_index
+from cadence.panel import add_periods, period_index
 
 MODELS = ("ols", "elastic_net", "bayesian_ridge", "gbt")
 
@@ -31,7 +31,8 @@ def _future_features(df, keys, period, predictors, lag, horizon, cutoff, freq, e
     for p in predictors:
         lines, rej = PR.driver_trend(df, keys, period, p, cutoff, freq, driver_window)
         grid = PR.known_else_trend(grid, df, lines, keys, period, p, cutoff, freq,
-                                   out=f"{p}_lag{lag}")
+                                   out=f"{p}_lag{lag}",
+                                   earliest=add_periods(F.lit(cutoff), 1 - lag, freq))
         rejections.append(rej)
     if trend_base is None:
         trend_base = (df.where(F.col(period) <= F.lit(cutoff)).groupBy(*keys)

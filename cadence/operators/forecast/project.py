@@ -62,11 +62,15 @@ def driver_trend(df: DataFrame, keys: Sequence[str], period: str, driver: str, c
 
 def known_else_trend(requests: DataFrame, df: DataFrame, lines: DataFrame, keys: Sequence[str],
                      period: str, driver: str, cutoff, freq: str, req: str = "driver_period",
-                     out: str = "driver_value") -> DataFrame:
+                     out: str = "driver_value", earliest=None) -> DataFrame:
     """The observed value when the requested period is at or before the
-    cut-off and observed, else slope * t + intercept."""
-    known = (df.where(F.col(driver).isNotNull() & (F.col(period) <= F.lit(cutoff)))
-             .select(*keys, F.col(period).alias(req), F.col(driver).alias("_known")))
+    cut-off and observed, else slope * t + intercept.  ``earliest`` (the
+    first period any request can ask for) limits the lookup side to the few
+    periods that can match, instead of shuffling the whole panel."""
+    cond = F.col(driver).isNotNull() & (F.col(period) <= F.lit(cutoff))
+    if earliest is not None:
+        cond = cond & (F.col(period) >= F.lit(earliest))
+    known = df.where(cond).select(*keys, F.col(period).alias(req), F.col(driver).alias("_known"))
     j = requests.join(known, [*keys, req], "left").join(lines.select(*keys, "slope", "intercept"),
                                                         list(keys), "inner")
     est = F.col("slope") * period_index(req, freq).cast("double") + F.col("intercept")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cadence.operators.forecast import features as FE
 from cadence.operators.forecast import pipeline as PL
 from cadence.operators.forecast import project as PR
-from cadence.panel import month_start
+from cadence.panel import add_periods, month_start
 from cadence.plans import sql as S
 from cadence.plans.panels import build_pb, dollars, money, read
 from cadence.plans.registry import register, rnd, sig
@@ -248,7 +248,8 @@ def j07_known_else_trend(spark, sf):
     lines, _ = PR.driver_trend(pb, KEYS, "period", "order_count", CUT, "month", 10)
     grid = PR.future_grid(pb, KEYS, CUT, H, LAG, "month")
     d = PR.known_else_trend(grid, pb, lines, KEYS, "period", "order_count", CUT, "month",
-                            out="order_count_lag1")
+                            out="order_count_lag1",
+                            earliest=add_periods(F.lit(CUT), 1 - LAG, "month"))
     return rnd(d, ["order_count_lag1"], 4)
 
 
