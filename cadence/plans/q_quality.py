@@ -17,7 +17,7 @@ from cadence.plans import sql as S
 from cadence.plans.panels import (PA_METRICS, build_ev, build_pa, build_pb, build_sc, build_tx,
                                   dollars, money, read)
 from cadence.plans.registry import register
-from cadence.session import scratch_path
+from cadence.session import scratch_path, stable_tag
 from cadence.sources import files as SRC
 from cadence.sources import indicators as IND
 
@@ -38,7 +38,7 @@ EVENT_SCHEMA = T.StructType([
 def s01_csv_scan(spark, sf):
     """Events written as CSV (quoted JSON text with commas and quotes)
     to the shared scratch folder and scanned back with an explicit schema."""
-    path = scratch_path(spark, f"s01_events_csv_{abs(hash(sf))}")
+    path = scratch_path(spark, f"s01_events_csv_{stable_tag(sf)}")
     SRC.write_csv(read(spark, sf, "events").select(*EVENT_SCHEMA.fieldNames()), path)
     return SRC.read_csv(spark, path, EVENT_SCHEMA)
 
@@ -139,7 +139,7 @@ def s06_write_report(spark, sf):
     """The consolidated PA panel written as Parquet partitioned by year,
     reported back from disk (rows, columns, period range)."""
     pa = build_pa(spark, sf).df.withColumn("year", F.year("period"))
-    path = scratch_path(spark, f"s06_pa_{abs(hash(sf))}")
+    path = scratch_path(spark, f"s06_pa_{stable_tag(sf)}")
     return SRC.write_table(pa, path, ["year"])
 
 
@@ -405,6 +405,6 @@ def s06_partition_read(spark, sf):
     """S6 read side: the PA panel written partitioned by year, read back for
     1997-1998 through partition pruning (only two directories are listed)."""
     pa = build_pa(spark, sf).df.withColumn("year", F.year("period"))
-    path = scratch_path(spark, f"s06_pa_read_{abs(hash(sf))}")
+    path = scratch_path(spark, f"s06_pa_read_{stable_tag(sf)}")
     SRC.write_table(pa, path, ["year"])
     return SRC.read_partitions(spark, path, "year", 1997, 1998)

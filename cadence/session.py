@@ -52,5 +52,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
+def stable_tag(*parts: str) -> str:
+    """Deterministic short tag (same inputs -> same scratch folder on every run)."""
+    import hashlib
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]
+
+
 def env_cpus(default: str = "8") -> str:
     return os.environ.get("BENCH_CPUS", default)
