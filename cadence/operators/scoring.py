@@ -21,6 +21,11 @@ W_WIN, W_PHASE, W_KO_WIN, W_STRONG_WIN, W_WEAK_LOSS = 2.0, 3.0, 4.0, 0.3, -0.2
 STRONG_TITLES, STRONG_TOP4, WEAK_APPEARANCES = 1, 2, 2
 GROUP_PHASE = "group"
 
+# Scores are accumulated exactly in integer tenths and divided once at the
+# end, so the result does not depend on summation order or engine.
+T_WIN, T_PHASE, T_KO_WIN, T_STRONG_WIN, T_WEAK_LOSS = (
+    int(round(w * 10)) for w in (W_WIN, W_PHASE, W_KO_WIN, W_STRONG_WIN, W_WEAK_LOSS))
+
 
 def match_flags(df: DataFrame) -> DataFrame:
     """Row-level flags: result W/D/L (a drawn knockout won on a shoot-out
@@ -36,9 +41,9 @@ def match_flags(df: DataFrame) -> DataFrame:
                         "strong_rival": strong.cast("int"), "weak_rival": weak.cast("int")})
     w = (F.col("result") == "W").cast("int")
     lo = (F.col("result") == "L").cast("int")
-    pts = ((gf - ga) + W_WIN * w + W_KO_WIN * w * F.col("is_knockout")
-           + W_STRONG_WIN * w * F.col("strong_rival") + W_WEAK_LOSS * lo * F.col("weak_rival"))
-    return d.withColumn("match_points", pts.cast("double"))
+    tenths = (10 * (gf - ga) + T_WIN * w + T_KO_WIN * w * F.col("is_knockout")
+              + T_STRONG_WIN * w * F.col("strong_rival") + T_WEAK_LOSS * lo * F.col("weak_rival"))
+    return d.withColumn("match_points", tenths.cast("double") / 10.0)
 
 
 def parent_scores(matches: DataFrame, parent: str = "parent_id", order: str = "match_no") -> DataFrame:
@@ -62,8 +67,9 @@ def parent_scores(matches: DataFrame, parent: str = "parent_id", order: str = "m
         last.alias("_last"))
     passed = F.col("phases") - 1 + F.col("_last.ko_win")
     g = g.withColumn("phases_passed", passed.cast("int")).drop("_last")
-    score = (F.col("goal_diff") + W_WIN * F.col("wins") + W_PHASE * F.col("phases_passed")
-             + W_KO_WIN * F.col("ko_wins") + W_STRONG_WIN * F.col("wins_vs_strong")
-             + W_WEAK_LOSS * F.col("losses_vs_weak"))
-    return g.withColumns({"score_total": score.cast("double"),
-                          "score_per_match": safe_div(score.cast("double"), F.col("matches"))})
+    tenths = (10 * F.col("goal_diff") + T_WIN * F.col("wins") + T_PHASE * F.col("phases_passed")
+              + T_KO_WIN * F.col("ko_wins") + T_STRONG_WIN * F.col("wins_vs_strong")
+              + T_WEAK_LOSS * F.col("losses_vs_weak"))
+    total = tenths.cast("double") / 10.0
+    return g.withColumns({"score_total": total,
+                          "score_per_match": safe_div(total, F.col("matches"))})

@@ -218,10 +218,10 @@ mf AS (
          CAST(rival_appearances < 2 AND rival_ko_wins = 0 AS INTEGER) AS weak_rival
   FROM sc),
 mp AS (
-  SELECT *, CAST((goals_for - goals_against) + 2.0 * CAST(result = 'W' AS INTEGER)
-            + 4.0 * CAST(result = 'W' AS INTEGER) * is_knockout
-            + 0.3 * CAST(result = 'W' AS INTEGER) * strong_rival
-            + -0.2 * CAST(result = 'L' AS INTEGER) * weak_rival AS DOUBLE) AS match_points
+  SELECT *, CAST(10 * (goals_for - goals_against) + 20 * CAST(result = 'W' AS INTEGER)
+            + 40 * CAST(result = 'W' AS INTEGER) * is_knockout
+            + 3 * CAST(result = 'W' AS INTEGER) * strong_rival
+            - 2 * CAST(result = 'L' AS INTEGER) * weak_rival AS DOUBLE) / 10.0 AS match_points
   FROM mf)"""
 
 SCORE_SQL = MATCH_SQL + """,
@@ -235,8 +235,8 @@ ps AS (
          CAST(COUNT(DISTINCT phase) - 1 + arg_max(is_knockout * CAST(result = 'W' AS INTEGER), {'m': match_no, 'k': is_knockout * CAST(result = 'W' AS INTEGER)}) AS INTEGER) AS phases_passed
   FROM mp GROUP BY 1),
 pss AS (
-  SELECT *, CAST(goal_diff + 2.0 * wins + 3.0 * phases_passed + 4.0 * ko_wins + 0.3 * wins_vs_strong
-                 + -0.2 * losses_vs_weak AS DOUBLE) AS score_total FROM ps)"""
+  SELECT *, CAST(10 * goal_diff + 20 * wins + 30 * phases_passed + 40 * ko_wins + 3 * wins_vs_strong
+                 - 2 * losses_vs_weak AS DOUBLE) / 10.0 AS score_total FROM ps)"""
 
 
 @register("a11_weighted_score", S.with_(SCORE_SQL) + """
