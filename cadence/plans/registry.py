@@ -44,10 +44,15 @@ def sig(df: DataFrame, cols, digits: int = 7) -> DataFrame:
     """Round to ``digits`` significant digits (for compounded levels whose
     magnitude varies by series)."""
     def one(c):
+        # scale by an exact positive power of ten (exact in every engine for
+        # exponents <= 22) and pick multiply/divide by the sign of the exponent
         x = F.col(c)
         e = F.floor(F.log10(F.abs(x)))
-        scaled = F.round(x / F.pow(F.lit(10.0), e), digits - 1) * F.pow(F.lit(10.0), e)
-        return F.when(x == 0, F.lit(0.0)).otherwise(scaled) + F.lit(0.0)
+        p = F.pow(F.lit(10.0), F.abs(e))
+        scaled = F.when(e >= 0, x / p).otherwise(x * p)
+        r = F.round(scaled, digits - 1)
+        back = F.when(e >= 0, r * p).otherwise(r / p)
+        return F.when(x == 0, F.lit(0.0)).otherwise(back) + F.lit(0.0)
     return df.withColumns({c: one(c) for c in cols})
 
 

@@ -112,5 +112,8 @@ def r6(expr: str, digits: int = 6) -> str:
 def sig(expr: str, digits: int = 7) -> str:
     """Round to significant digits (mirror of ``registry.sig``)."""
     e = f"floor(log10(abs({expr})))"
-    return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / pow(10.0, {e}), {digits - 1}) "
-            f"* pow(10.0, {e}) END + 0.0)")
+    p = f"pow(10.0, abs({e}))"
+    scaled = f"(CASE WHEN {e} >= 0 THEN ({expr}) / {p} ELSE ({expr}) * {p} END)"
+    r = f"round({scaled}, {digits - 1})"
+    return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 WHEN {e} >= 0 THEN {r} * {p} "
+            f"ELSE {r} / {p} END + 0.0)")
