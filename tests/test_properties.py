@@ -81,3 +81,23 @@ def test_correlation_symmetric_with_unit_diagonal(spark, rows):
             assert r == pytest.approx(1.0)
         if r is not None:
             assert -1 - 1e-9 <= r <= 1 + 1e-9
+
+
+@settings(max_examples=25, deadline=None)
+@given(seed=st.integers(0, 10_000), p=st.integers(1, 4), n=st.integers(8, 40))
+def test_exact_elastic_net_satisfies_kkt(seed, p, n):
+    from cadence.operators.forecast import solvers as SV
+    rng = np.random.default_rng(seed)
+    z = rng.normal(size=(n, p))
+    y = z @ rng.normal(size=p) + rng.normal(size=n)
+    s = SV.Stats(n, z.sum(0), y.sum(), (z.T @ z).ravel(), z.T @ y, y @ y)
+    g, c, _ = s.centred()
+    a, r = SV.ALPHAS[None, ::11], SV.L1_RATIOS[:, None]
+    w = SV._enet_grid(g, c, s.n, a, r)
+    l1 = np.broadcast_to(n * a * r, w.shape[:-1])
+    l2 = np.broadcast_to(n * a * (1 - r), w.shape[:-1])
+    grad = c - w @ g - l2[..., None] * w            # = l1 * sign(w) where w != 0
+    scale = 1e-6 * max(1.0, float(np.abs(c).max()))
+    active = np.abs(w) > 1e-12
+    assert np.all(np.abs(grad - l1[..., None] * np.sign(w))[active] <= scale)
+    assert np.all((np.abs(grad) <= l1[..., None] + scale)[~active])
