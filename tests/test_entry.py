@@ -45,6 +45,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     cols = sorted(sdf.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
     cur = con.execute(E.oracle_sql()[name])
