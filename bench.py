@@ -1,7 +1,7 @@
 """Benchmark: time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is executed in full into the ``noop`` sink (no driver collect);
-the best of $BENCH_REPEAT runs is reported.  Prints ONE JSON line.
+the best of $BENCH_REPEAT (default 3) runs is reported.  Prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     from cadence.session import get_spark
     from cadence.plans.bench_queries import headline
     spark = get_spark("cadence-bench", cpus, shuffle_partitions=int(cpus) * 2)
