@@ -45,12 +45,12 @@ def a02_stats(spark, sf):
                ["mean_value", "median_value", "std_value"])
 
 
-TREND_SQL = S.with_(S.PA_LONG, """
-g AS (SELECT o_orderpriority, metric, COUNT(*) AS n,
+TREND_SQL = S.with_(S.PA_LONG, f"""
+g AS (SELECT o_orderpriority, metric, {_unit_case()} AS unit, COUNT(*) AS n,
              MIN(period) AS first_period, arg_min(value, period) AS first_value,
              MAX(period) AS last_period, arg_max(value, period) AS last_value,
              MIN(value) AS min_value, MAX(value) AS max_value
-      FROM pa_long WHERE value IS NOT NULL GROUP BY 1, 2)""") + """
+      FROM pa_long WHERE value IS NOT NULL GROUP BY 1, 2, 3)""") + """
 SELECT *, CASE WHEN first_value <> 0 THEN (last_value / first_value - 1) * 100 END AS total_change_pct,
        CASE WHEN date_diff('month', first_period, last_period) > 0 AND first_value > 0 AND last_value > 0
             THEN round((pow(last_value / first_value, 1.0 / date_diff('month', first_period, last_period)) - 1) * 100, 6) + 0.0
@@ -62,7 +62,8 @@ FROM g WHERE n >= 2"""
 def a03_trend_summary(spark, sf):
     """A3: trend summary per series: first/last, total change, compound
     growth per month, min, max."""
-    return rnd(A.trend_summary(build_pa(spark, sf).long(), PA_KEYS, "period", "value", "month"),
+    long = with_units(build_pa(spark, sf).long())   # unit depends on the metric only
+    return rnd(A.trend_summary(long, [*PA_KEYS, "unit"], "period", "value", "month"),
                ["cagr_pct"])
 
 
