@@ -33,7 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster the setting names a shared filesystem and is used as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    Only when it is unset and the master is local (tests) a scratch folder is
+    created; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cadence-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
