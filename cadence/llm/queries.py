@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, chat, exact_dedup, sharding
+from cadence.llm import bpe, chat, exact_dedup, langid, sharding, toxicity
 from cadence.llm.common import table
 from cadence.llm.registry import query
+from cadence.llm.sampling import crc32_mod
 
 
 @query("op5_exact_dedup", """
@@ -45,3 +46,20 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = bpe.read_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_texts(docs, data, public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learnt = langid.fit(docs.filter(crc32_mod("doc_id", 3) != 1))
+    found = langid.predict(docs, learnt)
+    return found.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score",
+                        langid.rejected(F.col("lang_pred"), F.col("score")).alias("rejected"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(labels.filter(crc32_mod("doc_id", 5) != 0), docs)
+    held_out = (crc32_mod("doc_id", 5) == 0).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
