@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, chat, exact_dedup, langid, sharding, toxicity
+from cadence.llm import bpe, chat, exact_dedup, langid, sharding, simhash, toxicity
 from cadence.llm.common import table
 from cadence.llm.registry import query
 from cadence.llm.sampling import crc32_mod
@@ -63,3 +63,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(labels.filter(crc32_mod("doc_id", 5) != 0), docs)
     held_out = (crc32_mod("doc_id", 5) == 0).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))

@@ -110,11 +110,12 @@ def _for_last(x: np.ndarray) -> np.ndarray:
 
 
 def train(sample: list[tuple], counts: dict, *, window: int = 0, tokens: str = "words", dims: int = 8,
-          epochs: int = 6, batch: int = 32, rate: float = 0.3, seed: int = 7) -> Model:
+          epochs: int = 6, steps: int = 1000, rate: float = 0.3, seed: int = 7) -> Model:
     """Fit on (label, text) rows; ``counts`` are the labels' row counts, by
     which the posteriors follow the table's and not the sample's shares.
 
-    Without rows of two classes the posterior is the share of each class.
+    A small sample is gone through more often and in smaller batches, for about
+    ``steps`` steps at least.  Without rows of two classes the posterior is the share of each class.
     """
     classes = sorted(counts)
     total = sum(counts.values())
@@ -128,6 +129,8 @@ def train(sample: list[tuple], counts: dict, *, window: int = 0, tokens: str = "
     grams = [np.array([bucket(g) for g in ngrams(w)], np.int32) for w in ids]
     sizes = np.array([len(g) for g in grams], np.int64)
     flat, starts = (np.concatenate(grams) if grams else np.zeros(0, np.int32)), np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    batch = min(32, max(4, len(docs) // 64))
+    epochs = max(epochs, -(-steps * batch // len(docs)))
     rng = np.random.default_rng(seed)
     E = rng.uniform(-0.5, 0.5, (BUCKETS, dims)).astype(np.float32)
     W, b = rng.normal(0, 0.5, (dims, len(classes))).astype(np.float32), np.zeros(len(classes), np.float32)
