@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, chat, exact_dedup, langid, sharding, simhash, toxicity
+from cadence.llm import bpe, chat, exact_dedup, langid, line_dedup, sharding, simhash, toxicity
 from cadence.llm.common import table
 from cadence.llm.registry import query
 from cadence.llm.sampling import crc32_mod
@@ -68,3 +68,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op1_line_dedup", r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+full_lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS s
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines) WHERE words > 0),
+ahead AS (
+  SELECT *, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3,
+         lead(words, 1) OVER w AS words2, lead(words, 2) OVER w AS words3
+  FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+windows AS (
+  SELECT doc_id, s, CASE WHEN words >= 50 THEN 1 WHEN words + words2 >= 50 THEN 2 WHEN words3 IS NOT NULL THEN 3 END AS n, line, line2, line3
+  FROM ahead),
+placed AS (
+  SELECT doc_id, s, n, row_number() OVER (
+    PARTITION BY n, line, CASE WHEN n >= 2 THEN line2 END, CASE WHEN n >= 3 THEN line3 END ORDER BY doc_id, s) AS k
+  FROM windows WHERE n IS NOT NULL),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS s FROM placed WHERE k > 1),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line, g.s IS NOT NULL AS gone
+  FROM lines l LEFT JOIN full_lines f ON l.doc_id = f.doc_id AND l.pos = f.pos
+  LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.s = g.s)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(m.text, '') END AS text,
+       coalesce(m.n_lines, 0)::INT AS n_lines, coalesce(m.n_removed, 0)::INT AS n_removed
+FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text,
+         count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
+  FROM marked GROUP BY doc_id) m ON d.doc_id = m.doc_id
+""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
