@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, chat, exact_dedup, langid, line_dedup, sharding, simhash, toxicity
+from cadence.llm import ann, bpe, chat, exact_dedup, langid, line_dedup, sharding, simhash, toxicity
 from cadence.llm.common import table
 from cadence.llm.registry import query
 from cadence.llm.sampling import crc32_mod
@@ -103,3 +103,8 @@ FROM documents d LEFT JOIN (
 """)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op3_nearest_neighbours")
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
