@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import ann, bpe, chat, exact_dedup, langid, line_dedup, sharding, simhash, toxicity
+from cadence.llm import ann, bpe, chat, exact_dedup, langid, line_dedup, mixing, sharding, simhash, toxicity
 from cadence.llm.common import table
 from cadence.llm.registry import query
 from cadence.llm.sampling import crc32_mod
@@ -108,3 +108,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_nearest_neighbours")
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    domains = mixing.fit(mixing.quality_domains(table(spark, sf_dir, "labels")), docs)
+    return mixing.mix(docs, domains, mixing.QUALITY_WEIGHTS)

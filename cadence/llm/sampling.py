@@ -13,21 +13,21 @@ def crc32_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def labelled_sample(labels: DataFrame, texts: DataFrame, label_col: str, id_col: str, text_col: str, *, per_label: int,
-                    chars: int) -> tuple[list[tuple], dict]:
-    """Up to ``per_label`` (label, text) of each label, and the number of
-    ``labels`` rows of each label.
+def sample_rows(labels: DataFrame, texts: DataFrame, label_col: str, id_col: str, text_col: str, *, per_label: int,
+                chars: int) -> tuple[DataFrame | None, dict]:
+    """``label``, ``k``, ``text`` of up to ``per_label`` rows of each label (None
+    if there are none), and the number of ``labels`` rows of each label.
 
     Ids are taken in the order of their hash, so a sample does not depend on
     how the tables are dealt out; then their texts are fetched.  ``chars``
     bounds what is learnt from one text.  Rows with a null label, id or text
-    teach nothing; of rows that repeat an id and label one is taken.  Size on
-    the driver, and of the broadcast ids: labels x per_label rows.
+    teach nothing; of rows that repeat an id and label one is taken.  Size of
+    the sample, and of the broadcast ids: labels x per_label rows.
     """
     rows = labels.select(F.col(label_col).alias("label"), F.col(id_col).alias("id")).filter("label IS NOT NULL AND id IS NOT NULL")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return [], {}
+        return None, {}
     # far fewer rows than all are worth sorting; the rank below sets the bound
     shares = [(F.col("label") == label) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, 2 * per_label / n) * (1 << 20)) + 64)
               for label, n in counts.items()]
@@ -35,5 +35,12 @@ def labelled_sample(labels: DataFrame, texts: DataFrame, label_col: str, id_col:
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     picked = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_label)
     found = (texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-             .join(F.broadcast(picked), "id").groupBy("label", "k").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect())
-    return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (str(r["label"]), r["k"]))], counts
+             .join(F.broadcast(picked), "id").groupBy("label", "k").agg(F.min(F.substring("text", 1, chars)).alias("text")))
+    return found, counts
+
+
+def labelled_sample(*args, **options) -> tuple[list[tuple], dict]:
+    """The same as (label, text) on the driver, and the counts."""
+    found, counts = sample_rows(*args, **options)
+    rows = found.collect() if found else []
+    return [(r["label"], r["text"]) for r in sorted(rows, key=lambda r: (str(r["label"]), r["k"]))], counts
