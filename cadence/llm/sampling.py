@@ -29,7 +29,7 @@ def sample_rows(labels: DataFrame, texts: DataFrame, label_col: str, id_col: str
     if not counts:
         return None, {}
     # far fewer rows than all are worth sorting; the rank below sets the bound
-    shares = [(F.col("label") == label) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, 2 * per_label / n) * (1 << 20)) + 64)
+    shares = [(F.col("label") == label) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, 4 * per_label / n) * (1 << 20)) + 64)
               for label, n in counts.items()]
     near = rows.filter(reduce(lambda a, b: a | b, shares)).distinct()
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
