@@ -29,7 +29,7 @@ from cadence.llm.common import ship_by_value, worker_cache
 
 NEVER = 1 << 40
 #: encoded pieces and checked borders a worker keeps; beyond it, it starts afresh
-CACHE_PIECES, CACHE_BORDERS = 600_000, 1_000_000
+CACHE_PIECES, CACHE_BORDERS = 400_000, 500_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -44,7 +44,7 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.borders: dict[tuple[bytes, bytes], bool] = {}
+        self.borders: dict[int, bool] = {}
         self._spines: dict[bytes, tuple] = {}
         for b in range(256):
             if bytes([b]) not in ranks:
@@ -75,14 +75,15 @@ class Vocabulary:
             self._spines[token] = tuple(sides)
         return self._spines[token]
 
-    def border_holds(self, a: bytes, b: bytes) -> bool:
-        """Whether BPE of a + b, a and b being tokens, is [a, b]."""
-        known = self.borders.get((a, b))
+    def border_holds(self, a: int, b: int) -> bool:
+        """Whether BPE of two tokens' bytes, one after the other, is the two."""
+        key = a << 32 | b
+        known = self.borders.get(key)
         if known is None:
-            known = self._border_holds(a, b)
+            known = self._border_holds(self.bytes[a], self.bytes[b])
             if len(self.borders) >= CACHE_BORDERS:
                 self.borders.clear()
-            self.borders[a, b] = known
+            self.borders[key] = known
         return known
 
     def _border_holds(self, a: bytes, b: bytes) -> bool:
@@ -106,7 +107,8 @@ class PrefixEncoding:
     """Encoding of one byte string that can be appended to and edited."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
+        self.vocabulary, self.data = vocabulary, b""
+        self.last: list[int] = []  # the last token of each prefix
         self.append(data)
 
     def append(self, more: bytes) -> PrefixEncoding:
@@ -115,8 +117,8 @@ class PrefixEncoding:
         ranks, longest, holds = v.ranks, v.longest, v.border_holds
         for end in range(start + 1, len(data) + 1):
             for at in range(max(0, end - longest), end):
-                token = data[at:end]
-                if token in ranks and (at == 0 or holds(last[at - 1], token)):
+                token = ranks.get(data[at:end])
+                if token is not None and (at == 0 or holds(last[at - 1], token)):
                     last.append(token)
                     break
         return self
@@ -131,8 +133,8 @@ class PrefixEncoding:
         out, end = [], len(self.data)
         while end:
             token = self.last[end - 1]
-            out.append(self.vocabulary.ranks[token])
-            end -= len(token)
+            out.append(token)
+            end -= len(self.vocabulary.bytes[token])
         return out[::-1]
 
 
