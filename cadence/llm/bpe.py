@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.borders: dict[int, bool] = {}
+        self.borders: dict[int, dict[int, bool]] = defaultdict(dict)  # by the token on the left, then on the right
+        self.checked = 0
         self._spines: dict[bytes, tuple] = {}
         for b in range(256):
             if bytes([b]) not in ranks:
@@ -75,15 +77,14 @@ class Vocabulary:
             self._spines[token] = tuple(sides)
         return self._spines[token]
 
-    def border_holds(self, a: int, b: int) -> bool:
-        """Whether BPE of two tokens' bytes, one after the other, is the two."""
-        key = a << 32 | b
-        known = self.borders.get(key)
-        if known is None:
-            known = self._border_holds(self.bytes[a], self.bytes[b])
-            if len(self.borders) >= CACHE_BORDERS:
-                self.borders.clear()
-            self.borders[key] = known
+    def check_border(self, a: int, b: int) -> bool:
+        """Whether BPE of two tokens' bytes, one after the other, is the two;
+        remembered in ``borders``."""
+        if self.checked >= CACHE_BORDERS:
+            self.borders.clear()
+            self.checked = 0
+        self.checked += 1
+        known = self.borders[a][b] = self._border_holds(self.bytes[a], self.bytes[b])
         return known
 
     def _border_holds(self, a: bytes, b: bytes) -> bool:
@@ -114,13 +115,20 @@ class PrefixEncoding:
     def append(self, more: bytes) -> PrefixEncoding:
         start, self.data = len(self.data), self.data + more
         v, data, last = self.vocabulary, self.data, self.last
-        ranks, longest, holds = v.ranks, v.longest, v.border_holds
+        rank, longest, borders, check = v.ranks.get, v.longest, v.borders, v.check_border
         for end in range(start + 1, len(data) + 1):
             for at in range(max(0, end - longest), end):
-                token = ranks.get(data[at:end])
-                if token is not None and (at == 0 or holds(last[at - 1], token)):
-                    last.append(token)
-                    break
+                token = rank(data[at:end])
+                if token is None:
+                    continue
+                if at:
+                    holds = borders[last[at - 1]].get(token)
+                    if holds is None:
+                        holds = check(last[at - 1], token)
+                    if not holds:
+                        continue
+                last.append(token)
+                break
         return self
 
     def edit(self, start: int, stop: int, new: bytes) -> PrefixEncoding:
