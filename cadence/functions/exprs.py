@@ -21,6 +21,13 @@ def to_number(c: Column | str) -> Column:
     return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
 
 
+def whole_number(c: Column | str) -> Column:
+    """Coerce to BIGINT; NULL for text that is no number, for fractions and
+    for numbers out of range."""
+    x = to_number(c)
+    return F.when(x == F.floor(x), x.try_cast("bigint"))
+
+
 def finite(c: Column | str) -> Column:
     """NaN and +-infinity become NULL."""
     x = _c(c)

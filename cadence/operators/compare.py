@@ -13,12 +13,12 @@ from cadence.panel import whole_series
 def entity_comparison(indicators: DataFrame, code_map: DataFrame, metric: str, focus: str,
                       others: Sequence[str], lo: int, hi: int, entity: str = "country_name",
                       code: str = "series_code", period: str = "year") -> DataFrame:
-    """Look the metric up in the (small, broadcast) code map, keep the
+    """Look the metric up in the code map, keep the
     focus entity plus the chosen others inside the period range, and drop
     any entity with fewer than two points."""
     codes = code_map.where(F.col("metric") == metric).select(F.col("code").alias("_code"))
     chosen = list(dict.fromkeys([focus, *others]))
-    d = (indicators.join(F.broadcast(codes), indicators[code] == F.col("_code"), "left_semi")
+    d = (indicators.join(codes, indicators[code] == F.col("_code"), "left_semi")
          .where(F.col(entity).isin(chosen) & F.col(period).between(lo, hi)))
     return (d.withColumn("_n", F.count(F.lit(1)).over(whole_series([code, entity])))
             .where(F.col("_n") >= 2).drop("_n"))

@@ -31,58 +31,55 @@ def overlapping(events: DataFrame, lo, hi, categories: Sequence[str] | None = No
 
 
 def explode_intervals(events: DataFrame, freq: str, start: str = "start", end: str = "end",
-                      period: str = "period") -> DataFrame:
+                      period: str = "period", bounds=None) -> DataFrame:
     """One row per (event, covered period); ``band_mid`` is the interval
-    midpoint in period-index units (the centre of a shaded band)."""
+    midpoint in period-index units (the centre of a shaded band).  ``bounds``
+    (first, last period of interest) clips the interval before it is exploded,
+    so an open-ended one costs no more than the panel is long."""
     mid = (period_index(start, freq) + period_index(end, freq)) / 2.0
-    return events.withColumns({
-        period: F.explode(F.sequence(F.col(start), F.col(end), period_step(freq))),
-        "band_mid": mid})
-
-
-def salted_period_join(big: DataFrame, small: DataFrame, period: str, id_cols: Sequence[str],
-                       buckets: int) -> DataFrame:
-    """Equi-join on a low-cardinality period key without hot partitions: the
-    event side gets a deterministic salt (hash of its id, so a retried task
-    after an executor loss reproduces the same rows), the per-period panel
-    rows are replicated once per salt bucket, and the join runs on
-    (period, salt).  One day holding a third of all events is then spread
-    over ``buckets`` tasks.  AQE skew-join remains on as a second line."""
-    if buckets <= 1:
-        return big.join(small, period, "inner")
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), F.lit(buckets)))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                      F.lit(buckets - 1).cast("long"))))
-    return b.join(s, [period, "_salt"], "inner").drop("_salt")
+    lo, hi = F.col(start), F.col(end)
+    if bounds is not None:
+        lo, hi = F.greatest(lo, bounds[0]), F.least(hi, bounds[1])
+    d = events.withColumns({"_lo": lo, "_hi": hi, "band_mid": mid}).where("_lo <= _hi")
+    return d.withColumn(period, F.explode(F.sequence("_lo", "_hi", period_step(freq)))).drop("_lo", "_hi")
 
 
 def overlay(events: DataFrame, panel: DataFrame, freq: str, period: str = "period",
-            start: str = "start", end: str = "end", id_cols: Sequence[str] = ("event_id",),
-            salt_buckets: int = 8) -> DataFrame:
-    """Attach every event to each panel row whose period it covers."""
-    ex = explode_intervals(events.where(F.col(end) >= F.col(start)), freq, start, end, period)
-    return salted_period_join(ex, panel, period, id_cols, salt_buckets)
+            start: str = "start", end: str = "end") -> DataFrame:
+    """Attach every event to each panel row whose period it covers.
+
+    The panel is looked up once per distinct interval, clipped to the panel's
+    own periods, and the events are joined back to their interval; a hot day
+    is left to AQE's skew join.  The output has a row per event, covered
+    period and panel row: select the series of interest beforehand."""
+    ends = panel.select(F.struct(F.min(period).alias("lo"), F.max(period).alias("hi"))).scalar()
+    spans = events.where(F.col(end) >= F.col(start)).select(start, end).distinct()
+    covered = explode_intervals(spans, freq, start, end, period, (ends.getField("lo"), ends.getField("hi")))
+    return events.join(covered.join(panel, period, "inner"), [start, end], "inner")
 
 
 def event_study(events: DataFrame, panel: DataFrame, keys: Sequence[str], freq: str,
                 period: str = "period", value: str = "value", event_cols: Sequence[str] = ("event_id",),
-                start: str = "start", end: str = "end", salt_buckets: int = 8) -> DataFrame:
+                start: str = "start", end: str = "end") -> DataFrame:
     """Value one period before the start, at the end and one period after
     the end of each event, for every series of the panel, with the % change
     before->during and during->after (NULL when the base is NULL or 0).
 
-    Each event becomes three (phase, period) rows, which are equi-joined on
-    the period and pivoted back with conditional aggregates."""
-    ph = events.select(*event_cols, F.explode(F.array(
-        F.struct(F.lit("before").alias("phase"), add_periods(start, -1, freq).alias(period)),
-        F.struct(F.lit("during").alias("phase"), F.col(end).alias(period)),
-        F.struct(F.lit("after").alias("phase"), add_periods(end, 1, freq).alias(period)),
-    )).alias("_p")).select(*event_cols, "_p.phase", f"_p.{period}")
-    j = salted_period_join(ph, panel.select(*keys, period, value), period, event_cols,
-                           salt_buckets)
-    g = j.groupBy(*event_cols, *keys).agg(
+    The three (phase, period) lookups and their pivot are done once per
+    distinct interval; the events are joined to the result, and one whose
+    periods the panel does not reach stays, with NULL series and values."""
+    spans = events.select(F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
+    ph = spans.select("_s", "_e", F.explode(F.array(
+        F.struct(F.lit("before").alias("phase"), add_periods("_s", -1, freq).alias(period)),
+        F.struct(F.lit("during").alias("phase"), F.col("_e").alias(period)),
+        F.struct(F.lit("after").alias("phase"), add_periods("_e", 1, freq).alias(period)),
+    )).alias("_p")).select("_s", "_e", "_p.phase", f"_p.{period}")
+    j = ph.join(panel.select(*keys, period, value), period, "inner")
+    g = j.groupBy("_s", "_e", *keys).agg(
         *[F.max(F.when(F.col("phase") == p, F.col(value))).alias(p)
           for p in ("before", "during", "after")])
-    return g.withColumns({
+    g = g.withColumns({
         "change_before_during_pct": (safe_div(F.col("during"), F.col("before")) - 1) * 100,
         "change_during_after_pct": (safe_div(F.col("after"), F.col("during")) - 1) * 100})
+    same = F.col(start).eqNullSafe(F.col("_s")) & F.col(end).eqNullSafe(F.col("_e"))
+    return events.select(*event_cols, start, end).join(g, same, "left").drop("_s", "_e", start, end)

@@ -56,13 +56,25 @@ def minimum_support(n_features: int, floor: int = 10, extra: int = 5) -> int:
     return max(floor, n_features + extra)
 
 
-def support_split(frame: DataFrame, keys: Sequence[str], minimum: int) -> tuple[DataFrame, DataFrame]:
-    """M3: (kept rows, rejections (keys, reason, n))."""
-    d = frame.withColumn("n", F.count(F.lit(1)).over(whole_series(keys)))
-    kept = d.where(F.col("n") >= minimum)
-    rejected = (d.where(F.col("n") < minimum).groupBy(*keys).agg(F.max("n").alias("n"))
-                .withColumn("reason", F.lit(f"fewer than {minimum} complete observations")))
-    return kept, rejected.select(*keys, "reason", "n")
+def support_split(frame: DataFrame, keys: Sequence[str], minimum: int,
+                  entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """M3: (kept rows, rejections (keys, reason, n)).  ``entities`` lists all
+    entities of the input, so that one without any complete row is rejected
+    with n = 0; without it only the frame's own entities are known."""
+    kept = frame.withColumn("n", F.count(F.lit(1)).over(whole_series(keys))).where(F.col("n") >= minimum)
+    counts = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if entities is not None:
+        counts = every_entity(entities, keys, counts)
+    rejected = counts.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).where(F.col("n") < minimum)
+    return kept, rejected.select(*keys, F.lit(f"fewer than {minimum} complete observations").alias("reason"), "n")
+
+
+def every_entity(entities: DataFrame, keys: Sequence[str], found: DataFrame) -> DataFrame:
+    """``found`` (one row per entity) for every distinct entity, NULL-safe."""
+    e = entities.select(*[F.col(k).alias(f"_e_{k}") for k in keys]).distinct()
+    on = [F.col(f"_e_{k}").eqNullSafe(F.col(k)) for k in keys]
+    rest = [c for c in found.columns if c not in keys]
+    return e.join(found, on, "left").select(*[F.col(f"_e_{k}").alias(k) for k in keys], *rest)
 
 
 def holdout_split(frame: DataFrame, keys: Sequence[str], period: str, n_features: int) -> DataFrame:

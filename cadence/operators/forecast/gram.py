@@ -55,6 +55,7 @@ def coef_schema(key_fields: Sequence[T.StructField]) -> T.StructType:
                          T.StructField("alpha", T.DoubleType()),
                          T.StructField("l1_ratio", T.DoubleType()),
                          T.StructField("n_zero_coef", T.IntegerType()),
+                         T.StructField("converged", T.BooleanType()),
                          T.StructField("noise_precision", T.DoubleType()),
                          T.StructField("weight_precision", T.DoubleType()),
                          T.StructField("posterior_std", T.ArrayType(T.DoubleType()))])
@@ -82,14 +83,13 @@ def fit(stats: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
     _ship_by_value()
     key_fields = [stats.schema[k] for k in keys]
     schema = coef_schema(key_fields)
-    # one small row per (entity, scope) but CPU-heavy solves: spread the rows
-    # over every core instead of letting AQE coalesce them into one task
-    cores = max(stats.sparkSession.sparkContext.defaultParallelism, 1)
-    stats = stats.repartition(cores, *keys)
     names = schema.fieldNames()
 
     def solve(batches):
         for pdf in batches:
+            if model == "ols":
+                yield ols_batch(pdf, keys, names)
+                continue
             out = []
             for row in pdf.itertuples(index=False):
                 r = row._asdict()
@@ -101,9 +101,7 @@ def fit(stats: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
                 total = None
                 for k in sorted(blocks):
                     total = blocks[k] if total is None else total + blocks[k]
-                if model == "ols":
-                    b0, w, extra = solvers.ols(total)
-                elif model == "bayesian_ridge":
+                if model == "bayesian_ridge":
                     b0, w, extra = solvers.bayesian_ridge(total)
                 else:
                     b0, w, extra = solvers.elastic_net(blocks, int(r["k_folds"]))
@@ -121,6 +119,42 @@ def fit(stats: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
     return stats.mapInPandas(solve, schema)
 
 
+def ols_batch(pdf: pd.DataFrame, keys: Sequence[str], names: Sequence[str]) -> pd.DataFrame:
+    """OLS of all rows of a batch at once: the blocks of each row are summed
+    and the p x p systems solved as one stack."""
+    first = [[_as_dict(b) for b in blocks] for blocks in pdf["blocks"]]
+    if not first:
+        return pd.DataFrame(columns=names)
+    of = np.repeat(np.arange(len(first)), [len(b) for b in first])
+    flat = [b for blocks in first for b in blocks]
+
+    def total(field):
+        x = np.array([b[field] for b in flat], float)
+        out = np.zeros((len(first), *x.shape[1:]))
+        np.add.at(out, of, x)
+        return out
+
+    n, sz, sy, szy = total("n"), total("sz"), total("sy"), total("szy")
+    p = sz.shape[1]
+    zbar, ybar = sz / n[:, None], sy / n
+    g = total("szz").reshape(-1, p, p) - n[:, None, None] * zbar[:, :, None] * zbar[:, None, :]
+    c = szy - n[:, None] * zbar * ybar[:, None]
+    w = (np.linalg.pinv(g, hermitian=True) @ c[..., None])[..., 0]
+    out = pdf[[*keys, "scope", "mu", "sd"]].assign(n=n.astype("int64"), intercept=ybar - (zbar * w).sum(1),
+                                                   coef=list(w), converged=True)
+    rest = [c for c in names if c not in out.columns]
+    return out.assign(**{c: np.full(len(out), None, object) for c in rest})[list(names)]
+
+
+def unscaled(coefs: DataFrame) -> DataFrame:
+    """Coefficients and intercept of the raw features (scale 1, mean 0)."""
+    raw = F.zip_with("coef", "sd", lambda w, s: w / s)
+    shift = F.aggregate(F.zip_with(raw, "mu", lambda w, m: w * m), F.lit(0.0), lambda a, x: a + x)
+    return coefs.withColumns({"intercept": F.col("intercept") - shift, "coef": raw,
+                              "mu": F.transform("mu", lambda _: F.lit(0.0)),
+                              "sd": F.transform("sd", lambda _: F.lit(1.0))})
+
+
 def predict_expr(features: Sequence[str]):
     """yhat = intercept + sum coef_i * (x_i - mu_i) / sd_i (coefficients live
     on the standardised scale of the scope they were fitted on)."""

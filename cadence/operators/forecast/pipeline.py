@@ -1,6 +1,7 @@
 """``fit_predict``: the whole forecasting job for every entity of a panel.
 
-Steps (all lazy; one Spark job per action on the outputs):
+Steps (the input, the model frame and the coefficients are checkpointed while
+the plan is built, the outputs are lazy):
   feature frame (M1, M2) -> support guard (M3) -> temporal hold-out (M4)
   -> per-scope standardisation (M5) -> block statistics -> per-entity fit
   (M6-M8) or pooled boosting (M9) -> fit quality (M10) -> fitted levels (M11)
@@ -29,7 +30,7 @@ def _future_features(df, keys, period, predictors, lag, horizon, cutoff, freq, e
     grid = PR.future_grid(entities, keys, cutoff, horizon, lag, freq, period)
     rejections = []
     for p in predictors:
-        lines, rej = PR.driver_trend(df, keys, period, p, cutoff, freq, driver_window)
+        lines, rej = PR.driver_trend(df, keys, period, p, cutoff, freq, driver_window, entities)
         grid = PR.known_else_trend(grid, df, lines, keys, period, p, cutoff, freq,
                                    out=f"{p}_lag{lag}",
                                    earliest=add_periods(F.lit(cutoff), 1 - lag, freq))
@@ -67,12 +68,16 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
     keys = list(keys)
     require_columns(df, [*keys, period, target, *predictors], "forecast input")
     feats = FE.feature_names(predictors, lag)
+    every = df.select(*keys).distinct()
+    # nothing past the cut-off is ever used
+    df = df.where(F.col(period) <= F.lit(cutoff))
     if materialise:
+        every = _materialise(every)
         # the panel feeds the frame, the driver trends, the known-value lookup
         # and the last observed level: compute its used columns once
         df = _materialise(df.select(*keys, period, target, *predictors))
     frame = FE.feature_frame(df, keys, period, target, predictors, lag, mode, cutoff, freq)
-    kept, rej_support = FE.support_split(frame, keys, FE.minimum_support(len(feats)))
+    kept, rej_support = FE.support_split(frame, keys, FE.minimum_support(len(feats)), every)
     split = FE.holdout_split(kept, keys, period, len(feats))
     if materialise:
         split = _materialise(split)
@@ -107,7 +112,7 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
                                    "model": F.lit(model)})
     if model != "gbt":
         extra = coefs.where(F.col("scope") == "full").select(
-            *keys, "alpha", "l1_ratio", "n_zero_coef", "noise_precision", "weight_precision")
+            *keys, "alpha", "l1_ratio", "n_zero_coef", "noise_precision", "weight_precision", "converged")
         metrics = metrics.join(extra, keys, "left")
 
     history = PR.fitted_levels(in_sample, keys, period, mode).select(
@@ -138,8 +143,9 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
 def level_ols(df: DataFrame, keys: Sequence[str], period: str, target: str,
               predictors: Sequence[str], lag: int = 1, horizon: int = 5,
               freq: str = "month") -> dict[str, DataFrame]:
-    """Level OLS with a trend, raw (unscaled) lagged drivers, no cut-off,
-    n >= max(8, predictors + 4); drivers are extrapolated with one straight
+    """Level OLS with a trend and lagged drivers, no cut-off, n >=
+    max(8, predictors + 4); coefficients are those of the raw drivers (solved
+    on standardised ones and mapped back); drivers are extrapolated with one straight
     line through all their points; projection starts after the last model
     period."""
     from cadence.panel import series_window, whole_series
@@ -157,10 +163,15 @@ def level_ols(df: DataFrame, keys: Sequence[str], period: str, target: str,
     d = d.withColumn(FE.TREND, (idx - F.col("t0")).cast("double"))
     feats = [FE.TREND, *feats_raw]
     kept, rej = FE.support_split(d.withColumn("target_model", F.col("target_level")), keys,
-                                 max(8, len(predictors) + 4))
-    z = kept.withColumns({"scope": F.lit("full"), "block": F.lit(0), "k_folds": F.lit(0)})
-    coefs = G.fit(G.block_stats(z, keys, feats, standardised=False), keys, "ols")
-    c = coefs.drop("scope", "n")
+                                 max(8, len(predictors) + 4), df)
+    kept = _materialise(kept)
+    # cross-products of standardised features: raw ones of very different size
+    # (a trend beside a driver of 1e13) would drown each other
+    z = FE.standardise(kept.withColumn("scope", F.lit("full")), keys, feats)
+    z = z.withColumns({"block": F.lit(0), "k_folds": F.lit(0)})
+    scaled = _materialise(G.fit(G.block_stats(z, keys, feats), keys, "ols"))
+    c = scaled.drop("scope", "n")
+    coefs = G.unscaled(scaled)
     fitted = kept.join(c, keys, "inner").withColumn("predicted", G.predict_expr(feats))
     q = PR.fit_quality(fitted.withColumn("split", F.lit("in_sample")), keys,
                        yhat="predicted")
@@ -175,7 +186,7 @@ def level_ols(df: DataFrame, keys: Sequence[str], period: str, target: str,
     grid = grid.withColumn(FE.TREND, (period_index(period, freq) - F.col("_t0")).cast("double"))
     for p in predictors:
         lines, r = PR.driver_trend(df, keys, period, p, F.lit("9999-12-31").cast("date")
-                                   if freq != "year" else 9999, freq, window=None)
+                                   if freq != "year" else 9999, freq, None, ends)
         grid = grid.join(lines.select(*keys, "slope", "intercept"), keys, "inner").withColumn(
             f"{p}_lag{lag}", F.col("slope") * period_index("driver_period", freq).cast("double")
             + F.col("intercept")).drop("slope", "intercept")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.operators.forecast.features import every_entity
 from cadence.operators.transforms import local_tail
 from cadence.panel import add_periods, period_index, series_window
 
@@ -42,10 +43,12 @@ def fitted_levels(pred: DataFrame, keys: Sequence[str], period: str, mode: str,
 
 
 def driver_trend(df: DataFrame, keys: Sequence[str], period: str, driver: str, cutoff, freq: str,
-                 window: int | None = 10) -> tuple[DataFrame, DataFrame]:
+                 window: int | None = 10, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Straight line through the last ``window`` observed points at or
     before the cut-off (all points when ``window`` is None).  Returns
-    (trend lines (keys, slope, intercept, n), rejections for < 2 points)."""
+    (trend lines (keys, slope, intercept, n), rejections for < 2 points).
+    ``entities`` are those a line is wanted for: one without any point is
+    rejected with n = 0, and others get neither line nor rejection."""
     d = df.select(*keys, period, F.col(driver).alias("v"))
     if window is None:
         d = d.where(F.col("v").isNotNull() & (F.col(period) <= F.lit(cutoff)))
@@ -54,6 +57,8 @@ def driver_trend(df: DataFrame, keys: Sequence[str], period: str, driver: str, c
     t = period_index(period, freq).cast("double")
     g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("v", t).alias("slope"),
                              F.regr_intercept("v", t).alias("intercept"))
+    if entities is not None:
+        g = every_entity(entities, keys, g).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     ok = g.where(F.col("n") >= 2)
     rej = (g.where(F.col("n") < 2).select(*keys, "n")
            .withColumn("reason", F.lit(f"cannot extrapolate {driver}: fewer than 2 points")))

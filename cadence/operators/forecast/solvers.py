@@ -81,13 +81,14 @@ def bayesian_ridge(s: Stats):
         rss = float(yy - 2 * w @ c + w @ g @ w)
         return w, max(rss, 0.0)
 
-    w_old = None
+    w_old, met = None, False
     for it in range(BR_MAX_ITER):
         w, rss = coef(alpha, lam)
         gamma = float(np.sum((alpha * ev) / (lam + alpha * ev)))
         lam = (gamma + 2 * BR_LAMBDA_1) / (float(np.sum(w ** 2)) + 2 * BR_LAMBDA_2)
         alpha = (n - gamma + 2 * BR_ALPHA_1) / (rss + 2 * BR_ALPHA_2)
         if it != 0 and np.sum(np.abs(w_old - w)) < BR_TOL:
+            met = True
             break
         w_old = w.copy()
     w, _ = coef(alpha, lam)
@@ -95,14 +96,15 @@ def bayesian_ridge(s: Stats):
     post = np.sqrt(np.clip(np.diag(sigma), 0, None))
     return s.ybar - s.zbar @ w, w, {"noise_precision": float(alpha),
                                     "weight_precision": float(lam),
-                                    "posterior_std": post.tolist()}
+                                    "posterior_std": post.tolist(), "converged": met}
 
 
 def _cd_grid(g: np.ndarray, c: np.ndarray, n: float, alphas: np.ndarray, rhos: np.ndarray):
     """Coordinate descent with covariance updates for a whole grid at once.
     Objective (1/2n)||y - Xw||^2 + a*r*|w|_1 + a*(1-r)/2*|w|^2 on centred data
     (Friedman, Hastie & Tibshirani 2010).  ``alphas``/``rhos`` are broadcast
-    arrays of the grid shape; returns w of shape grid + (p,)."""
+    arrays of the grid shape; returns w of shape grid + (p,) and whether it met
+    the tolerance."""
     p = c.size
     shape = np.broadcast(alphas, rhos).shape
     w = np.zeros(shape + (p,))
@@ -120,64 +122,8 @@ def _cd_grid(g: np.ndarray, c: np.ndarray, n: float, alphas: np.ndarray, rhos: n
             w[..., j] = new
             delta = max(delta, float(np.max(np.abs(new - old))))
         if delta <= EN_TOL:
-            break
-    return w
-
-
-def _enet_exact(g: np.ndarray, c: np.ndarray, n: float, alphas: np.ndarray, rhos: np.ndarray,
-                kkt_tol: float = 1e-9):
-    """Exact elastic-net solution for a whole grid when p is small: with
-    l1 ratio < 1 the objective is strictly convex, so exactly one sign
-    pattern s in {-1, 0, 1}^p satisfies the KKT conditions
-        (G_AA + n*a*(1-r) I) w_A = c_A - n*a*r*s_A,  sign(w_A) = s_A,
-        |c_j - G_jA w_A| <= n*a*r  for inactive j.
-    Every pattern is solved batched over the grid; grid points left without
-    a consistent pattern (numerical ties) are returned as NaN."""
-    import itertools
-    p = c.size
-    shape = np.broadcast(alphas, rhos).shape
-    l1 = np.broadcast_to(n * alphas * rhos, shape)
-    l2 = np.broadcast_to(n * alphas * (1 - rhos), shape)
-    w = np.full(shape + (p,), np.nan)
-    done = np.zeros(shape, bool)
-    scale = max(1.0, float(np.max(np.abs(c))))
-    for pattern in itertools.product((0, 1, -1), repeat=p):
-        sgn = np.array(pattern, float)
-        act = sgn != 0
-        k = int(act.sum())
-        cand = np.zeros(shape + (p,))
-        if k:
-            m = g[np.ix_(act, act)][None] + l2.reshape(-1)[:, None, None] * np.eye(k)[None]
-            rhs = c[act][None] - l1.reshape(-1)[:, None] * sgn[act][None]
-            sol = np.linalg.solve(m, rhs[..., None])[..., 0].reshape(shape + (k,))
-            cand[..., act] = sol
-            ok = np.all(sol * sgn[act] > 0, axis=-1)
-        else:
-            ok = np.ones(shape, bool)
-        if k < p:
-            resid = c[~act] - cand @ g[:, ~act]
-            ok &= np.all(np.abs(resid) <= l1[..., None] + kkt_tol * scale, axis=-1)
-        new = ok & ~done
-        w[new] = cand[new]
-        done |= new
-        if done.all():
-            break
-    return w
-
-
-def _enet_grid(g, c, n, alphas, rhos):
-    """Exact solve for small p, coordinate descent for anything left."""
-    if c.size <= 6:
-        w = _enet_exact(g, c, n, alphas, rhos)
-        miss = np.isnan(w).any(axis=-1)
-        if not miss.any():
-            return w
-        shape = w.shape[:-1]
-        a = np.broadcast_to(alphas, shape)[miss]
-        r = np.broadcast_to(rhos, shape)[miss]
-        w[miss] = _cd_grid(g, c, n, a, r)
-        return w
-    return _cd_grid(g, c, n, alphas, rhos)
+            return w, True
+    return w, False
 
 
 def elastic_net(blocks: dict[int, Stats], k: int):
@@ -190,7 +136,7 @@ def elastic_net(blocks: dict[int, Stats], k: int):
     a_grid = ALPHAS[None, :]
     r_grid = L1_RATIOS[:, None]
     mse = np.zeros((L1_RATIOS.size, ALPHAS.size))
-    folds = 0
+    folds, met = 0, True
     for i in range(1, k + 1):
         if i not in blocks:
             continue
@@ -201,7 +147,8 @@ def elastic_net(blocks: dict[int, Stats], k: int):
         if train is None or train.n < 1:
             continue
         g, c, _ = train.centred()
-        w = _enet_grid(g, c, train.n, a_grid, r_grid)
+        w, ok = _cd_grid(g, c, train.n, a_grid, r_grid)
+        met = met and ok
         b0 = train.ybar - w @ train.zbar
         test = blocks[i]
         # vectorised sse over the grid
@@ -215,6 +162,7 @@ def elastic_net(blocks: dict[int, Stats], k: int):
     ri, ai = divmod(flat, ALPHAS.size)
     alpha, rho = float(ALPHAS[ai]), float(L1_RATIOS[ri])
     g, c, _ = total.centred()
-    w = _enet_grid(g, c, total.n, np.array(alpha), np.array(rho))
+    w, ok = _cd_grid(g, c, total.n, np.array(alpha), np.array(rho))
     return total.ybar - w @ total.zbar, w, {
-        "alpha": alpha, "l1_ratio": rho, "n_zero_coef": int(np.sum(np.isclose(w, 0.0)))}
+        "alpha": alpha, "l1_ratio": rho, "n_zero_coef": int(np.sum(np.isclose(w, 0.0))),
+        "converged": met and ok}

@@ -30,8 +30,7 @@ def resolve_metrics(long: DataFrame, catalog: DataFrame, available: Iterable[str
                     use_real: bool, metric: str = "metric") -> DataFrame:
     """Map each catalog label to its physical series — the real-terms
     column when asked for and present, else the original — and attach unit
-    and a used-real flag.  The catalog has one row per metric (a proven size
-    bound), so it is broadcast."""
+    and a used-real flag."""
     avail = list(available)
     real_ok = (F.lit(use_real) & F.coalesce(F.col("real_column").isin(avail), F.lit(False))
                if avail else F.lit(False))
@@ -40,7 +39,7 @@ def resolve_metrics(long: DataFrame, catalog: DataFrame, available: Iterable[str
         F.when(real_ok, F.col("real_column")).otherwise(F.col("column")).alias("_col"),
         F.when(real_ok, F.coalesce("real_unit", "unit")).otherwise(F.col("unit")).alias("unit"),
         real_ok.alias("used_real"))
-    j = long.join(F.broadcast(cat), long[metric] == cat["_col"], "inner")
+    j = long.join(cat, long[metric] == cat["_col"], "inner")
     return j.withColumnRenamed("_col", "column").drop(metric)
 
 
@@ -50,22 +49,17 @@ def period_range(df: DataFrame, period: str, lo, hi) -> DataFrame:
     return df.where(F.col(period).between(F.lit(lo), F.lit(hi)))
 
 
-def membership(df: DataFrame, column: str, values: Sequence | DataFrame,
-               broadcast_limit: int = 10_000) -> DataFrame:
+def membership(df: DataFrame, column: str, values: Sequence | DataFrame) -> DataFrame:
     """Multi-select membership.  An empty selection means no filter; NULL
-    never matches.  Short lists become ``isin``; a long list or a DataFrame
-    of values becomes a left-semi join (broadcast only under the limit)."""
+    never matches.  A list becomes ``isin``, a DataFrame of values a left-semi
+    join."""
     if isinstance(values, DataFrame):
         vals = values.select(F.col(values.columns[0]).alias("_v")).distinct()
         return df.join(vals, df[column] == vals["_v"], "left_semi")
     values = list(values)
     if not values:
         return df
-    if len(values) <= broadcast_limit:
-        return df.where(F.col(column).isin(values))
-    spark = df.sparkSession
-    vals = spark.createDataFrame([(v,) for v in values], ["_v"])
-    return df.join(vals, df[column] == vals["_v"], "left_semi")
+    return df.where(F.col(column).isin(values))
 
 
 def all_of(df: DataFrame, *conditions: Column) -> DataFrame:

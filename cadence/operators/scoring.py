@@ -54,7 +54,7 @@ def parent_scores(matches: DataFrame, parent: str = "parent_id", order: str = "m
     # the last recorded match; equal match numbers are broken by the outcome
     # so the result does not depend on row order
     ko_win = F.col("is_knockout") * w
-    last = F.max_by(F.struct(ko_win.alias("ko_win")), F.struct(F.col(order), ko_win))
+    last = F.max(F.col(order).cast("long") * 2 + ko_win) % 2
     g = d.groupBy(parent).agg(
         F.count(F.lit(1)).alias("matches"),
         F.sum(w).alias("wins"),
@@ -65,7 +65,7 @@ def parent_scores(matches: DataFrame, parent: str = "parent_id", order: str = "m
         F.countDistinct("phase").alias("phases"),
         F.max("is_knockout").alias("reached_knockout"),
         last.alias("_last"))
-    passed = F.col("phases") - 1 + F.col("_last.ko_win")
+    passed = F.col("phases") - 1 + F.abs("_last")
     g = g.withColumn("phases_passed", passed.cast("int")).drop("_last")
     tenths = (10 * F.col("goal_diff") + T_WIN * F.col("wins") + T_PHASE * F.col("phases_passed")
               + T_KO_WIN * F.col("ko_wins") + T_STRONG_WIN * F.col("wins_vs_strong")

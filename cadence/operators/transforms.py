@@ -16,10 +16,10 @@ from cadence.functions.exprs import finite, log10_pos, safe_div
 from cadence.panel import series_window, whole_series
 
 # The transform names offered by the series transform.
-TRANSFORMS = ("original", "real", "base100", "log10", "log10_base100", "pct_change",
+TRANSFORMS = ("original", "base100", "log10", "log10_base100", "pct_change",
               "cum_change", "zscore")
 
-# Axis labels for each transform (the "original"/"real" label is
+# Axis labels for each transform (the "original" label is
 # the scaled unit from ``display_scale``).
 AXIS_LABELS = {
     "base100": "Index base 100",
@@ -59,30 +59,51 @@ def diff(df: DataFrame, keys: Sequence[str], period: str, value: str,
     return df.withColumn(out, F.col(value) - F.lag(value, 1).over(series_window(keys, period)))
 
 
-def _base_struct(keys: Sequence[str], period: str, value: str, base_period) -> Column:
-    """min_by over the series: the requested period if non-zero, else the
+def _base_struct(period: str, value: str, base_period) -> Column:
+    """min_by aggregate of a series: the requested period if non-zero, else the
     first later non-zero, else the earliest non-zero.  NULL and zero values
     get a NULL ordering key and are never chosen."""
     v, p = F.col(value), F.col(period)
     order = F.when(v.isNotNull() & (v != 0),
                    F.struct((p < F.lit(base_period)).cast("int").alias("after"), p.alias("p")))
-    return F.min_by(F.struct(v.alias("v"), p.alias("p")), order).over(whole_series(keys))
+    return F.min_by(F.struct(v.alias("v"), p.alias("p")), order)
 
 
 def base_value(df: DataFrame, keys: Sequence[str], period: str, value: str, base_period,
                out_value: str = "base_value", out_period: str = "base_period") -> DataFrame:
     """Base value and the period it was taken from, per series."""
-    b = _base_struct(keys, period, value, base_period)
+    b = _base_struct(period, value, base_period).over(whole_series(keys))
     return df.withColumn("_base", b).withColumns(
         {out_value: F.col("_base.v"), out_period: F.col("_base.p")}).drop("_base")
 
 
-def display_scale(value: Column, unit: Column, keys: Sequence[str]) -> tuple[Column, Column]:
-    """Magnitude scaling per series from max|x|.  Rule order: percent /
-    rate / index units first, then persons, then money units."""
+def base_values(df: DataFrame, keys: Sequence[str], period: str, value: str, base_period) -> DataFrame:
+    """W4 as one row per series: keys, base_value, base_period."""
+    b = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(_base_struct(period, value, base_period).alias("_b"))
+    return b.select(*keys, F.col("_b.v").alias("base_value"), F.col("_b.p").alias("base_period"))
+
+
+def real_terms(df: DataFrame, keys: Sequence[str], metric: str, real_of: dict[str, str]) -> DataFrame:
+    """Each metric in real terms.  ``real_of`` maps a metric to the one
+    that holds its real version; where an entity (``keys``) has that, its rows
+    stand for the metric (``used_real``), otherwise the original rows stay and
+    ``warning`` says so.  The real versions are not listed by themselves."""
+    back = F.create_map(*[F.lit(x) for m, r in real_of.items() for x in (r, m)]) if real_of else None
+    label = F.coalesce(back[F.col(metric)], F.col(metric)) if real_of else F.col(metric)
+    d = df.withColumns({"used_real": F.col(metric).isin(list(real_of.values())), "_label": label})
+    there = F.max("used_real").over(Window.partitionBy(*keys, "_label"))
+    d = d.withColumn("_there", there).where(F.col("used_real") == F.col("_there"))
+    warning = F.when(~F.col("used_real"), F.concat(F.col("_label"), F.lit(": no real version, original kept")))
+    return d.withColumns({metric: F.col("_label"), "warning": warning}).drop("_label", "_there")
+
+
+def display_scale(value: Column, unit: Column, keys: Sequence[str]) -> tuple[Column, Column, Column]:
+    """(scaled value, label, factor), the magnitude per series from
+    max|x|.  Rule order: percent / exchange-rate / index units first, then
+    persons, then money units."""
     max_abs = F.max(F.abs(value)).over(whole_series(keys))
     u = F.coalesce(unit, F.lit(""))
-    plain = u.contains("%") | u.contains("/") | F.lower(u).contains("index")
+    plain = u.contains("%") | u.contains("MXN/USD") | F.lower(u).contains("index")
     persons = F.lower(u) == "persons"
     money = u.contains("USD") | u.contains("MXN")
     factor = (F.when(max_abs.isNull() | plain, F.lit(1.0))
@@ -97,7 +118,7 @@ def display_scale(value: Column, unit: Column, keys: Sequence[str]) -> tuple[Col
              .when(money & (max_abs >= 1e9), F.concat(F.lit("billions "), u))
              .when(money & (max_abs >= 1e6), F.concat(F.lit("millions "), u))
              .otherwise(u))
-    return value / factor, label
+    return value / factor, label, factor
 
 
 def transform_series(df: DataFrame, keys: Sequence[str], period: str = "period",
@@ -119,7 +140,7 @@ def transform_series(df: DataFrame, keys: Sequence[str], period: str = "period",
     o = F.col("original")
     base_period_col = F.lit(None).cast(d.schema[period].dataType)
     if kind in ("base100", "log10_base100", "cum_change"):
-        d = d.withColumn("_b", _base_struct(keys, period, "original", base_period))
+        d = d.withColumn("_b", _base_struct(period, "original", base_period).over(whole_series(keys)))
         base, base_period_col = F.col("_b.v"), F.col("_b.p")
         if kind == "base100":
             t = o / base * 100
@@ -128,8 +149,8 @@ def transform_series(df: DataFrame, keys: Sequence[str], period: str = "period",
         else:
             t = (o / base - 1) * 100
         label = F.lit(AXIS_LABELS[kind])
-    elif kind in ("original", "real"):
-        t, label = display_scale(o, F.col("_unit"), keys)
+    elif kind == "original":
+        t, label, _ = display_scale(o, F.col("_unit"), keys)
     elif kind == "log10":
         t, label = log10_pos(o), F.lit(AXIS_LABELS[kind])
     elif kind == "pct_change":
@@ -182,7 +203,8 @@ def lag_pair(df: DataFrame, keys: Sequence[str], period: str, target: str, drive
              lag: int, use_changes: bool) -> DataFrame:
     """(period, target, driver lagged ``lag`` rows) on levels or
     gap-preserving changes, complete cases, each standardised over the pair
-    rows (0 when constant)."""
+    rows (0 when constant), and the ``correlation`` of the series' pairs (NULL
+    when either side is constant)."""
     w = series_window(keys, period)
     t = pct_change_expr(target, w) if use_changes else F.col(target)
     d = df.select(*keys, period, t.alias("target"),
@@ -192,7 +214,10 @@ def lag_pair(df: DataFrame, keys: Sequence[str], period: str, target: str, drive
     d = d.select(*keys, period, "target", "driver_lagged").na.drop("any",
                                                                 subset=["target", "driver_lagged"])
     d = zscore(d, keys, "target", "target_z", zero_when_constant=True)
-    return zscore(d, keys, "driver_lagged", "driver_lagged_z", zero_when_constant=True)
+    d = zscore(d, keys, "driver_lagged", "driver_lagged_z", zero_when_constant=True)
+    ws = whole_series(keys)
+    sd = F.stddev_pop("target").over(ws) * F.stddev_pop("driver_lagged").over(ws)
+    return d.withColumn("correlation", F.try_divide(F.covar_pop("target", "driver_lagged").over(ws), sd))
 
 
 def top_moves(df: DataFrame, keys: Sequence[str], period: str, value: str, k: int = 3) -> DataFrame:

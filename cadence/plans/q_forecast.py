@@ -116,14 +116,15 @@ pcu AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS peri
 
 
 @register("m03_support_guard", S.with_(CUST_SQL, frame_sql("pcu", "o_custkey")) + """
-SELECT o_custkey, 'fewer than 10 complete observations' AS reason, COUNT(*) AS n
-FROM mf GROUP BY 1 HAVING COUNT(*) < 10""")
+SELECT o_custkey, 'fewer than 10 complete observations' AS reason, COUNT(mf.period) AS n
+FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN mf USING (o_custkey) GROUP BY 1 HAVING COUNT(mf.period) < 10""")
 def m03_support_guard(spark, sf):
     """M3: per-customer model frames with fewer than max(10, p + 5) complete
-    rows are rejected with their count."""
-    frame = FE.feature_frame(customer_panel(spark, sf), ["o_custkey"], "period", "order_value",
+    rows are rejected with their count, 0 included."""
+    panel = customer_panel(spark, sf)
+    frame = FE.feature_frame(panel, ["o_custkey"], "period", "order_value",
                              ["order_count"], LAG, "growth", CUT, "month")
-    _, rej = FE.support_split(frame, ["o_custkey"], FE.minimum_support(len(FEATS)))
+    _, rej = FE.support_split(frame, ["o_custkey"], FE.minimum_support(len(FEATS)), panel)
     return rej
 
 
@@ -320,9 +321,34 @@ def m15_importance(spark, sf):
     return PR.importance(coefs, KEYS, FEATS)
 
 
-@register("m16_level_ols")
+IDX = "CAST(year({0}) * 12 + month({0}) - 1 AS DOUBLE)"
+M16_SQL = S.PB_WIDE + f""",
+lv AS (SELECT c_nationkey, period, order_value AS y, lag(order_count, 1) OVER (PARTITION BY c_nationkey ORDER BY period) AS x FROM pb),
+lc AS (SELECT * FROM lv WHERE y IS NOT NULL AND x IS NOT NULL),
+lt AS (SELECT *, {IDX.format("period")} - MIN({IDX.format("period")}) OVER w AS t, COUNT(*) OVER w AS n
+       FROM lc WINDOW w AS (PARTITION BY c_nationkey)),
+ls AS (SELECT c_nationkey, AVG(t) AS m1, AVG(x) AS m2, AVG(y) AS my, COVAR_POP(t, t) AS s11, COVAR_POP(t, x) AS s12,
+              COVAR_POP(x, x) AS s22, COVAR_POP(t, y) AS s1y, COVAR_POP(x, y) AS s2y, MAX(period) AS stop,
+              MIN({IDX.format("period")}) AS t0 FROM lt WHERE n >= 8 GROUP BY 1),
+lb AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1,
+              (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM ls),
+dl AS (SELECT c_nationkey, regr_slope(order_count, {IDX.format("period")}) AS slope,
+              regr_intercept(order_count, {IDX.format("period")}) AS icpt FROM pb WHERE order_count IS NOT NULL GROUP BY 1),
+lp AS (SELECT lb.*, CAST(stop + to_months(CAST(s AS INTEGER)) AS DATE) AS period,
+              CAST(stop + to_months(CAST(s - {LAG} AS INTEGER)) AS DATE) AS dp
+       FROM lb, generate_series(1, {H}) AS g(s))"""
+
+
+@register("m16_level_ols", S.with_(M16_SQL) + f"""
+SELECT lt.c_nationkey, lt.period, y AS actual, round(my + b1 * (t - m1) + b2 * (x - m2), 3) + 0.0 AS predicted, 'history' AS kind
+FROM lt JOIN lb USING (c_nationkey)
+UNION ALL
+SELECT lp.c_nationkey, period, CAST(NULL AS DOUBLE),
+       round(my + b1 * ({IDX.format("period")} - t0 - m1) + b2 * (slope * {IDX.format("dp")} + icpt - m2), 3) + 0.0, 'projection'
+FROM lp JOIN dl USING (c_nationkey)""")
 def m16_level_ols(spark, sf):
     """Level OLS with a global trend per driver, raw features, projection
     after the last model period."""
-    return PL.level_ols(pb_df(spark, sf), KEYS, "period", "order_value", ["order_count"],
-                        lag=LAG, horizon=H, freq="month")["predictions"]
+    p = PL.level_ols(pb_df(spark, sf), KEYS, "period", "order_value", ["order_count"],
+                     lag=LAG, horizon=H, freq="month")["predictions"]
+    return rnd(p, ["predicted"], 3)

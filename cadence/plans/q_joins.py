@@ -12,7 +12,7 @@ from cadence.operators import enrich as E
 from cadence.operators import events as EV
 from cadence.plans import sql as S
 from cadence.plans.panels import build_ev, build_pb, build_pc, build_tx
-from cadence.plans.q_quality import IND_SQL, IND_YEARS, SERIES_CODES, yearly_nation_long
+from cadence.plans.q_quality import IND_SQL, SERIES_CODES, wide_indicators
 from cadence.plans.registry import register
 from cadence.sources import indicators as IND
 
@@ -21,9 +21,9 @@ tx AS (SELECT d.*, l.label_quality, l.toxic, l.label_note, l.src_label
        FROM docs d LEFT JOIN labs l ON d.doc_id = l.doc_id)"""
 
 
-def tx_joined(spark, sf, validate=True):
+def tx_joined(spark, sf):
     docs, labels = build_tx(spark, sf)
-    return E.validated_left_join(docs, labels, ["doc_id"], validate=validate)
+    return E.validated_left_join(docs, labels, ["doc_id"])
 
 
 @register("j01_validated_left_join", S.with_(TX_JOIN) + "SELECT * FROM tx")
@@ -37,7 +37,7 @@ SELECT doc_id, COALESCE(label_quality, quality) AS quality, quality AS quality_o
 def j02_precedence(spark, sf):
     """Enriched label quality takes precedence over the derived base value;
     the base value is kept as quality_original."""
-    d = E.precedence(tx_joined(spark, sf, validate=False), {"quality": "label_quality"})
+    d = E.precedence(tx_joined(spark, sf), {"quality": "label_quality"})
     return d.select("doc_id", "quality", "quality_original")
 
 
@@ -58,7 +58,7 @@ SELECT doc_id, source_original,
 FROM m""")
 def j03_text_merge(spark, sf):
     """Text merge without blanks, 'nan' or duplicates, joined by ' | '."""
-    d = E.merge_text(tx_joined(spark, sf, validate=False), "source", "label_note")
+    d = E.merge_text(tx_joined(spark, sf), "source", "label_note")
     d = d.withColumn("tags", combine_text("lang", "label_note", "lang", F.lit("NaN")))
     return d.select("doc_id", "source", "source_original", "tags")
 
@@ -91,12 +91,13 @@ def j05_interval_overlay(spark, sf):
 ph AS (SELECT event_id, 'before' AS phase, CAST(start - INTERVAL 1 DAY AS DATE) AS period FROM ev
        UNION ALL SELECT event_id, 'during', "end" FROM ev
        UNION ALL SELECT event_id, 'after', CAST("end" + INTERVAL 1 DAY AS DATE) FROM ev),
-g AS (SELECT ph.event_id, p.event_type,
+f AS (SELECT ph.event_id, p.event_type,
              MAX(CASE WHEN phase = 'before' THEN value END) AS before,
              MAX(CASE WHEN phase = 'during' THEN value END) AS during,
              MAX(CASE WHEN phase = 'after' THEN value END) AS after
       FROM ph JOIN pc_long p ON ph.period = p.period AND p.metric = 'value_sum'
-      GROUP BY 1, 2)""") + """
+      GROUP BY 1, 2),
+g AS (SELECT ev.event_id, f.event_type, f.before, f.during, f.after FROM ev LEFT JOIN f ON ev.event_id = f.event_id)""") + """
 SELECT *, (during / NULLIF(before, 0) - 1) * 100 AS change_before_during_pct,
           (after / NULLIF(during, 0) - 1) * 100 AS change_during_after_pct FROM g""")
 def j06_event_study(spark, sf):
@@ -119,9 +120,7 @@ SELECT * FROM sel WHERE COUNT(*) OVER (PARTITION BY series_code, country_name) >
 def j08_entity_comparison(spark, sf):
     """Metric -> external code lookup, then the focus nation and two
     others compared over the indicator table (entities with < 2 points dropped)."""
-    wide = IND.pivot_indicators(yearly_nation_long(spark, sf), list(IND.ID_COLUMNS), "year",
-                                "value", IND_YEARS)
-    ind = IND.melt_indicators(wide)
+    ind = IND.melt_indicators(wide_indicators(spark, sf))
     return C.entity_comparison(ind, code_map(spark), "order_value", "NATION_0",
                                ["NATION_3", "NATION_7"], 1995, 2001)
 

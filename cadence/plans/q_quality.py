@@ -30,11 +30,11 @@ def num_sql(x: str) -> str:
 # ------------------------------------------------------------------ S: sources
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
-    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()),
-    T.StructField("props", T.StringType())])
+    T.StructField("ts", T.TimestampNTZType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-@register("s01_csv_scan", "SELECT event_id, user_id, event_type, value, props FROM events")
+@register("s01_csv_scan", "SELECT event_id, user_id, ts, event_type, value, props FROM events")
 def s01_csv_scan(spark, sf):
     """Events written as CSV (quoted JSON text with commas and quotes)
     to the shared scratch folder and scanned back with an explicit schema."""
@@ -43,21 +43,18 @@ def s01_csv_scan(spark, sf):
     return SRC.read_csv(spark, path, EVENT_SCHEMA)
 
 
-IND_YEARS = list(range(1995, 2002))
 # External indicator codes of the yearly nation metrics.
 SERIES_CODES = {"order_value": "OV.TOT", "order_count": "OC.TOT"}
 
 
 def yearly_nation_long(spark, sf):
     orders = read(spark, sf, "orders")
-    per_cust = (orders.groupBy("o_custkey", F.year("o_orderdate").alias("year"))
-                .agg(F.sum(money("o_totalprice")).alias("v"),
-                     F.count(F.lit(1)).alias("c")))
+    pruned = orders.select("o_custkey", F.year("o_orderdate").alias("year"), money("o_totalprice").alias("v"))
     cust = read(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    by_nation = (per_cust.join(cust, per_cust.o_custkey == cust.c_custkey)
+    by_nation = (pruned.join(cust, pruned.o_custkey == cust.c_custkey)
                  .groupBy("c_nationkey", "year")
                  .agg(dollars(F.sum("v")).alias("order_value"),
-                      F.sum("c").cast("double").alias("order_count")))
+                      F.count(F.lit(1)).cast("double").alias("order_count")))
     nation = read(spark, sf, "nation")
     named = by_nation.join(nation, by_nation.c_nationkey == nation.n_nationkey)
     long = to_long(named.select("n_name", "n_nationkey", "year", "order_value", "order_count"),
@@ -69,6 +66,15 @@ def yearly_nation_long(spark, sf):
                        "year", "value")
 
 
+def wide_indicators(spark, sf):
+    """The yearly nation metrics as a wide table, a column for each year from
+    the first order's to the last one's."""
+    y = F.year("o_orderdate")
+    first, last = read(spark, sf, "orders").select(F.min(y), F.max(y)).first()
+    years = list(range(first, last + 1)) if first is not None else []
+    return IND.pivot_indicators(yearly_nation_long(spark, sf), list(IND.ID_COLUMNS), "year", "value", years)
+
+
 def _yearly_sql() -> str:
     return """
 yn AS (
@@ -94,9 +100,7 @@ IND_SQL = _yearly_sql()
 def s02_indicator_melt(spark, sf):
     """Yearly nation metrics pivoted into a wide indicator table (one
     '1995 [YR1995]' text column per year, '..' when missing) and melted back."""
-    wide = IND.pivot_indicators(yearly_nation_long(spark, sf), list(IND.ID_COLUMNS), "year",
-                                "value", IND_YEARS)
-    return IND.melt_indicators(wide)
+    return IND.melt_indicators(wide_indicators(spark, sf))
 
 
 LABEL_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()),
@@ -172,10 +176,10 @@ def t02_numeric_inference(spark, sf):
 
 
 @register("t03_reserved_columns", S.with_(S.PA_WIDE) + """
-SELECT *, CAST(NULL AS DOUBLE) AS gini_index, CAST(NULL AS DOUBLE) AS middle_class_pct FROM pa""")
+SELECT *, CAST(NULL AS DOUBLE) AS extra_index, CAST(NULL AS DOUBLE) AS extra_pct FROM pa""")
 def t03_reserved_columns(spark, sf):
     """Reserved metric columns added as NULL when absent."""
-    return Q.add_missing(build_pa(spark, sf).df, ["gini_index", "middle_class_pct", "order_value"])
+    return Q.add_missing(build_pa(spark, sf).df, ["extra_index", "extra_pct", "order_value"])
 
 
 @register("t04_drop_null_keys", S.with_(S.TX) + """

@@ -64,8 +64,7 @@ SELECT o_orderpriority, metric, struct_extract(bs, 'v') AS base_value,
 def w04_base_value(spark, sf):
     """Per-series base value and the period it came from (requested
     1999-06; later non-zero, else earliest non-zero)."""
-    d = T.base_value(pa_long(spark, sf), PA_KEYS, "period", "value", dt.date(1999, 6, 1))
-    return d.select(*PA_KEYS, "base_value", "base_period").distinct()
+    return T.base_values(pa_long(spark, sf), PA_KEYS, "period", "value", dt.date(1999, 6, 1))
 
 
 @register("w06_log10", _transform_sql(S.PA_LONG, "pa_long", PA_KEYS,
@@ -161,14 +160,14 @@ _W10_SQL = S.with_(S.PA_LONG, f"""
 u AS (SELECT *, {_unit_case()} AS unit FROM pa_long WHERE value IS NOT NULL AND period IS NOT NULL),
 d AS (SELECT *, COUNT(*) OVER w AS n, max(abs(value)) OVER w AS mx FROM u
       WINDOW w AS (PARTITION BY o_orderpriority, metric)),
-s AS (SELECT *, CASE WHEN mx IS NULL OR unit LIKE '%\\%%' ESCAPE '\\' OR unit LIKE '%/%'
+s AS (SELECT *, CASE WHEN mx IS NULL OR unit LIKE '%\\%%' ESCAPE '\\' OR unit LIKE '%MXN/USD%'
                        OR lower(unit) LIKE '%index%' THEN 1.0
                      WHEN lower(unit) = 'persons' THEN 1e6
                      WHEN (unit LIKE '%USD%' OR unit LIKE '%MXN%') AND mx >= 1e12 THEN 1e12
                      WHEN (unit LIKE '%USD%' OR unit LIKE '%MXN%') AND mx >= 1e9 THEN 1e9
                      WHEN (unit LIKE '%USD%' OR unit LIKE '%MXN%') AND mx >= 1e6 THEN 1e6
                      ELSE 1.0 END AS f,
-                CASE WHEN mx IS NULL OR unit LIKE '%\\%%' ESCAPE '\\' OR unit LIKE '%/%'
+                CASE WHEN mx IS NULL OR unit LIKE '%\\%%' ESCAPE '\\' OR unit LIKE '%MXN/USD%'
                        OR lower(unit) LIKE '%index%' THEN unit
                      WHEN lower(unit) = 'persons' THEN 'millions of persons'
                      WHEN (unit LIKE '%USD%' OR unit LIKE '%MXN%') AND mx >= 1e12 THEN 'trillions ' || unit
@@ -187,10 +186,44 @@ def w10_original_scaled(spark, sf):
                               unit="unit")
 
 
-@register("p11_display_scale", _W10_SQL)
+@register("w10_real_terms", S.with_(S.PA_LONG, """
+r AS (SELECT o_orderpriority, period, value, metric = 'line_revenue' AS used_real,
+             CASE WHEN metric = 'line_revenue' THEN 'order_value' ELSE metric END AS metric FROM pa_long),
+h AS (SELECT *, bool_or(used_real) OVER (PARTITION BY o_orderpriority, metric) AS there FROM r)""") + """
+SELECT o_orderpriority, metric, period, value, used_real,
+       CASE WHEN NOT used_real THEN metric || ': no real version, original kept' END AS warning
+FROM h WHERE used_real = there""")
+def w10_real_terms(spark, sf):
+    """Metrics in real terms; line revenue is the real version of order
+    value, the other metrics have none and carry the warning."""
+    d = T.real_terms(pa_long(spark, sf), ["o_orderpriority"], "metric", {"order_value": "line_revenue"})
+    return d.select("o_orderpriority", "metric", "period", "value", "used_real", "warning")
+
+
+# (unit, multiplier of the order value): every branch of the scaling rule
+P11_CASES = (("USD", 1e7), ("USD", 1e4), ("USD", 1.0), ("USD", 1e-7), ("MXN", 1e7), ("MXN", 1e4), ("persons", 1.0),
+             ("MXN/USD", 1e7), ("USD/person", 1e4), ("rate %", 1e7), ("Index", 1e7), ("orders", 1e7))
+
+
+@register("p11_display_scale", S.with_(S.PB_LONG, """
+c AS (SELECT * FROM (VALUES """ + ", ".join(f"('{u}', CAST({m!r} AS DOUBLE))" for u, m in P11_CASES) + """) AS c(unit, mult)),
+v AS (SELECT c_nationkey, unit, mult, period, value * mult AS x FROM pb_long, c WHERE metric = 'order_value'),
+m AS (SELECT *, MAX(abs(x)) OVER (PARTITION BY c_nationkey, unit, mult) AS mx FROM v),
+f AS (SELECT *, CASE WHEN mx IS NULL OR unit IN ('MXN/USD', 'rate %', 'Index') THEN 1.0 WHEN unit = 'persons' THEN 1e6
+                     WHEN unit NOT LIKE '%USD%' AND unit NOT LIKE '%MXN%' THEN 1.0
+                     WHEN mx >= 1e12 THEN 1e12 WHEN mx >= 1e9 THEN 1e9 WHEN mx >= 1e6 THEN 1e6 ELSE 1.0 END AS factor FROM m)""") + """
+SELECT c_nationkey, unit, mult, period, x / factor AS scaled, CAST(factor AS DOUBLE) AS factor,
+       CASE WHEN factor = 1 THEN unit WHEN unit = 'persons' THEN 'millions of persons'
+            WHEN factor = 1e12 THEN 'trillions ' || unit WHEN factor = 1e9 THEN 'billions ' || unit
+            ELSE 'millions ' || unit END AS label FROM f""")
 def p11_display_scale(spark, sf):
-    """Display scaling (same plan as W10, exposed as the scaling operator)."""
-    return w10_original_scaled(spark, sf)
+    """Display scaling with its factor, the order values of every nation
+    under units and magnitudes that reach each branch of the rule."""
+    cases = F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(m).alias("mult")) for u, m in P11_CASES])
+    d = build_pb(spark, sf).long().where(F.col("metric") == "order_value").withColumn("_c", F.explode(cases))
+    d = d.select("c_nationkey", "_c.unit", "_c.mult", "period", (F.col("value") * F.col("_c.mult")).alias("x"))
+    scaled, label, factor = T.display_scale(F.col("x"), F.col("unit"), ["c_nationkey", "unit", "mult"])
+    return d.select("c_nationkey", "unit", "mult", "period", scaled.alias("scaled"), factor.alias("factor"), label.alias("label"))
 
 
 @register("w11_shares", S.with_("""
@@ -240,14 +273,15 @@ lg AS (SELECT c_nationkey, period, target,
 c AS (SELECT * FROM lg WHERE target IS NOT NULL AND driver_lagged IS NOT NULL)""") + """
 SELECT c_nationkey, period, target, driver_lagged,
   round(COALESCE(CASE WHEN stddev_pop(target) OVER w > 0 THEN (target - avg(target) OVER w) / stddev_pop(target) OVER w END, 0.0), 6) + 0.0 AS target_z,
-  round(COALESCE(CASE WHEN stddev_pop(driver_lagged) OVER w > 0 THEN (driver_lagged - avg(driver_lagged) OVER w) / stddev_pop(driver_lagged) OVER w END, 0.0), 6) + 0.0 AS driver_lagged_z
+  round(COALESCE(CASE WHEN stddev_pop(driver_lagged) OVER w > 0 THEN (driver_lagged - avg(driver_lagged) OVER w) / stddev_pop(driver_lagged) OVER w END, 0.0), 6) + 0.0 AS driver_lagged_z,
+  round(covar_pop(target, driver_lagged) OVER w / NULLIF(stddev_pop(target) OVER w * stddev_pop(driver_lagged) OVER w, 0), 6) + 0.0 AS correlation
 FROM c WINDOW w AS (PARTITION BY c_nationkey)""")
 def w13_lag_pair(spark, sf):
     """Order-value change vs order-count change lagged 2 periods,
     standardised, per nation (densified PB panel)."""
     wide = build_pb(spark, sf).df
     d = T.lag_pair(wide, ["c_nationkey"], "period", "order_value", "order_count", 2, True)
-    return rnd(d, ["target_z", "driver_lagged_z"])
+    return rnd(d, ["target_z", "driver_lagged_z", "correlation"])
 
 
 @register("w14_top_moves", _transform_sql(

@@ -4,7 +4,6 @@ Structured Streaming over the events table."""
 from __future__ import annotations
 
 from cadence.plans.registry import register
-from cadence.session import scratch_path, stable_tag
 from cadence.streaming import run_daily_panel
 
 
@@ -13,11 +12,7 @@ SELECT event_type, CAST(ts AS DATE) AS period, CAST(COUNT(*) AS DOUBLE) AS n,
        CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0 AS value_sum
 FROM events GROUP BY 1, 2""")
 def s07_stream_daily_panel(spark, sf):
-    """Streaming source -> watermarked daily windows -> update-mode sink ->
+    """Streaming source -> daily windows -> update-mode sink ->
     latest version per group (the PC panel's count and value sum)."""
-    tag = stable_tag(sf, "events.parquet")
-    # stable folders: a re-run resumes from the stream checkpoint (nothing new
-    # to read) and returns the same maintained panel
-    return run_daily_panel(spark, sf, out_path=scratch_path(spark, f"s07_panel_{tag}/table"),
-                           checkpoint=scratch_path(spark, f"s07_panel_{tag}/state"),
-                           file_glob="events.parquet")
+    # fresh folders: every call reads the whole events table
+    return run_daily_panel(spark, sf, file_glob="events.parquet")

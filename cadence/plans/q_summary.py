@@ -78,9 +78,9 @@ def a04_kpi(spark, sf):
 
 
 @register("a05_coverage", S.with_(S.PB_WIDE, """
-pbx AS (SELECT *, CAST(NULL AS DOUBLE) AS gini_index FROM pb)""",
+pbx AS (SELECT *, CAST(NULL AS DOUBLE) AS extra_index FROM pb)""",
                                   S.long_cte("cov", "pbx", ["c_nationkey"],
-                                             ["order_value", "order_count", "gini_index"])) + """
+                                             ["order_value", "order_count", "extra_index"])) + """
 SELECT c_nationkey, metric, COUNT(value) AS n_periods,
        MIN(period) FILTER (WHERE value IS NOT NULL) AS first_period,
        MAX(period) FILTER (WHERE value IS NOT NULL) AS last_period
@@ -88,8 +88,8 @@ FROM cov GROUP BY 1, 2""")
 def a05_coverage(spark, sf):
     """A5: coverage per series from the unfiltered panel, including a
     reserved metric without any data (0 / NULL)."""
-    pb = Q.add_missing(build_pb(spark, sf).df, ["gini_index"])
-    long = to_long(pb, ["c_nationkey"], "period", ["order_value", "order_count", "gini_index"])
+    pb = Q.add_missing(build_pb(spark, sf).df, ["extra_index"])
+    long = to_long(pb, ["c_nationkey"], "period", ["order_value", "order_count", "extra_index"])
     return A.coverage(long, PB_KEYS)
 
 
@@ -99,7 +99,7 @@ SELECT DISTINCT field, value FROM (
   UNION ALL SELECT 'src_label', NULLIF(trim(src_label), '') FROM tx) WHERE value IS NOT NULL""")
 def a06_lineage(spark, sf):
     """Lineage roll-up of every 'src_' column: distinct non-blank values."""
-    return A.lineage(tx_joined(spark, sf, validate=False), "src_")
+    return A.lineage(tx_joined(spark, sf), "src_")
 
 
 @register("a07_distinct_values", """

@@ -8,19 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.functions.exprs import to_number
+from cadence.functions.exprs import to_number, whole_number
+
+
+TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             header: bool = True) -> DataFrame:
+             header: bool = True, multi_line: bool = True) -> DataFrame:
     """CSV with a header row, quoted fields with embedded commas/quotes
     (RFC 4180 doubled quotes) and an optional UTF-8 BOM.  Pass an explicit
     schema for known sources; without one every column is read as text (type
-    inference is T2, done in one pass afterwards)."""
+    inference is T2, done in one pass afterwards).  Quoted fields may hold line
+    breaks; ``multi_line=False`` lets large files without any be split between
+    tasks.  With a schema a record that does not fit it fails the query."""
     r = (spark.read.option("header", header).option("quote", '"').option("escape", '"')
-         .option("multiLine", False).option("encoding", "UTF-8"))
+         .option("multiLine", multi_line).option("encoding", "UTF-8")
+         .option("timestampNTZFormat", TIMESTAMP + "[.SSSSSS][.SSS]"))
     if schema is not None:
-        r = r.schema(schema)
+        r = r.schema(schema).option("mode", "FAILFAST")
     df = r.csv(path)
     # a BOM-prefixed first header keeps the BOM in its name on some readers
     first = df.columns[0] if df.columns else None
@@ -31,7 +37,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"') \
-        .option("escape", '"').csv(path)
+        .option("escape", '"').option("timestampNTZFormat", TIMESTAMP + ".SSSSSS").csv(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -44,39 +50,46 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def optional_source(spark: SparkSession, path: str, required: Iterable[str],
                     schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     """S3: a missing path or missing required columns give an empty result
-    with the declared schema, not an error."""
+    with the declared schema, not an error; a cell that does not fit its type
+    is NULL."""
     empty = spark.createDataFrame([], schema)
     if not _exists(spark, path):
         return empty
     df = read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
     if set(required) - set(df.columns):
         return empty
-    return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns
-                       else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    def typed(f: T.StructField):
+        if f.name not in df.columns:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        if isinstance(df.schema[f.name].dataType, T.StringType) and isinstance(f.dataType, T.IntegralType):
+            return whole_number(f.name).try_cast(f.dataType).alias(f.name)
+        return F.col(f.name).try_cast(f.dataType).alias(f.name)
+    return df.select(*[typed(f) for f in schema.fields])
 
 
 def load_intervals(df: DataFrame, start: str = "start", end: str = "end",
                    severity: str = "severity") -> DataFrame:
     """Interval catalog: integer coercion of start/end/severity, rows
-    without a start dropped, ordered by start asc, severity desc."""
+    without a start dropped, ordered by start asc, severity desc (the catalog
+    is a short list made by hand; the sort is part of its contract)."""
     def to_int(c):
         t = df.schema[c].dataType
         return F.col(c) if isinstance(t, (T.DateType, T.IntegerType, T.LongType)) \
-            else to_number(c).cast("int")
+            else whole_number(c).try_cast("int")
     out = df.withColumns({c: to_int(c) for c in (start, end, severity) if c in df.columns})
     return (out.na.drop("any", subset=[start])
             .orderBy(F.col(start).asc_nulls_last(), F.col(severity).desc_nulls_last()))
 
 
 def load_facts(df: DataFrame, key_candidates: Sequence[str], numeric_columns: Iterable[str],
-               key: str = "key") -> DataFrame | None:
+               key: str = "key") -> DataFrame:
     """fact/history table whose key may come under either of several
-    names; listed numeric columns are coerced.  Returns None when no key
-    candidate exists (an empty source for the caller)."""
+    names; listed numeric columns are coerced.  A key that is no whole number
+    is NULL; without a key candidate the result is empty."""
     found = next((c for c in key_candidates if c in df.columns), None)
     if found is None:
-        return None
-    out = df.withColumn(key, to_number(found).cast("bigint"))
+        return df.limit(0).withColumn(key, F.lit(None).cast("bigint"))
+    out = df.withColumn(key, whole_number(found))
     present = [c for c in numeric_columns if c in out.columns]
     return out.withColumns({c: to_number(c) for c in present})
 

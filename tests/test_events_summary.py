@@ -38,7 +38,10 @@ def test_overlay_and_event_study(spark):
     assert (e1.before, e1.during, e1.after) == (0.0, 8.0, 4.0)
     assert e1.change_before_during_pct is None              # zero base
     assert math.isclose(e1.change_during_after_pct, -50.0)
-    assert 2 not in st                                      # NULL end: no periods
+    assert st[2].during is None and st[2].after is None     # NULL end: listed, without them
+    far = spark.createDataFrame([(9, 2050, 2051), (10, 1990, 9_999_999)], "event_id int, start int, end int")
+    assert [(r.event_id, r.k, r.before) for r in EV.event_study(far.where("event_id = 9"), panel, ["k"], "year").collect()] == [(9, None, None)]
+    assert EV.overlay(far, panel, "year").count() == 5      # open end: clipped to the panel
 
 
 def test_trend_summary_cagr_guard(spark):

@@ -40,11 +40,11 @@ def test_elastic_net_tiny_alpha_is_ols_and_kkt_holds():
     z, y = data(2)
     s = stats_of(z, y)
     g, c, _ = s.centred()
-    w = SV._cd_grid(g, c, s.n, np.array(1e-12), np.array(0.5))
+    w, _ = SV._cd_grid(g, c, s.n, np.array(1e-12), np.array(0.5))
     _, w_ols, _ = SV.ols(s)
     assert np.allclose(w, w_ols, atol=1e-6)
     alpha, rho = 0.3, 0.7
-    w = SV._cd_grid(g, c, s.n, np.array(alpha), np.array(rho))
+    w, _ = SV._cd_grid(g, c, s.n, np.array(alpha), np.array(rho))
     grad = (c - g @ w) / s.n - alpha * (1 - rho) * w          # = alpha*rho*sign(w) on the support
     for j in range(w.size):
         if abs(w[j]) > 1e-9:
@@ -69,7 +69,7 @@ def test_elastic_net_fold_selection_from_blocks():
             end = first + (i - 1) * ts
             s = stats_of(z[:end], y[:end])
             g, c, _ = s.centred()
-            wi = SV._cd_grid(g, c, s.n, np.array(alpha), np.array(rho))
+            wi, _ = SV._cd_grid(g, c, s.n, np.array(alpha), np.array(rho))
             bi = s.ybar - s.zbar @ wi
             zt, yt = z[end:end + ts], y[end:end + ts]
             errs.append(np.mean((yt - bi - zt @ wi) ** 2))
@@ -200,6 +200,74 @@ def test_level_ols_exact(spark):
     assert out["predictions"].where("kind='projection'").count() == 2
 
 
+def enet_exact(g: np.ndarray, c: np.ndarray, n: float, alphas: np.ndarray, rhos: np.ndarray,
+                kkt_tol: float = 1e-9):
+    """Exact elastic-net solution for a whole grid when p is small: with
+    l1 ratio < 1 the objective is strictly convex, so exactly one sign
+    pattern s in {-1, 0, 1}^p satisfies the KKT conditions
+        (G_AA + n*a*(1-r) I) w_A = c_A - n*a*r*s_A,  sign(w_A) = s_A,
+        |c_j - G_jA w_A| <= n*a*r  for inactive j.
+    Every pattern is solved batched over the grid; grid points left without
+    a consistent pattern (numerical ties) are returned as NaN."""
+    import itertools
+    p = c.size
+    shape = np.broadcast(alphas, rhos).shape
+    l1 = np.broadcast_to(n * alphas * rhos, shape)
+    l2 = np.broadcast_to(n * alphas * (1 - rhos), shape)
+    w = np.full(shape + (p,), np.nan)
+    done = np.zeros(shape, bool)
+    scale = max(1.0, float(np.max(np.abs(c))))
+    for pattern in itertools.product((0, 1, -1), repeat=p):
+        sgn = np.array(pattern, float)
+        act = sgn != 0
+        k = int(act.sum())
+        cand = np.zeros(shape + (p,))
+        if k:
+            m = g[np.ix_(act, act)][None] + l2.reshape(-1)[:, None, None] * np.eye(k)[None]
+            rhs = c[act][None] - l1.reshape(-1)[:, None] * sgn[act][None]
+            sol = np.linalg.solve(m, rhs[..., None])[..., 0].reshape(shape + (k,))
+            cand[..., act] = sol
+            ok = np.all(sol * sgn[act] > 0, axis=-1)
+        else:
+            ok = np.ones(shape, bool)
+        if k < p:
+            resid = c[~act] - cand @ g[:, ~act]
+            ok &= np.all(np.abs(resid) <= l1[..., None] + kkt_tol * scale, axis=-1)
+        new = ok & ~done
+        w[new] = cand[new]
+        done |= new
+        if done.all():
+            break
+    return w
+
+
+def test_level_ols_with_drivers_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    for size in (1.0, 1e9, 1e13):
+        x = size * (1 + rng.random(36))
+        y = 3.0 + 2.0 * np.arange(36) + 5.0 * np.roll(x, 1) / size + rng.normal(scale=0.1, size=36)
+        df = spark.createDataFrame([("a", 2000 + t, float(y[t]), float(x[t])) for t in range(36)], "k string, period int, y double, x double")
+        out = PL.level_ols(df, ["k"], "period", "y", ["x"], lag=1, horizon=2, freq="year")
+        design = np.column_stack([np.ones(35), np.arange(35), x[:-1] / size])
+        want = np.linalg.lstsq(design, y[1:], rcond=None)[0]
+        c = out["coefficients"].collect()[0]
+        assert [c.intercept, c.coef[0], c.coef[1] * size] == pytest.approx(want, rel=1e-6)
+        assert out["metrics"].collect()[0].rmse == pytest.approx(np.sqrt(np.mean((y[1:] - design @ want) ** 2)), rel=1e-6)
+
+
+def test_no_entity_vanishes(spark):
+    rows = [("full", 2000 + t, 100.0 + t * t, float(t % 4 + 1)) for t in range(20)]
+    rows += [("short", 2000 + t, 1.0 + t, 1.0 + t) for t in range(3)] + [("empty", 2000, None, None), ("late", 2050, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, period int, y double, x double")
+    out = PL.fit_predict(df, ["k"], "period", "y", ["x"], cutoff=2019, freq="year")
+    kept = {r.k for r in out["frame"].select("k").distinct().collect()}
+    rejected = {r.k: r.n for r in out["rejections"].collect()}
+    assert kept == {"full"} and set(rejected) == {"short", "empty", "late"} and rejected["empty"] == rejected["late"] == 0
+    entities = spark.createDataFrame([("short",), ("empty",)], "k string")
+    lines, rej = PR.driver_trend(df, ["k"], "period", "x", 2019, "year", 10, entities)
+    assert [r.k for r in lines.collect()] == ["short"] and [(r.k, r.n) for r in rej.collect()] == [("empty", 0)]
+
+
 @pytest.mark.parametrize("p", [1, 2, 4])
 def test_exact_elastic_net_matches_coordinate_descent(p):
     z, y = data(5 + p, n=50, p=p) if p <= 3 else (np.random.default_rng(9).normal(size=(50, p)),
@@ -207,8 +275,9 @@ def test_exact_elastic_net_matches_coordinate_descent(p):
     s = stats_of(z, y)
     g, c, _ = s.centred()
     a, r = SV.ALPHAS[None, ::7], SV.L1_RATIOS[:, None]
-    exact = SV._enet_exact(g, c, s.n, a, r)
-    cd = SV._cd_grid(g, c, s.n, a, r)
+    exact = enet_exact(g, c, s.n, a, r)
+    cd, met = SV._cd_grid(g, c, s.n, a, r)
+    assert met
     assert not np.isnan(exact).any()
     assert np.allclose(exact, cd, atol=1e-7)
 

@@ -93,7 +93,8 @@ def test_exact_elastic_net_satisfies_kkt(seed, p, n):
     s = SV.Stats(n, z.sum(0), y.sum(), (z.T @ z).ravel(), z.T @ y, y @ y)
     g, c, _ = s.centred()
     a, r = SV.ALPHAS[None, ::11], SV.L1_RATIOS[:, None]
-    w = SV._enet_grid(g, c, s.n, a, r)
+    w, met = SV._cd_grid(g, c, s.n, a, r)
+    assert met
     l1 = np.broadcast_to(n * a * r, w.shape[:-1])
     l2 = np.broadcast_to(n * a * (1 - r), w.shape[:-1])
     grad = c - w @ g - l2[..., None] * w            # = l1 * sign(w) where w != 0

@@ -1,3 +1,4 @@
+import pytest
 import os
 
 from pyspark.sql import types as T
@@ -46,7 +47,21 @@ def test_load_facts_key_candidates(spark):
     df = spark.createDataFrame([("7", "3"), ("8", "x")], "anio string, goals string")
     out = SRC.load_facts(df, ["year", "anio"], ["goals"])
     assert rows(out, "key", "goals") == [(7, 3.0), (8, None)]
-    assert SRC.load_facts(df, ["nope"], []) is None
+    empty = SRC.load_facts(df, ["nope"], [])
+    assert empty.count() == 0 and "key" in empty.columns
+    odd = spark.createDataFrame([("1995.5",), ("99999999999999999999",), ("12",)], "year string")
+    assert sorted(rows(SRC.load_facts(odd, ["year"], []), "key"), key=str) == [(12,), (None,), (None,)]
+
+
+def test_quoted_line_break_and_bad_cells(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('id,note,n\n1,"line one\nline two",5\n2,plain,6\n')
+    assert rows(SRC.read_csv(spark, str(p), "id int, note string, n int")) == [(1, "line one\nline two", 5), (2, "plain", 6)]
+    p.write_text("id,note,n\n1,a,x\n2,b,6\n")
+    with pytest.raises(Exception):
+        SRC.read_csv(spark, str(p), "id int, note string, n int").collect()
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    assert rows(SRC.optional_source(spark, str(p), ["id"], schema, "csv")) == [(1, None), (2, 6)]
 
 
 def test_write_table_report(spark, tmp_path):
