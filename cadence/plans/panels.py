@@ -46,19 +46,19 @@ def dollars(total, scale: float = 100.0):
 
 
 def lines_per_order(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """One row per order.  When ``orders`` is a filtered subset, lineitem is
-    first semi-joined to its keys: the semi-join and the aggregation share
-    the hash partitioning on the order key, so the reduction costs a shuffle
-    of the (small) filtered key set, not another pass of lineitem."""
-    li = read(spark, sf_dir, "lineitem")
-    if orders is not None:
-        li = li.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    return li.groupBy("l_orderkey").agg(
+    """One row per order, of ``orders`` alone if given.  Lines are aggregated
+    first, with a map-side combine, so an order holding much of the table is
+    one row per task before anything is shuffled; the semi-join then shares
+    the partitioning on the order key."""
+    li = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.sum(cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))).alias("rev"),
         F.sum(cents("l_quantity")).alias("qty"),
         F.sum(cents("l_discount")).alias("disc"),
         F.count(F.lit(1)).alias("nl"),
     )
+    if orders is not None:
+        li = li.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return li
 
 
 def build_pa(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> Panel:

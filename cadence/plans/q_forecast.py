@@ -321,6 +321,17 @@ def m15_importance(spark, sf):
     return PR.importance(coefs, KEYS, FEATS)
 
 
+@register("m15_importance_ols", S.with_(OLS_SQL, """
+iw AS (SELECT c_nationkey, 'trend' AS feature, 0 AS i, cf.b1 * sqrt(s11) AS w FROM cf JOIN cf_s USING (c_nationkey)
+       UNION ALL SELECT c_nationkey, 'order_count_lag1', 1, cf.b2 * sqrt(s22) FROM cf JOIN cf_s USING (c_nationkey))""") + """
+SELECT c_nationkey, feature, round(w, 5) + 0.0 AS std_coefficient,
+       CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(w) DESC, i) AS INTEGER) AS rank FROM iw""")
+def m15_importance_ols(spark, sf):
+    """Standardised OLS coefficients, ranked by |coefficient| per nation."""
+    d = PR.importance(run(spark, sf, "ols")["coefficients"], KEYS, FEATS)
+    return rnd(d.select(*KEYS, "feature", "std_coefficient", "rank"), ["std_coefficient"], 5)
+
+
 IDX = "CAST(year({0}) * 12 + month({0}) - 1 AS DOUBLE)"
 M16_SQL = S.PB_WIDE + f""",
 lv AS (SELECT c_nationkey, period, order_value AS y, lag(order_count, 1) OVER (PARTITION BY c_nationkey ORDER BY period) AS x FROM pb),

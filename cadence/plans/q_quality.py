@@ -412,3 +412,38 @@ def s06_partition_read(spark, sf):
     path = scratch_path(spark, f"s06_pa_read_{stable_tag(sf)}")
     SRC.write_table(pa, path, ["year"])
     return SRC.read_partitions(spark, path, "year", 1997, 1998)
+
+
+@register("b01_consolidated_build", S.with_(PA_MONEY_SQL) + f"""
+SELECT o_orderpriority, period, ov AS order_value, order_value AS order_value_original, line_revenue, order_count,
+       CASE WHEN month(period) = 3 THEN 'orders | revised' ELSE 'orders' END AS source, 'orders' AS source_original,
+       ov * fx_rate AS order_value_fx, line_revenue * fx_rate AS line_revenue_fx,
+       CASE WHEN month(period) <= 2 THEN 42.0::DOUBLE ELSE {_defl('ov')} END AS order_value_real,
+       {_defl('line_revenue')} AS line_revenue_real, ov + line_revenue AS total_value,
+       ov / NULLIF(order_count, 0) AS value_per_order, 'panel-v2' AS panel_version
+FROM (SELECT *, CASE WHEN month(period) = 6 THEN order_value + 1 ELSE order_value END AS ov FROM pam)""")
+def b01_consolidated_build(spark, sf):
+    """The whole build: CSV scan, number coercion, validated join to the
+    enrichment (with an audited real column), precedence, text merge, currency,
+    deflation, totals, version literal, sort, write and read back."""
+    tag = stable_tag(sf)
+    raw, out = scratch_path(spark, f"b01_raw_{tag}"), scratch_path(spark, f"b01_table_{tag}")
+    keys, numbers = ["o_orderpriority", "period"], ["order_value", "line_revenue", "order_count"]
+    money_panel = pa_money(spark, sf)
+    SRC.write_csv(money_panel.select(*keys, *numbers), raw)
+    base = SRC.read_csv(spark, raw)
+    base = base.withColumns({c: to_number(c) for c in numbers}).withColumns(
+        {"period": F.col("period").cast("date"), "source": F.lit("orders")})
+    month = F.month("period")
+    extra = money_panel.select(
+        *keys, "fx_rate", "deflator", F.when(month == 6, F.col("order_value") + 1).alias("new_value"),
+        F.when(month <= 2, F.lit(42.0)).alias("order_value_real"), F.when(month == 3, F.lit("revised")).alias("note"))
+    d = E.precedence(E.validated_left_join(base, extra, keys), {"order_value": "new_value"})
+    d = E.merge_text(d, "source", "note")
+    d = E.convert_currency(d, {"order_value": "order_value_fx", "line_revenue": "line_revenue_fx"}, "fx_rate")
+    d = E.deflate(d, {"order_value": "order_value_real", "line_revenue": "line_revenue_real"}, "deflator")
+    d = E.add_total(d, "total_value", ["order_value", "line_revenue"])
+    d = E.per_capita(d, "value_per_order", "order_value", "order_count")
+    d = P.with_literals(d, {"panel_version": "panel-v2"}).drop("fx_rate", "deflator", "new_value", "note")
+    SRC.write_table(d.orderBy(*keys), out)
+    return spark.read.parquet(out)
