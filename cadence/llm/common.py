@@ -38,9 +38,13 @@ def ship_by_value(module_name: str) -> None:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, across its tasks."""
+    """A dict that lives as long as the Python worker, across its tasks, until
+    another operator asks for its own: a worker that serves one stage after
+    another holds the memory of one."""
     holder = sys.modules.setdefault("_cadence_worker_cache", types.ModuleType("_cadence_worker_cache"))
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "name", None) != name:
+        holder.name, holder.kept = name, {}
+    return holder.kept
 
 
 ship_by_value(__name__)
