@@ -1,8 +1,8 @@
 """Gradient boosting (M9), pooled over entities with pyspark.ml.
 
-One booster is trained on all entities' rows (features are entity-relative:
-trend since the entity's first period and lagged drivers, target in growth
-mode), so training is a distributed tree learner rather than a loop over
+One booster is trained on all entities' rows.  Features are entity-relative:
+the trend since the entity's first period, and lagged drivers divided by the
+entity's mean absolute driver; only the growth target pools.  So training is a distributed tree learner rather than a loop over
 entities.  Spark's GBT offers squared and absolute loss; the robust absolute
 loss stands in for Huber.
 """
@@ -47,6 +47,21 @@ def fit_gbt(split: DataFrame, keys: Sequence[str], feats: Sequence[str]):
     return in_sample, holdout, coefs, full_model
 
 
+def entity_scale(frame: DataFrame, keys: Sequence[str], feats: Sequence[str], trend: str) -> DataFrame:
+    """Mean absolute value of each driver feature per entity (1 if it is 0)."""
+    means = {f: F.avg(F.abs(f)) for f in feats if f != trend}
+    if not means:
+        return frame.select(*keys).distinct()
+    return frame.groupBy(*keys).agg(*[F.when(m > 0, m).otherwise(F.lit(1.0)).alias(f"_scale_{f}") for f, m in means.items()])
+
+
+def relative(df: DataFrame, scale: DataFrame, keys: Sequence[str], feats: Sequence[str], trend: str) -> DataFrame:
+    """Driver features in units of their entity's own scale."""
+    d = df.join(scale, list(keys), "inner")
+    drivers = [f for f in feats if f != trend]
+    return d.withColumns({f: F.col(f) / F.col(f"_scale_{f}") for f in drivers}).drop(*[f"_scale_{f}" for f in drivers])
+
+
 def predict_gbt(model, grid: DataFrame, feats: Sequence[str]) -> DataFrame:
     va = VectorAssembler(inputCols=list(feats), outputCol="_features")
     return model.transform(va.transform(grid)).drop("_features")

@@ -65,6 +65,8 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
     per entity and scope) are checkpointed once; every output reuses them."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}")
+    if model == "gbt" and mode != "growth":
+        raise ValueError("the pooled booster takes the growth target only: levels differ in size by entity")
     keys = list(keys)
     require_columns(df, [*keys, period, target, *predictors], "forecast input")
     feats = FE.feature_names(predictors, lag)
@@ -83,8 +85,11 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
         split = _materialise(split)
 
     if model == "gbt":
-        from cadence.operators.forecast.boost import fit_gbt
-        in_sample, holdout, coefs, booster = fit_gbt(split, keys, feats)
+        from cadence.operators.forecast.boost import entity_scale, fit_gbt, relative
+        scale = entity_scale(split, keys, feats, FE.TREND)
+        if materialise:
+            scale = _materialise(scale)
+        in_sample, holdout, coefs, booster = fit_gbt(relative(split, scale, keys, feats, FE.TREND), keys, feats)
     else:
         z = FE.time_blocks(FE.standardise(FE.with_scopes(split), keys, feats), keys, period)
         coefs = G.fit(G.block_stats(z, keys, feats), keys, model)
@@ -124,7 +129,7 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
                                          entities)
     if model == "gbt":
         from cadence.operators.forecast.boost import predict_gbt
-        fut = predict_gbt(booster, grid, feats)
+        fut = predict_gbt(booster, relative(grid, scale, keys, feats, FE.TREND), feats)
     else:
         fut = grid.join(coefs.where(F.col("scope") == "full").drop("scope", "n"), keys, "inner") \
             .withColumn("predicted_model", G.predict_expr(feats))

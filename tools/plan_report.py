@@ -12,8 +12,8 @@ NOTES = {
                   "aggregate is partial+final, and one exchange on the series keys serves the windows.",
     "corr_lags": "one exchange on the entity key feeds the change/lag windows; all pairs and all "
                  "11 lags are expressions of one partial+final aggregate, then `inline` (Generate).",
-    "event_study": "the three phase rows per event are joined to the panel on (period, salt): the "
-                   "event side is salted by a hash of its id, the panel side expanded per salt bucket.",
+    "event_study": "the three phase rows per distinct interval are joined to the panel on the period "
+                   "and pivoted; the events are left-joined to the result on their interval.",
 }
 
 
