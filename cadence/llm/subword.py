@@ -4,8 +4,10 @@ A word is the mean of the embeddings of its hashed character n-grams and of
 itself, so a misspelling or an inflection unseen in training shares most of its
 vector with the word it comes from.  The bag is the mean over the words of a
 text, or (``window``) of the ``window`` neighbouring words that speak most for
-the last class, so that a few words tell in a text of any length.  Embeddings
-and softmax are trained jointly in numpy (sparse Adagrad on small batches).
+the last class, so that a few words tell in a text of any length.  A word over
+``WHOLE`` characters (unspaced text) counts as overlapping pieces, each a word
+of its own to the bag and the window.  Embeddings and softmax are trained
+jointly in numpy (sparse Adagrad on small batches).
 
 The model is linear in the bag, so scoring needs one number per word and class;
 workers keep those of the words they have met.
@@ -30,12 +32,24 @@ from cadence.llm.common import ship_by_value, worker_cache
 
 BUCKETS = 1 << 16
 CACHE_WORDS = 500_000
+WHOLE = 40
+#: characters of a piece, and of them those shared with the next one: every n-gram lies in a piece
+PIECE, SHARED = 12, 4
 TOKENS = {"words": re.compile(r"[^\W_]+"), "words and signs": re.compile(r"\w+|[^\w\s]+")}
 
 
+def pieces(words: list[str]) -> list[str]:
+    """The words, those over ``WHOLE`` characters in pieces.  A piece starts with
+    a space, which no word holds, and has the marks of the word's two ends only."""
+    if max(map(len, words), default=0) <= WHOLE:
+        return words
+    return list(chain.from_iterable(
+        [w] if len(w) <= WHOLE else [f" {m[i:i + PIECE]}" for m in (f"<{w}>",) for i in range(0, len(m) - SHARED, PIECE - SHARED)] for w in words))
+
+
 def ngrams(word: str) -> list[str]:
-    """A word itself and its character 3- to 5-grams."""
-    w = f"<{word[:40]}>"
+    """A word or piece itself and its character 3- to 5-grams."""
+    w = word[1:] if word[:1] == " " else f"<{word}>"
     return [w, *(w[i:i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))]
 
 
@@ -84,14 +98,14 @@ class Scorer:
         v = tuple([sum([c[i] for i in at]) / len(at) for c in self.columns])
         if len(self.met) >= CACHE_WORDS:
             self.met.clear()
-        if len(word) <= 40:
-            self.met[word] = v
+        self.met[word] = v
         return v
 
     def posterior(self, text: str) -> tuple[int, list[float]]:
         """Number of words, and one probability per class."""
         get, word = self.met.get, self.word
-        rows = [get(w) or word(w) for w in self.find(text.lower())]
+        words = self.find(text.lower())
+        rows = [get(w) or word(w) for w in pieces(words)]
         logits = self.model.bias.astype(np.float64)
         if rows and self.columns:
             x = np.fromiter(chain.from_iterable(rows), np.float64, len(rows) * len(self.columns)).reshape(len(rows), -1)
@@ -100,7 +114,7 @@ class Scorer:
                 x = x[a:b]
             logits = logits + np.concatenate(([0.0], x.mean(0)))
         e = np.exp(logits - logits.max())
-        return len(rows), (e / e.sum()).tolist()
+        return len(words), (e / e.sum()).tolist()
 
 
 def _for_last(x: np.ndarray) -> np.ndarray:
@@ -124,7 +138,7 @@ def train(sample: list[tuple], counts: dict, *, window: int = 0, tokens: str = "
         shares = np.array([counts[c] / total for c in classes] or [1.0])
         return Model(classes, np.zeros((BUCKETS, max(0, len(classes) - 1)), np.float32), np.log(np.maximum(shares, 1e-9)), window, tokens)
     ids: dict[str, int] = {}
-    docs = [(classes.index(label), np.array([ids.setdefault(w, len(ids)) for w in TOKENS[tokens].findall(text.lower())], np.int32))
+    docs = [(classes.index(label), np.array([ids.setdefault(w, len(ids)) for w in pieces(TOKENS[tokens].findall(text.lower()))], np.int32))
             for label, text in sample]
     grams = [np.array([bucket(g) for g in ngrams(w)], np.int32) for w in ids]
     sizes = np.array([len(g) for g in grams], np.int64)

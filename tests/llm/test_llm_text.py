@@ -225,6 +225,22 @@ def test_toxicity_cases(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_words_of_any_length_are_read_whole(spark):
+    for n in (1, 39, 40, 41, 42, 43, 44, 45, 52, 53, 20_000):
+        word = "".join(chr(0x4E00 + i % 5000) for i in range(n))
+        marked = f"<{word}>"
+        assert {marked[i:i + k] for k in (3, 4, 5) for i in range(len(marked) - k + 1)} <= {g for p in subword.pieces([word]) for g in subword.ngrams(p)}
+        assert (subword.pieces(["a", word, "b"]) == ["a", word, "b"]) == (n <= 40)
+    assert subword.pieces([]) == []
+    table, labels = toxic_table(spark)
+    model = toxicity.fit(labels, table)
+    clean = "abdelminortorsunabel" * 1000
+    texts = {i: clean[:at] + "grumblishslimoredbozarter" + clean[at:] for i, at in enumerate((60, 5003, 19_990))} | {9: clean}
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, [(i, t, "zh") for i, t in texts.items()]), model).collect()}
+    assert all(got[i].score > got[9].score and got[i].predicted == 1 for i in (0, 1, 2)) and got[9].predicted == 0
+    assert subword.Scorer(model).posterior("one " + clean)[0] == 2  # words, not pieces
+
+
 def test_best_window_is_the_largest_mean():
     rng = np.random.default_rng(0)
     for n in (1, 4, 5, 30):
