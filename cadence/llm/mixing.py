@@ -66,8 +66,16 @@ class Domains:
 def fit(labels: DataFrame, docs: DataFrame, domain_col: str = "domain", id_col: str = "doc_id", text_col: str = "text", *,
         per_domain: int = 3000, chars: int = 8000) -> Domains:
     """Softmax regression on hashed tokens, from at most ``per_domain`` labelled
-    rows of each domain and ``chars`` characters of each."""
-    sample, counts = sample_rows(labels, docs, domain_col, id_col, text_col, per_label=per_domain, chars=chars)
+    rows of each domain and ``chars`` characters of each.
+
+    Only labels of documents with a text count, towards the shares too; a domain
+    without any is not learnt.  If that holds for all, the shares of all labels stay.
+    """
+    there = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"))
+    known = stored(labels.select(id_col, domain_col).join(there, F.col(id_col) == F.col("_id"), "left_semi"))
+    sample, counts = sample_rows(known, docs, domain_col, id_col, text_col, per_label=per_domain, chars=chars)
+    if sample is None:
+        sample, counts = sample_rows(labels, docs, domain_col, id_col, text_col, per_label=per_domain, chars=chars)
     names = sorted(counts)
     total = sum(counts.values())
     shares = [counts[n] / total for n in names]

@@ -274,6 +274,19 @@ def test_mixing_meets_the_targets(spark):
     assert abs(sum(x.copies for x in got) - r.sum()) < 40
 
 
+def test_labels_without_a_document_take_no_places(spark):
+    table, labels = domain_table(spark)
+    some = table.filter("doc_id >= 240").withColumn("text", F.when(F.col("doc_id") != 250, F.col("text")))
+    kept = labels.filter("doc_id >= 240 AND doc_id <> 250")
+    few, whole = mixing.fit(labels, some, per_domain=5), mixing.fit(kept, some, per_domain=5)
+    assert few.model is not None and (few.names, few.shares) == (["a", "b", "c"], whole.shares)
+    no_c = table.filter("doc_id % 7 <> 6")
+    rest = mixing.fit(labels, no_c)
+    assert rest.names == ["a", "b"] and rest.model is not None and abs(sum(rest.shares) - 1) < 1e-9
+    got = mixing.mix(no_c, rest, {"a": 1, "b": 1, "c": 1}).collect()
+    assert all(x.on_target and len(x.posterior) == 2 for x in got) and len({tuple(x.posterior) for x in got}) > 100
+
+
 def test_solver_against_dense_projected_gradient(spark):
     rng = np.random.default_rng(4)
     p, n = rng.dirichlet([0.3, 0.3, 0.3], 400), rng.integers(0, 90, 400)
