@@ -1,6 +1,6 @@
 """Training-data pipeline operators.
 
-Ten operators on documents, vectors and conversations, their registered
+Thirteen operators on documents, vectors and conversations, their registered
 queries (``queries``) and the code they share (``common``).  Nothing else in
 the library imports this subpackage.
 """

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import ann, bpe, chat, exact_dedup, langid, line_dedup, mixing, sharding, simhash, toxicity
+from cadence.llm import ann, bpe, chat, exact_dedup, langid, line_dedup, merkle, minhash, mixing, sharding, simhash, toxicity
 from cadence.llm.common import table
 from cadence.llm.registry import query
 from cadence.llm.sampling import crc32_mod
@@ -115,3 +115,73 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     domains = mixing.fit(mixing.quality_domains(table(spark, sf_dir, "labels")), docs)
     return mixing.mix(docs, domains, mixing.QUALITY_WEIGHTS)
+
+
+def _leaf_sql(n_chars: str = "n_chars") -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """All levels of the trees over ``leaves`` (grp, pos, h, n)."""
+    return f"""
+{name}(grp, lvl, pos, h, n) AS (
+  SELECT grp, 0, pos, h, n FROM {leaves}
+  UNION ALL
+  SELECT grp, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY grp, lvl, pos // 2, n)"""
+
+
+def _walk_sql(name: str, tree: str, start: str) -> str:
+    """From ``start`` (k, grp, pos, n, proof, folded) to the tops of ``tree``, a
+    row per level."""
+    return f"""
+{name}(k, grp, lvl, pos, n, proof, folded) AS (
+  SELECT k, grp, 0, pos, n, proof, folded FROM {start}
+  UNION ALL
+  SELECT w.k, w.grp, w.lvl + 1, w.pos // 2, (w.n + 1) // 2, w.proof || coalesce(t.h, ''),
+         sha256(CASE WHEN w.pos % 2 = 1 THEN t.h || w.folded ELSE w.folded || coalesce(t.h, '') END)
+  FROM {name} w LEFT JOIN {tree} t ON t.grp = w.grp AND t.lvl = w.lvl AND t.pos = xor(w.pos, 1) WHERE w.n > 1)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE
+crc_table(i, k, c) AS (
+  SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc_table WHERE k < 8),
+crc(s, k, c) AS (
+  SELECT DISTINCT CAST(doc_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT r.s, r.k + 1, xor(r.c // 256, t.c) FROM crc r JOIN crc_table t ON t.k = 8 AND t.i = xor(r.c % 256, CAST(ascii(r.s[r.k + 1]) AS BIGINT))
+  WHERE r.k < len(r.s)),
+hashed AS (
+  SELECT row_number() OVER () AS k, doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS grp, {_leaf_sql()} AS h,
+         CASE WHEN CAST(doc_id AS VARCHAR) IN (SELECT s FROM crc WHERE k = len(s) AND xor(c, 4294967295) % 7 = 0)
+              THEN {_leaf_sql("(n_chars + 1)")} END AS tampered
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h, k) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM hashed),
+{_tree_sql("tree", "leaves")},
+subroots AS (SELECT grp AS name, '' AS grp, h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+{_tree_sql("upper", "subroots")},
+{_walk_sql("walk", "tree", "(SELECT k, grp, pos, n, '' AS proof, coalesce(tampered, h) AS folded FROM leaves)")},
+reached AS (SELECT w.k, s.grp, s.pos, s.n, w.proof, w.folded FROM walk w JOIN subroots s ON s.name = w.grp WHERE w.n = 1),
+{_walk_sql("walk_upper", "upper", "reached")}
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = r.h AS verified
+FROM leaves l JOIN walk_upper w ON w.k = l.k AND w.n = 1 JOIN subroots s ON s.name = l.grp JOIN (SELECT h FROM upper WHERE n = 1) r ON true
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf(n_chars):
+        return merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    chosen = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    found = merkle.manifest(table(spark, sf_dir, "documents"), leaf(F.col("n_chars")), F.when(chosen, leaf(F.col("n_chars") + 1)))
+    return found.drop("copied")
+
+
+@query("op13_minhash_near_dedup")
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
