@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import ann, bpe, chat, exact_dedup, langid, line_dedup, merkle, minhash, mixing, sharding, simhash, toxicity
+from cadence.llm import align, ann, bpe, chat, exact_dedup, langid, line_dedup, merkle, minhash, mixing, sharding, simhash, toxicity
 from cadence.llm.common import table
 from cadence.llm.registry import query
 from cadence.llm.sampling import crc32_mod
@@ -117,6 +117,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, domains, mixing.QUALITY_WEIGHTS)
 
 
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        byte_level = f.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        pieces = f.read()
+    return align.align(table(spark, sf_dir, "documents"), byte_level, pieces)
+
+
 def _leaf_sql(n_chars: str = "n_chars") -> str:
     values = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
     return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
