@@ -136,8 +136,9 @@ def _reach(n: Column, m: Column, percent: int) -> Column:
 def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose full sets reach the threshold.  A set is
     named by one row that has it, so no join key repeats on the sets' side."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("tag")).distinct()
-    sets = cut(rows.select("tag", "members").join(named, "tag", "left_semi"))
+    # written out, its size is known when the join is planned: the sets are not shuffled if it is small
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("tag")).distinct())
+    sets = stored(rows.select("tag", "members").join(named, "tag", "left_semi"))
     side = lambda c: sets.select(F.col("tag").alias(c), F.col("members").alias(f"set_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -151,7 +152,7 @@ def links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     banded = rows.select("tag", "n", "bands").join(sets.select("tag"), "tag", "left_semi")
     banded = stored(banded.select("tag", "n", F.explode("bands").alias("value")))
     first = banded.groupBy("value").agg(F.min(F.struct("tag", "n")).alias("first"), F.max("tag").alias("last"))
-    first = cut(first.filter(F.col("first.tag") != F.col("last")).select("value", "first"))
+    first = stored(first.filter(F.col("first.tag") != F.col("last")).select("value", "first"))
     shared = stored(banded.join(first, "value"))
     apart = (F.col("tag") != F.col("first.tag")) & _reach(F.col("n"), F.col("first.n"), percent)
     stars = stored(shared.filter(apart).select(F.col("first.tag").alias("a"), F.col("tag").alias("b")).distinct())
@@ -182,7 +183,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows.
     """
     rows = stored(signed(docs, id_col, text_col, size).withColumn("tag", F.monotonically_increasing_id()))
-    sets = cut(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("tag").alias("tag")))
+    sets = stored(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("tag").alias("tag")))
     roots = components(links(rows, sets, percent), "a", "b").select(F.col("node").alias("tag"), "root")
     of = cut(sets.join(roots, "tag", "left").select("node", "least", F.coalesce("root", "tag").alias("root")))
     named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
