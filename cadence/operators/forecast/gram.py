@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from cadence.operators.forecast import solvers
 
 MODELS = ("ols", "elastic_net", "bayesian_ridge")
+#: fits solved together: with the elastic net's 840 grid points about 200 000 small problems
+STACK = 256
 
 
 def block_stats(z: DataFrame, keys: Sequence[str], features: Sequence[str], y: str = "target_model",
@@ -77,71 +79,31 @@ def _ship_by_value() -> None:
 
 def fit(stats: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
     """Solve every (entity, scope) in ``mapInPandas``: one input row per
-    entity and scope, numpy on a p x p system."""
+    entity and scope, and ``STACK`` of them are solved together."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}")
     _ship_by_value()
-    key_fields = [stats.schema[k] for k in keys]
-    schema = coef_schema(key_fields)
+    schema = coef_schema([stats.schema[k] for k in keys])
     names = schema.fieldNames()
 
     def solve(batches):
         for pdf in batches:
-            if model == "ols":
-                yield ols_batch(pdf, keys, names)
-                continue
-            out = []
-            for row in pdf.itertuples(index=False):
-                r = row._asdict()
-                blocks = {}
-                for b in r["blocks"]:
-                    b = _as_dict(b)
-                    blocks[int(b["block"])] = solvers.Stats(b["n"], b["sz"], b["sy"], b["szz"],
-                                                            b["szy"], b["syy"])
-                total = None
-                for k in sorted(blocks):
-                    total = blocks[k] if total is None else total + blocks[k]
-                if model == "bayesian_ridge":
-                    b0, w, extra = solvers.bayesian_ridge(total)
-                else:
-                    b0, w, extra = solvers.elastic_net(blocks, int(r["k_folds"]))
-                rec = dict.fromkeys(names)
-                rec.update({k: r[k] for k in keys})
-                rec.update(scope=r["scope"], n=int(total.n), intercept=float(b0),
-                           coef=[float(x) for x in np.atleast_1d(w)],
-                           mu=[float(x) for x in r["mu"]], sd=[float(x) for x in r["sd"]])
-                rec.update(extra)
-                out.append(rec)
-            frame = pd.DataFrame(out, columns=names, dtype=object) if out \
-                else pd.DataFrame(columns=names)
-            yield frame.astype({"n": "int64", "intercept": "float64"}) if out else frame
+            for lo in range(0, len(pdf), STACK):
+                yield fit_stack(pdf.iloc[lo:lo + STACK], keys, names, model)
 
     return stats.mapInPandas(solve, schema)
 
 
-def ols_batch(pdf: pd.DataFrame, keys: Sequence[str], names: Sequence[str]) -> pd.DataFrame:
-    """OLS of all rows of a batch at once: the blocks of each row are summed
-    and the p x p systems solved as one stack."""
-    first = [[_as_dict(b) for b in blocks] for blocks in pdf["blocks"]]
-    if not first:
-        return pd.DataFrame(columns=names)
-    of = np.repeat(np.arange(len(first)), [len(b) for b in first])
-    flat = [b for blocks in first for b in blocks]
-
-    def total(field):
-        x = np.array([b[field] for b in flat], float)
-        out = np.zeros((len(first), *x.shape[1:]))
-        np.add.at(out, of, x)
-        return out
-
-    n, sz, sy, szy = total("n"), total("sz"), total("sy"), total("szy")
-    p = sz.shape[1]
-    zbar, ybar = sz / n[:, None], sy / n
-    g = total("szz").reshape(-1, p, p) - n[:, None, None] * zbar[:, :, None] * zbar[:, None, :]
-    c = szy - n[:, None] * zbar * ybar[:, None]
-    w = (np.linalg.pinv(g, hermitian=True) @ c[..., None])[..., 0]
-    out = pdf[[*keys, "scope", "mu", "sd"]].assign(n=n.astype("int64"), intercept=ybar - (zbar * w).sum(1),
-                                                   coef=list(w), converged=True)
+def fit_stack(pdf: pd.DataFrame, keys: Sequence[str], names: Sequence[str], model: str) -> pd.DataFrame:
+    """The coefficient rows of some (entity, scope) rows, solved as one stack."""
+    blocks = solvers.Stats.of_blocks([[_as_dict(b) for b in one] for one in pdf["blocks"]])
+    total = blocks.over(slice(None))
+    if model == "elastic_net":
+        b, w, extra = solvers.elastic_net(blocks, pdf["k_folds"].to_numpy())
+    else:
+        b, w, extra = (solvers.ols if model == "ols" else solvers.bayesian_ridge)(total)
+    extra = {name: list(x) if x.ndim > 1 else x for name, x in extra.items()}
+    out = pdf[[*keys, "scope", "mu", "sd"]].assign(n=total.n.astype("int64"), intercept=b, coef=list(w), **extra)
     rest = [c for c in names if c not in out.columns]
     return out.assign(**{c: np.full(len(out), None, object) for c in rest})[list(names)]
 

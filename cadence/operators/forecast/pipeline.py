@@ -4,7 +4,7 @@ Steps (the input, the model frame and the coefficients are checkpointed while
 the plan is built, the outputs are lazy):
   feature frame (M1, M2) -> support guard (M3) -> temporal hold-out (M4)
   -> per-scope standardisation (M5) -> block statistics -> per-entity fit
-  (M6-M8) or pooled boosting (M9) -> fit quality (M10) -> fitted levels (M11)
+  (M6-M9) -> fit quality (M10) -> fitted levels (M11)
   -> driver extrapolation (M12, J7) -> future grid (M13) -> recursive levels
   (M14) -> history + projection union (U1) -> importance (M15).
 """
@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.operators.forecast import boost as B
 from cadence.operators.forecast import features as FE
 from cadence.operators.forecast import gram as G
 from cadence.operators.forecast import project as PR
@@ -57,16 +58,13 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
                 predictors: Sequence[str], model: str = "ols", lag: int = 1, horizon: int = 5,
                 mode: str = "growth", cutoff=None, freq: str = "month",
                 materialise: bool = True) -> dict[str, DataFrame]:
-    """Fit one model per entity (or one pooled booster) and project ``horizon``
-    periods past ``cutoff``.  Returns DataFrames: predictions (keys, period,
+    """Fit one model per entity and project ``horizon`` periods past ``cutoff``.  Returns DataFrames: predictions (keys, period,
     actual, predicted, kind), metrics, coefficients, rejections, holdout.
 
     With ``materialise`` the model frame and the coefficient table (one row
     per entity and scope) are checkpointed once; every output reuses them."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}")
-    if model == "gbt" and mode != "growth":
-        raise ValueError("the pooled booster takes the growth target only: levels differ in size by entity")
     keys = list(keys)
     require_columns(df, [*keys, period, target, *predictors], "forecast input")
     feats = FE.feature_names(predictors, lag)
@@ -84,23 +82,18 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
     if materialise:
         split = _materialise(split)
 
+    scoped = FE.with_scopes(split)
     if model == "gbt":
-        from cadence.operators.forecast.boost import entity_scale, fit_gbt, relative
-        scale = entity_scale(split, keys, feats, FE.TREND)
-        if materialise:
-            scale = _materialise(scale)
-        in_sample, holdout, coefs, booster = fit_gbt(relative(split, scale, keys, feats, FE.TREND), keys, feats)
+        coefs, value = B.fit(scoped, keys, feats, period), B.predict_expr(feats)
     else:
-        z = FE.time_blocks(FE.standardise(FE.with_scopes(split), keys, feats), keys, period)
-        coefs = G.fit(G.block_stats(z, keys, feats), keys, model)
-        if materialise:
-            coefs = _materialise(coefs)
-        full = coefs.where(F.col("scope") == "full").drop("scope", "n")
-        train = coefs.where(F.col("scope") == "train").drop("scope", "n")
-        in_sample = split.join(full, keys, "inner").withColumn("predicted_model", G.predict_expr(feats))
-        holdout = (split.where(F.col("is_test")).join(train, keys, "inner")
-                   .withColumn("predicted_model", G.predict_expr(feats)))
-        booster = None
+        z = FE.time_blocks(FE.standardise(scoped, keys, feats), keys, period)
+        coefs, value = G.fit(G.block_stats(z, keys, feats), keys, model), G.predict_expr(feats)
+    if materialise:
+        coefs = _materialise(coefs)
+    full = coefs.where(F.col("scope") == "full").drop("scope", "n")
+    train = coefs.where(F.col("scope") == "train").drop("scope", "n")
+    in_sample = split.join(full, keys, "inner").withColumn("predicted_model", value)
+    holdout = split.where(F.col("is_test")).join(train, keys, "inner").withColumn("predicted_model", value)
 
     q = PR.fit_quality(in_sample.withColumn("split", F.lit("in_sample")).select(
         *keys, "split", "target_model", "predicted_model").unionByName(
@@ -115,7 +108,9 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
         F.coalesce(F.max(F.when(F.col("split") == "holdout", F.col("n"))), F.lit(0)).alias("n_holdout"))
     metrics = metrics.withColumns({"cutoff": F.lit(cutoff), "target_mode": F.lit(mode),
                                    "model": F.lit(model)})
-    if model != "gbt":
+    if model == "gbt":
+        metrics = metrics.withColumns(B.details())
+    else:
         extra = coefs.where(F.col("scope") == "full").select(
             *keys, "alpha", "l1_ratio", "n_zero_coef", "noise_precision", "weight_precision", "converged")
         metrics = metrics.join(extra, keys, "left")
@@ -127,12 +122,7 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
     entities = split.select(*keys).distinct()
     grid, rej_drivers = _future_features(df, keys, period, predictors, lag, horizon, cutoff, freq,
                                          entities)
-    if model == "gbt":
-        from cadence.operators.forecast.boost import predict_gbt
-        fut = predict_gbt(booster, relative(grid, scale, keys, feats, FE.TREND), feats)
-    else:
-        fut = grid.join(coefs.where(F.col("scope") == "full").drop("scope", "n"), keys, "inner") \
-            .withColumn("predicted_model", G.predict_expr(feats))
+    fut = grid.join(full, keys, "inner").withColumn("predicted_model", value)
     last = PR.last_observed(df, keys, period, target, cutoff)
     proj = PR.recursive_levels(fut, last, keys, mode).select(
         *keys, period, F.lit(None).cast("double").alias("actual"), "predicted", "predicted_model",
@@ -142,7 +132,7 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
     for r in rej_drivers:
         rejections = rejections.unionByName(r.select(*keys, "reason", "n"))
     return {"predictions": history.unionByName(proj), "metrics": metrics, "coefficients": coefs,
-            "rejections": rejections, "holdout": holdout, "frame": split, "booster": booster}
+            "rejections": rejections, "holdout": holdout, "frame": split}
 
 
 def level_ols(df: DataFrame, keys: Sequence[str], period: str, target: str,

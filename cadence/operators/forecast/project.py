@@ -12,6 +12,8 @@ from cadence.operators.forecast.features import every_entity
 from cadence.operators.transforms import local_tail
 from cadence.panel import add_periods, period_index, series_window
 
+#: a standardised coefficient up to this size counts as zero
+ZERO = 1e-8
 
 def fit_quality(pred: DataFrame, keys: Sequence[str], y: str = "target_model",
                 yhat: str = "predicted_model", split: str = "split") -> DataFrame:
@@ -95,23 +97,16 @@ def future_grid(entities: DataFrame, keys: Sequence[str], cutoff, horizon: int,
 def recursive_levels(future: DataFrame, last_level: DataFrame, keys: Sequence[str], mode: str,
                      yhat: str = "predicted_model", step: str = "step") -> DataFrame:
     """Rebuild levels from the last observed level: growth multiplies by
-    (1 + g/100), diff adds, level passes through.  The horizon (a small,
-    bounded array per entity) is folded with ``aggregate`` — not
-    exp(sum(log)), which breaks for g <= -100."""
+    (1 + g/100), diff adds, level passes through.  A running product or sum over
+    the entity's steps, so the work is linear in the horizon (not exp(sum(log)),
+    which breaks for g <= -100)."""
     if mode == "level":
         return future.withColumn("predicted", F.col(yhat))
-    arr = (future.groupBy(*keys)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"),
-                                                     F.col(yhat).alias("g")))).alias("_h")))
-    arr = arr.join(last_level.select(*keys, "last_level"), list(keys), "inner")
-
-    def fold(acc, x):
-        return acc * (1 + x["g"] / 100.0) if mode == "growth" else acc + x["g"]
-    lv = F.transform("_h", lambda x, i: F.struct(
-        x["s"].alias("s"),
-        F.aggregate(F.slice("_h", 1, i + 1), F.col("last_level"), fold).alias("lv")))
-    levels = arr.select(*keys, F.inline(lv)).withColumnRenamed("s", step)
-    return future.join(levels, [*keys, step], "inner").withColumnRenamed("lv", "predicted")
+    so_far = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.col("last_level")
+    level = last * F.product(1 + F.col(yhat) / 100.0).over(so_far) if mode == "growth" else last + F.sum(yhat).over(so_far)
+    joined = future.join(last_level.select(*keys, "last_level"), list(keys), "inner")
+    return joined.withColumn("predicted", level).drop("last_level")
 
 
 def last_observed(df: DataFrame, keys: Sequence[str], period: str, value: str, cutoff) -> DataFrame:
@@ -122,12 +117,19 @@ def last_observed(df: DataFrame, keys: Sequence[str], period: str, value: str, c
 
 def importance(coefs: DataFrame, keys: Sequence[str], features: Sequence[str],
                scope: str = "full") -> DataFrame:
-    """One row per (entity, feature) with the standardised coefficient
-    (and posterior std when the model has one), ranked by |coefficient|."""
+    """One row per (entity, feature), ranked.  Linear models: the standardised
+    coefficient (and posterior std when the model has one) by its absolute value,
+    and whether it is zero.  Boosters: the share of the error that the feature's
+    splits took away, over all trees."""
     c = coefs.where(F.col("scope") == scope)
     names = F.array(*[F.lit(f) for f in features])
-    d = c.select(*keys, F.posexplode("coef").alias("i", "std_coefficient"), "posterior_std")
-    d = d.withColumns({"feature": names[F.col("i")],
-                       "posterior_std": F.col("posterior_std")[F.col("i")]})
-    w = Window.partitionBy(*keys).orderBy(F.abs("std_coefficient").desc(), F.col("i"))
-    return d.withColumn("rank", F.row_number().over(w)).drop("i")
+    if "importance" in coefs.columns:
+        d = c.select(*keys, F.posexplode("importance").alias("i", "importance"))
+        size = F.col("importance")
+    else:
+        d = c.select(*keys, F.posexplode("coef").alias("i", "std_coefficient"), "posterior_std")
+        d = d.withColumns({"posterior_std": F.col("posterior_std")[F.col("i")],
+                           "is_zero": F.abs("std_coefficient") <= ZERO})
+        size = F.abs("std_coefficient")
+    w = Window.partitionBy(*keys).orderBy(size.desc(), F.col("i"))
+    return d.withColumns({"feature": names[F.col("i")], "rank": F.row_number().over(w)}).drop("i")

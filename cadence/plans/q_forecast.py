@@ -2,10 +2,10 @@
 
 Entity = customer nation on the densified monthly PB panel (and customer for
 the support guard); target = order value, predictor = order count lagged one
-period, growth mode, cut-off 2000-12, horizon 6.  OLS with a trend and one
-driver has a closed form (Cramer's rule), which the DuckDB oracles use;
-elastic net, Bayesian ridge, boosting and importance get rows-only checks and
-property tests in ``tests/``.
+period, growth mode, cut-off 2000-12, horizon 6.  With a trend and one driver
+the DuckDB oracles solve OLS by Cramer's rule, the elastic net by its nine sign
+patterns and Bayesian ridge by a recursive query; boosting is held against a
+brute-force booster in ``tests/``.
 """
 
 from __future__ import annotations
@@ -293,32 +293,158 @@ def u01_history_projection(spark, sf):
     return sig(p.select(*KEYS, "period", "actual", "predicted", "kind"), ["predicted"])
 
 
-@register("m07_elastic_net")
+# The scoped and standardised frame with its time blocks, and the statistics of
+# each fold's training rows (fold 0: all rows) and test rows.
+FOLD_SQL = SPLIT_SQL + """,
+sc AS (SELECT *, 'full' AS scope FROM hs UNION ALL SELECT *, 'train' FROM hs WHERE test_n > 0 AND NOT is_test),
+zm AS (SELECT *, AVG(trend) OVER ws AS m1, AVG(order_count_lag1) OVER ws AS m2, STDDEV_POP(trend) OVER ws AS e1,
+              STDDEV_POP(order_count_lag1) OVER ws AS e2, COUNT(*) OVER ws AS ns,
+              row_number() OVER (PARTITION BY c_nationkey, scope ORDER BY period) - 1 AS rn
+       FROM sc WINDOW ws AS (PARTITION BY c_nationkey, scope)),
+zd AS (SELECT *, CASE WHEN e1 > 0 THEN e1 ELSE 1.0 END AS d1, CASE WHEN e2 > 0 THEN e2 ELSE 1.0 END AS d2,
+              GREATEST(2, LEAST(5, ns // 5)) AS k FROM zm),
+zk AS (SELECT *, (trend - m1) / d1 AS z1, (order_count_lag1 - m2) / d2 AS z2, target_model AS y,
+              CASE WHEN ts <= 0 OR rn < ns - k * ts THEN 0 ELSE 1 + (rn - (ns - k * ts)) // ts END AS block
+       FROM (SELECT *, ns // (k + 1) AS ts FROM zd)),
+tr AS (SELECT c_nationkey, scope, f, CAST(COUNT(*) AS DOUBLE) AS n, AVG(z1) AS a1, AVG(z2) AS a2, AVG(y) AS ay,
+              COVAR_POP(z1, z1) * COUNT(*) AS g11, COVAR_POP(z1, z2) * COUNT(*) AS g12, COVAR_POP(z2, z2) * COUNT(*) AS g22,
+              COVAR_POP(z1, y) * COUNT(*) AS c1, COVAR_POP(z2, y) * COUNT(*) AS c2, VAR_POP(y) * COUNT(*) AS yy,
+              MIN(m1) AS m1, MIN(m2) AS m2, MIN(d1) AS d1, MIN(d2) AS d2
+       FROM zk JOIN generate_series(0, 5) AS g(f) ON f = 0 OR (f <= k AND block < f) GROUP BY 1, 2, 3),
+te AS (SELECT c_nationkey, scope, block AS f, CAST(COUNT(*) AS DOUBLE) AS tn, SUM(z1) AS s1, SUM(z2) AS s2, SUM(y) AS sy, SUM(z1 * z1) AS s11,
+              SUM(z1 * z2) AS s12, SUM(z2 * z2) AS s22, SUM(z1 * y) AS s1y, SUM(z2 * y) AS s2y, SUM(y * y) AS syy
+       FROM zk WHERE block >= 1 GROUP BY 1, 2, 3)"""
+
+
+def net_sql(name: str, src: str) -> str:
+    """Elastic net of two features for each row of ``src`` (centred statistics,
+    ``ratio``, ``alpha``): of the sign patterns, the one that meets the optimality
+    conditions."""
+    return f"""
+{name}_l AS (SELECT *, n * alpha * ratio AS l1, g11 + n * alpha * (1 - ratio) AS h1, g22 + n * alpha * (1 - ratio) AS h2 FROM {src}),
+{name}_p AS (SELECT *, CASE WHEN p1 = 0 THEN 0.0 WHEN p2 = 0 THEN (c1 - l1 * p1) / h1
+                       ELSE ((c1 - l1 * p1) * h2 - g12 * (c2 - l1 * p2)) / (h1 * h2 - g12 * g12) END AS w1,
+                CASE WHEN p2 = 0 THEN 0.0 WHEN p1 = 0 THEN (c2 - l1 * p2) / h2
+                       ELSE ((c2 - l1 * p2) * h1 - g12 * (c1 - l1 * p1)) / (h1 * h2 - g12 * g12) END AS w2
+          FROM {name}_l, (SELECT unnest([-1, 0, 1]) AS p1), (SELECT unnest([-1, 0, 1]) AS p2)),
+{name} AS (SELECT *, ay - w1 * a1 - w2 * a2 AS b0 FROM {name}_p
+  WHERE CASE WHEN p1 = 0 THEN abs(c1 - g12 * w2) <= l1 * (1 + 1e-12) + 1e-12 ELSE sign(w1) = p1 END
+    AND CASE WHEN p2 = 0 THEN abs(c2 - g12 * w1) <= l1 * (1 + 1e-12) + 1e-12 ELSE sign(w2) = p2 END
+  QUALIFY row_number() OVER (PARTITION BY c_nationkey, scope, f, ri, ai ORDER BY abs(p1) + abs(p2)) = 1)"""
+
+
+NET_SQL = FOLD_SQL + """,
+grid AS (SELECT ri, [0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95][ri + 1]::DOUBLE AS ratio, ai, pow(10, -5 + 8.0 * (119 - ai) / 119) AS alpha
+         FROM generate_series(0, 6) AS r(ri), generate_series(0, 119) AS a(ai)),
+tried AS (SELECT tr.*, grid.* FROM tr, grid WHERE f > 0),""" + net_sql("net", "tried") + """,
+err AS (SELECT c_nationkey, scope, ri, ai, ratio, alpha, AVG((syy - 2 * b0 * sy - 2 * (w1 * s1y + w2 * s2y) + tn * b0 * b0
+               + 2 * b0 * (w1 * s1 + w2 * s2) + w1 * w1 * s11 + 2 * w1 * w2 * s12 + w2 * w2 * s22) / tn) AS mse
+        FROM net JOIN te USING (c_nationkey, scope, f) GROUP BY ALL),
+won AS (SELECT * FROM (SELECT *, MIN(mse) OVER (PARTITION BY c_nationkey, scope) AS least FROM err) WHERE mse <= least + 1e-9 * abs(least)
+        QUALIFY row_number() OVER (PARTITION BY c_nationkey, scope ORDER BY ri, ai) = 1),
+chosen AS (SELECT tr.*, won.ri, won.ai, won.ratio, won.alpha FROM tr JOIN won USING (c_nationkey, scope) WHERE f = 0),""" + net_sql("cf", "chosen")
+
+# Evidence maximisation: one row per iteration; the last row of a fit has its precisions.
+BAYES_SQL = FOLD_SQL + """,
+fits AS (SELECT *, (g11 + g22) / 2 + sqrt(((g11 - g22) / 2) ** 2 + g12 ** 2) AS v1,
+                GREATEST(0, (g11 + g22) / 2 - sqrt(((g11 - g22) / 2) ** 2 + g12 ** 2)) AS v2 FROM tr WHERE f = 0),
+steps(c_nationkey, scope, it, a, l, w1, w2, met) AS (
+  SELECT c_nationkey, scope, 0, 1 / (yy / n + 2.220446049250313e-16), 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, false FROM fits
+  UNION ALL
+  SELECT c_nationkey, scope, it + 1, (n - gamma + 2e-6) / (GREATEST(rss, 0) + 2e-6), (gamma + 2e-6) / (x1 * x1 + x2 * x2 + 2e-6), x1, x2,
+         it > 0 AND abs(w1 - x1) + abs(w2 - x2) < 1e-3
+  FROM (SELECT *, yy - 2 * (x1 * c1 + x2 * c2) + x1 * x1 * g11 + 2 * x1 * x2 * g12 + x2 * x2 * g22 AS rss,
+               a * v1 / (l + a * v1) + a * v2 / (l + a * v2) AS gamma
+        FROM (SELECT s.*, f.* EXCLUDE (c_nationkey, scope), ((g22 + l / a) * c1 - g12 * c2) / ((g11 + l / a) * (g22 + l / a) - g12 * g12) AS x1,
+                     ((g11 + l / a) * c2 - g12 * c1) / ((g11 + l / a) * (g22 + l / a) - g12 * g12) AS x2
+              FROM steps s JOIN fits f USING (c_nationkey, scope) WHERE NOT met AND it < 300))),
+ends AS (SELECT f.*, s.a, s.l, s.met, (g11 + l / a) * (g22 + l / a) - g12 * g12 AS det
+         FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY c_nationkey, scope ORDER BY it DESC) = 1) s
+         JOIN fits f USING (c_nationkey, scope)),
+cw AS (SELECT *, ((g22 + l / a) * c1 - g12 * c2) / det AS w1, ((g11 + l / a) * c2 - g12 * c1) / det AS w2,
+              sqrt((g22 + l / a) / det / a) AS u1, sqrt((g11 + l / a) / det / a) AS u2 FROM ends),
+cf AS (SELECT *, ay - w1 * a1 - w2 * a2 AS b0 FROM cw)"""
+
+QUALITY = ["r2_in", "rmse_in", "r2_holdout", "rmse_holdout"]
+QUALITY_SQL = """,
+pr AS (SELECT hs.c_nationkey, scope, is_test, target_model, b0 + w1 * (trend - m1) / d1 + w2 * (order_count_lag1 - m2) / d2 AS p
+       FROM hs JOIN cf USING (c_nationkey)),
+ql AS (SELECT c_nationkey, scope, COUNT(*) AS n, SUM((target_model - p) ** 2) AS ss, VAR_POP(target_model) * COUNT(*) AS st
+       FROM pr WHERE scope = 'full' OR is_test GROUP BY 1, 2),
+qs AS (SELECT c_nationkey, scope, n, CASE WHEN n >= 2 AND st > 0 THEN 1 - ss / st END AS r2, sqrt(ss / n) AS rmse FROM ql),
+qm AS (SELECT c_nationkey, MAX(CASE WHEN scope = 'full' THEN n END) AS n, round(MAX(CASE WHEN scope = 'full' THEN r2 END), 6) + 0.0 AS r2_in,
+              round(MAX(CASE WHEN scope = 'full' THEN rmse END), 6) + 0.0 AS rmse_in,
+              round(MAX(CASE WHEN scope = 'train' THEN r2 END), 6) + 0.0 AS r2_holdout,
+              round(MAX(CASE WHEN scope = 'train' THEN rmse END), 6) + 0.0 AS rmse_holdout,
+              COALESCE(MAX(CASE WHEN scope = 'train' THEN n END), 0) AS n_holdout FROM qs GROUP BY 1)"""
+
+
+@register("m07_elastic_net", S.with_(NET_SQL) + QUALITY_SQL + f"""
+SELECT qm.*, {S.sig("alpha")} AS alpha, ratio AS l1_ratio,
+       CAST((abs(w1) <= 1e-8)::INTEGER + (abs(w2) <= 1e-8)::INTEGER AS INTEGER) AS n_zero_coef, true AS converged
+FROM qm JOIN cf USING (c_nationkey) WHERE scope = 'full'""")
 def m07_elastic_net(spark, sf):
     """M7: per-nation elastic net, (alpha, l1 ratio) chosen on expanding time
     folds from block statistics; metrics with the chosen parameters."""
-    return run(spark, sf, "elastic_net")["metrics"]
+    m = run(spark, sf, "elastic_net")["metrics"]
+    m = m.select(*KEYS, "n", *QUALITY, "n_holdout", "alpha", "l1_ratio", "n_zero_coef", "converged")
+    return sig(rnd(m, QUALITY), ["alpha"])
 
 
-@register("m08_bayesian_ridge")
+@register("m08_bayesian_ridge", S.with_(BAYES_SQL).replace("WITH", "WITH RECURSIVE", 1) + QUALITY_SQL + f"""
+SELECT qm.*, {S.sig("a")} AS noise_precision, {S.sig("l")} AS weight_precision, met AS converged
+FROM qm JOIN cf USING (c_nationkey) WHERE scope = 'full'""")
 def m08_bayesian_ridge(spark, sf):
     """M8: per-nation Bayesian ridge; metrics with noise / weight precision."""
-    return run(spark, sf, "bayesian_ridge")["metrics"]
+    m = run(spark, sf, "bayesian_ridge")["metrics"]
+    m = m.select(*KEYS, "n", *QUALITY, "n_holdout", "noise_precision", "weight_precision", "converged")
+    return sig(rnd(m, QUALITY), ["noise_precision", "weight_precision"])
 
 
 @register("m09_gbt")
 def m09_gbt(spark, sf):
-    """M9: gradient-boosted trees pooled over nations; fitted and projected
-    levels."""
+    """M9: gradient boosting with the Huber loss, one booster per nation; fitted
+    and projected levels of the growth target."""
     return run(spark, sf, "gbt")["predictions"]
 
 
-@register("m15_importance")
+@register("m09_gbt_modes")
+def m09_gbt_modes(spark, sf):
+    """M9: quality and details of the boosters of all three target modes."""
+    modes = [run(spark, sf, "gbt", mode)["metrics"].drop("cutoff") for mode in FE.TARGET_MODES]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
+def importance_sql(first: str, second: str, rest: str = "") -> str:
+    """Ranked rows of both features from columns of the fits."""
+    return f""",
+iw AS (SELECT c_nationkey, 'trend' AS feature, 0 AS i, {first} FROM cf WHERE scope = 'full'
+       UNION ALL SELECT c_nationkey, 'order_count_lag1', 1, {second} FROM cf WHERE scope = 'full')
+SELECT c_nationkey, feature, round(w, 5) + 0.0 AS std_coefficient{rest},
+       CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(w) DESC, i) AS INTEGER) AS rank FROM iw"""
+
+
+@register("m15_importance", S.with_(BAYES_SQL).replace("WITH", "WITH RECURSIVE", 1) + importance_sql("w1 AS w, u1 AS u", "w2, u2", ", round(u, 5) + 0.0 AS posterior_std"))
 def m15_importance(spark, sf):
     """Standardised Bayesian-ridge coefficients with posterior std,
     ranked by |coefficient| per nation."""
-    coefs = run(spark, sf, "bayesian_ridge")["coefficients"]
-    return PR.importance(coefs, KEYS, FEATS)
+    d = PR.importance(run(spark, sf, "bayesian_ridge")["coefficients"], KEYS, FEATS)
+    return rnd(d.select(*KEYS, "feature", "std_coefficient", "posterior_std", "rank"), ["std_coefficient", "posterior_std"], 5)
+
+
+@register("m15_importance_elastic_net", S.with_(NET_SQL) + importance_sql("w1 AS w", "w2", ", abs(w) <= 1e-8 AS is_zero"))
+def m15_importance_elastic_net(spark, sf):
+    """Standardised elastic-net coefficients and which are zero, ranked by
+    |coefficient| per nation."""
+    d = PR.importance(run(spark, sf, "elastic_net")["coefficients"], KEYS, FEATS)
+    return rnd(d.select(*KEYS, "feature", "std_coefficient", "is_zero", "rank"), ["std_coefficient"], 5)
+
+
+@register("m15_importance_gbt")
+def m15_importance_gbt(spark, sf):
+    """Share of the error that each feature's splits took away, over all trees
+    of a nation's booster, ranked."""
+    return PR.importance(run(spark, sf, "gbt")["coefficients"], KEYS, FEATS)
 
 
 @register("m15_importance_ols", S.with_(OLS_SQL, """

@@ -4,15 +4,28 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadence.operators.forecast import boost as B
 from cadence.operators.forecast import features as FE
 from cadence.operators.forecast import pipeline as PL
 from cadence.operators.forecast import project as PR
 from cadence.operators.forecast import solvers as SV
 
 
+def block(z, y, number=0):
+    return {"block": number, "n": len(y), "sz": z.sum(0), "sy": y.sum(), "szz": (z.T @ z).ravel(), "szy": z.T @ y, "syy": y @ y}
+
+
 def stats_of(z, y):
-    n, p = z.shape
-    return SV.Stats(n, z.sum(0), y.sum(), (z.T @ z).ravel(), z.T @ y, y @ y)
+    """Statistics of one fit."""
+    return SV.Stats.of_blocks([[block(z, y)]]).over(slice(None))
+
+
+def descend(s, alphas, ratios):
+    """Coordinate descent of one fit over a grid; w and whether all met the tolerance."""
+    g, c, _ = s.centred()
+    a, r = np.broadcast_arrays(alphas, ratios)
+    w, met = SV.coordinate_descent(g, c, s.n, a.reshape(1, -1), r.reshape(1, -1), np.ones(1))
+    return w[0].reshape(*a.shape, -1), met.all()
 
 
 def data(seed=0, n=40, p=3):
@@ -26,26 +39,25 @@ def test_ols_from_stats_equals_lstsq():
     z, y = data()
     b0, w, _ = SV.ols(stats_of(z, y))
     ref, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(y)), z]), y, rcond=None)
-    assert np.allclose([b0, *w], ref, atol=1e-10)
+    assert np.allclose([b0[0], *w[0]], ref, atol=1e-10)
 
 
 def test_sse_from_stats():
     z, y = data(1)
-    s = stats_of(z, y)
     w = np.array([0.3, 0.2, -0.1])
-    assert s.sse(0.7, w) == pytest.approx(np.sum((y - 0.7 - z @ w) ** 2), rel=1e-10)
+    found = stats_of(z, y).sse(np.array([0.7]), w[None])
+    assert found[0] == pytest.approx(np.sum((y - 0.7 - z @ w) ** 2), rel=1e-10)
 
 
 def test_elastic_net_tiny_alpha_is_ols_and_kkt_holds():
     z, y = data(2)
     s = stats_of(z, y)
-    g, c, _ = s.centred()
-    w, _ = SV._cd_grid(g, c, s.n, np.array(1e-12), np.array(0.5))
-    _, w_ols, _ = SV.ols(s)
-    assert np.allclose(w, w_ols, atol=1e-6)
+    w, _ = descend(s, 1e-12, 0.5)
+    assert np.allclose(w, SV.ols(s)[1], atol=1e-6)
     alpha, rho = 0.3, 0.7
-    w, _ = SV._cd_grid(g, c, s.n, np.array(alpha), np.array(rho))
-    grad = (c - g @ w) / s.n - alpha * (1 - rho) * w          # = alpha*rho*sign(w) on the support
+    w, _ = descend(s, alpha, rho)
+    g, c, _ = (x[0] for x in s.centred())
+    grad = (c - g @ w) / len(y) - alpha * (1 - rho) * w          # = alpha*rho*sign(w) on the support
     for j in range(w.size):
         if abs(w[j]) > 1e-9:
             assert grad[j] == pytest.approx(alpha * rho * np.sign(w[j]), abs=1e-7)
@@ -53,31 +65,44 @@ def test_elastic_net_tiny_alpha_is_ols_and_kkt_holds():
             assert abs(grad[j]) <= alpha * rho + 1e-7
 
 
+def folds_of(z, y, k):
+    ts = len(y) // (k + 1)
+    first = len(y) - k * ts
+    ends = [first + i * ts for i in range(k + 1)]
+    return [block(z[:first], y[:first])] + [block(z[a:b], y[a:b], i + 1) for i, (a, b) in enumerate(zip(ends, ends[1:]))], ends
+
+
 def test_elastic_net_fold_selection_from_blocks():
     z, y = data(3, n=30)
-    k, ts = 5, 30 // 6
-    first = 30 - k * ts
-    blocks = {0: stats_of(z[:first], y[:first])}
-    for i in range(1, k + 1):
-        sl = slice(first + (i - 1) * ts, first + i * ts)
-        blocks[i] = stats_of(z[sl], y[sl])
-    b0, w, extra = SV.elastic_net(blocks, k)
+    blocks, ends = folds_of(z, y, 5)
+    b0, w, extra = SV.elastic_net(SV.Stats.of_blocks([blocks]), np.array([5]))
+
     # brute force: evaluate the chosen and a few other grid points directly on raw rows
     def cv(alpha, rho):
         errs = []
-        for i in range(1, k + 1):
-            end = first + (i - 1) * ts
-            s = stats_of(z[:end], y[:end])
-            g, c, _ = s.centred()
-            wi, _ = SV._cd_grid(g, c, s.n, np.array(alpha), np.array(rho))
-            bi = s.ybar - s.zbar @ wi
-            zt, yt = z[end:end + ts], y[end:end + ts]
-            errs.append(np.mean((yt - bi - zt @ wi) ** 2))
+        for lo, hi in zip(ends, ends[1:]):
+            s = stats_of(z[:lo], y[:lo])
+            wi, _ = descend(s, alpha, rho)
+            errs.append(np.mean((y[lo:hi] - s.intercept(wi[None])[0] - z[lo:hi] @ wi) ** 2))
         return np.mean(errs)
-    best = cv(extra["alpha"], extra["l1_ratio"])
+    best = cv(extra["alpha"][0], extra["l1_ratio"][0])
     for a in (SV.ALPHAS[0], SV.ALPHAS[60], SV.ALPHAS[-1]):
         for r in (0.05, 0.5, 0.95):
-            assert best <= cv(a, r) + 1e-9
+            assert best <= cv(a, r) * (1 + 1e-8)
+
+
+def test_stacked_fits_equal_single_ones():
+    """Fits of different length, fold count and convergence do not touch each other."""
+    series = [(*data(20 + i, n=n, p=2), k) for i, (n, k) in enumerate([(12, 2), (40, 5), (17, 3), (60, 5), (9, 2)])]
+    blocks, ks = [folds_of(z, y, k)[0] for z, y, k in series], np.array([k for _, _, k in series])
+    stack = SV.Stats.of_blocks(blocks)
+    for solve in (lambda b, k: SV.elastic_net(b, k), lambda b, k: SV.bayesian_ridge(b.over(slice(None))), lambda b, k: SV.ols(b.over(slice(None)))):
+        b0, w, extra = solve(stack, ks)
+        for i, one in enumerate(blocks):
+            b1, w1, extra1 = solve(SV.Stats.of_blocks([one]), ks[i:i + 1])
+            assert np.allclose(b0[i], b1[0], rtol=1e-9) and np.allclose(w[i], w1[0], rtol=1e-7, atol=1e-9)
+            for name, x in extra.items():
+                assert np.allclose(x[i], extra1[name][0], rtol=1e-7), name
 
 
 def bayes_direct(z, y, iters=300, tol=1e-3):
@@ -106,10 +131,12 @@ def test_bayesian_ridge_matches_direct():
     z, y = data(4)
     _, w, extra = SV.bayesian_ridge(stats_of(z, y))
     w_ref, a_ref, l_ref = bayes_direct(z, y)
-    assert np.allclose(w, w_ref, atol=1e-8)
-    assert extra["noise_precision"] == pytest.approx(a_ref, rel=1e-8)
-    assert extra["weight_precision"] == pytest.approx(l_ref, rel=1e-8)
-    assert len(extra["posterior_std"]) == 3
+    assert np.allclose(w[0], w_ref, atol=1e-8)
+    assert extra["noise_precision"][0] == pytest.approx(a_ref, rel=1e-8)
+    assert extra["weight_precision"][0] == pytest.approx(l_ref, rel=1e-8)
+    zc = z - z.mean(0)
+    sigma = np.linalg.inv(a_ref * zc.T @ zc + l_ref * np.eye(3))
+    assert np.allclose(extra["posterior_std"][0], np.sqrt(np.diag(sigma)), rtol=1e-8)
 
 
 def exact_panel(spark):
@@ -273,10 +300,10 @@ def test_exact_elastic_net_matches_coordinate_descent(p):
     z, y = data(5 + p, n=50, p=p) if p <= 3 else (np.random.default_rng(9).normal(size=(50, p)),
                                                     np.random.default_rng(9).normal(size=50))
     s = stats_of(z, y)
-    g, c, _ = s.centred()
+    g, c, _ = (x[0] for x in s.centred())
     a, r = SV.ALPHAS[None, ::7], SV.L1_RATIOS[:, None]
-    exact = enet_exact(g, c, s.n, a, r)
-    cd, met = SV._cd_grid(g, c, s.n, a, r)
+    exact = enet_exact(g, c, s.n[0], a, r)
+    cd, met = descend(s, a, r)
     assert met
     assert not np.isnan(exact).any()
     assert np.allclose(exact, cd, atol=1e-7)
@@ -286,3 +313,107 @@ def test_fit_predict_column_contract(spark):
     df = spark.createDataFrame([("a", 2000, 1.0)], "k string, period int, y double")
     with pytest.raises(ValueError, match="missing columns"):
         PL.fit_predict(df, ["k"], "period", "y", ["x"], cutoff=2000, freq="year")
+
+
+def brute_split(x, r, rows):
+    """Best split of some rows: (feature, threshold, gain), or None."""
+    found = []
+    for j in range(x.shape[1]):
+        for low, high in zip(sorted({x[i, j] for i in rows}), sorted({x[i, j] for i in rows})[1:]):
+            left, right = [i for i in rows if x[i, j] <= low], [i for i in rows if x[i, j] > low]
+            if min(len(left), len(right)) >= 2:
+                gap = np.mean([r[i] for i in left]) - np.mean([r[i] for i in right])
+                found.append((len(left) * len(right) / len(rows) * gap ** 2, j, low / 2 + high / 2))
+    best = max((g for g, _, _ in found), default=0)
+    return next(((j, t, g) for g, j, t in found if g >= best * (1 - 1e-9)), None) if best > 1e-12 else None
+
+
+def brute_boost(x, y, future):
+    """Huber boosting of one series from the rule, row by row."""
+    raw, out = np.full(len(y), np.median(y)), np.full(len(future), np.median(y))
+    gain = np.zeros(x.shape[1])
+    for _ in range(B.N_TREES):
+        error = y - raw
+        delta = np.quantile(np.abs(error), 0.9)
+        r = np.clip(error, -delta, delta)
+        nodes = [(list(range(len(y))), list(range(len(future))))]
+        for _ in range(2):
+            deeper = []
+            for rows, new in nodes:
+                split = brute_split(x, r, rows) if rows else None
+                if split is None:
+                    deeper.append((rows, new))
+                    continue
+                j, t, g = split
+                gain[j] += g
+                for side in (False, True):
+                    deeper.append(([i for i in rows if (x[i, j] > t) == side], [i for i in new if (future[i, j] > t) == side]))
+            nodes = deeper
+        for rows, new in nodes:
+            middle = np.median(error[rows])
+            value = middle + np.mean(np.clip(error[rows] - middle, -delta, delta))
+            raw[rows] += 0.03 * value
+            out[new] += 0.03 * value
+    return raw, out, gain / gain.sum() if gain.sum() else gain
+
+
+def boosted_panel(spark, lengths, seed=8):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k, n in enumerate(lengths):
+        x = np.round(rng.normal(5, 2, n), 1)  # values that repeat
+        y = 100 + 3 * np.arange(n) + 10 * np.sin(x) + rng.normal(size=n) + 40 * (rng.random(n) < 0.06)
+        rows += [(f"e{k}", 1990 + t, float(y[t]), float(x[t])) for t in range(n)]
+    return spark.createDataFrame(rows, "k string, period int, y double, x double")
+
+
+@pytest.mark.parametrize("mode", ["growth", "diff", "level"])
+def test_boosting_equals_brute_force(spark, mode):
+    df = boosted_panel(spark, [14, 31, 45])
+    out = PL.fit_predict(df, ["k"], "period", "y", ["x"], model="gbt", lag=1, horizon=3, mode=mode, cutoff=2040, freq="year")
+    frame = out["frame"].orderBy("k", "period").toPandas()
+    found = out["predictions"].orderBy("k", "period").toPandas()
+    held = out["holdout"].orderBy("k", "period").toPandas()
+    importance = {(r.k, r.feature): r.importance for r in PR.importance(out["coefficients"], ["k"], ["trend", "x_lag1"]).collect()}
+    for k, rows in frame.groupby("k"):
+        x, y = rows[["trend", "x_lag1"]].to_numpy(), rows["target_model"].to_numpy()
+        proj = found[(found.k == k) & (found.kind == "projection")]
+        future = out["predictions"].where(f"k = '{k}' AND kind = 'projection'").count()
+        assert future == 3
+        fitted, _, gain = brute_boost(x, y, x[:1])
+        history = found[(found.k == k) & (found.kind == "history")]
+        assert np.allclose(history["predicted_model"], fitted, rtol=1e-9)
+        assert [importance[k, f] for f in ("trend", "x_lag1")] == pytest.approx(list(gain), rel=1e-6, abs=1e-9)
+        test = rows["is_test"].to_numpy()
+        if test.any():
+            _, ahead, _ = brute_boost(x[~test], y[~test], x[test])
+            assert np.allclose(held[held.k == k]["predicted_model"], ahead, rtol=1e-9)
+        assert np.isfinite(proj["predicted"]).all()
+    m = out["metrics"].first()
+    assert (m.n_trees, m.max_depth, m.learning_rate, m.min_leaf, m.loss) == (300, 2, 0.03, 2, "huber")
+
+
+def test_boosting_edges():
+    """A constant target, one constant feature and more distinct values than bins."""
+    live = np.ones((2, 12), bool)
+    x = np.stack([np.column_stack([np.arange(12.0), np.ones(12)])] * 2)
+    found = B.boost(x, np.stack([np.full(12, 7.0), np.arange(12.0)]), live)
+    assert np.allclose(found["fitted"][0], 7.0) and found["importance"][0].tolist() == [0, 0] and found["importance"][1].tolist() == [1, 0]
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1, 3000, 1))
+    found = B.boost(x, 5 * (x[..., 0] > 0.3), np.ones((1, 3000), bool))
+    assert B.bins_of(x[0, :, 0]).max() == B.BINS - 1 and np.mean(np.abs(found["fitted"] - 5 * (x[..., 0] > 0.3)) > 0.5) < 0.01
+
+
+def test_recursive_levels_of_a_long_horizon(spark):
+    n = 2000
+    fut = spark.range(1, n + 1).selectExpr("'a' AS k", "CAST(id AS int) AS step", "CASE WHEN id % 2 = 0 THEN 1.0 ELSE -0.5 END AS predicted_model")
+    last = spark.createDataFrame([("a", 50.0)], "k string, last_level double")
+    for mode in ("growth", "diff"):
+        got = [r.predicted for r in PR.recursive_levels(fut, last, ["k"], mode).orderBy("step").collect()]
+        want, level = [], 50.0
+        for i in range(1, n + 1):
+            g = 1.0 if i % 2 == 0 else -0.5
+            level = level * (1 + g / 100) if mode == "growth" else level + g
+            want.append(level)
+        assert got == pytest.approx(want, rel=1e-9)
