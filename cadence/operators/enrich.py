@@ -16,14 +16,22 @@ def validated_left_join(base: DataFrame, enrichment: DataFrame, on: Sequence[str
 
     Both sides carry the running number of their row within its key, over the
     partitioning and order the join needs anyway, and a second row fails the
-    query when it runs: no job beside the join.  NULL keys repeat freely, as
-    they match nothing."""
+    query when it runs: no job beside the join.  Rows with a NULL key match
+    nothing and repeat freely: those of the base are set aside before the check,
+    stay in the tasks that read them and are united with the result; those of the
+    enrichment go."""
+    on = list(on)
+    full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+
     def once(df: DataFrame, side: str) -> DataFrame:
         k = F.row_number().over(Window.partitionBy(*on).orderBy(*on))
-        full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
         twice = F.raise_error(F.concat(F.lit(f"duplicate key in {side}: "), F.to_json(F.struct(*on))))
-        return df.withColumn("_k", k).where(F.when(full & (F.col("_k") > 1), twice.cast("boolean")).otherwise(True)).drop("_k")
-    return once(base, "base").join(once(enrichment, "enrichment"), list(on), "left")
+        return df.where(full).withColumn("_k", k).where(F.when(F.col("_k") > 1, twice.cast("boolean")).otherwise(True)).drop("_k")
+
+    matched = once(base, "base").join(once(enrichment, "enrichment"), on, "left")
+    added = [f for f in enrichment.schema.fields if f.name not in on]
+    aside = base.where(~full).select(*on, *[c for c in base.columns if c not in on], *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    return matched.union(aside)
 
 
 def precedence(df: DataFrame, overrides: Mapping[str, str], keep_original: bool = True) -> DataFrame:

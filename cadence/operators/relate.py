@@ -9,9 +9,10 @@ data is scanned and shuffled once regardless of the number of pairs or lags.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from functools import reduce
+from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.exprs import guarded_corr, pair_count
@@ -53,25 +54,60 @@ def correlation_matrix(df: DataFrame, keys: Sequence[str], period: str, metrics:
 def spearman_matrix(df: DataFrame, keys: Sequence[str], period: str, metrics: Sequence[str],
                     use_changes: bool = False, min_n: int = 2) -> DataFrame:
     """Spearman = Pearson on average ranks computed on each pair's
-    complete rows.  Rows grow by p(p+1)/2; p is the caller's metric list."""
+    complete rows.
+
+    The ranks of a pair depend on which rows it is complete in.  Pairs of an
+    entity that are complete in the same rows share them: a row is copied once
+    per distinct such set of rows (once in all, if no value is missing), each
+    metric is ranked once in it, and all its pairs are expressions of one
+    aggregate.  Sets of rows are told apart by the NULL masks in them, of which
+    an entity has few.  A metric with itself is not ranked: r is 1 unless it is
+    constant."""
     d = _changes(df, keys, period, metrics) if use_changes else df.select(*keys, period, *metrics)
-    pairs = [F.struct(F.lit(metrics[a]).alias("metric_x"), F.lit(metrics[b]).alias("metric_y"),
-                      F.col(metrics[a]).alias("x"), F.col(metrics[b]).alias("y"))
-             for a, b in combinations_with_replacement(range(len(metrics)), 2)]
-    long = d.select(*keys, F.inline(F.array(*pairs))).where(
-        F.col("x").isNotNull() & F.col("y").isNotNull())
-    pk = [*keys, "metric_x", "metric_y"]
-
-    def avg_rank(c):
-        return (F.rank().over(Window.partitionBy(*pk).orderBy(c))
-                + (F.count(F.lit(1)).over(Window.partitionBy(*pk, c)) - 1) / 2.0)
-    ranked = long.select(*pk, avg_rank("x").alias("rx"), avg_rank("y").alias("ry"))
-    g = ranked.groupBy(*pk).agg(F.count(F.lit(1)).alias("n"),
-                                guarded_corr("rx", "ry").alias("r"))
-    g = g.withColumn("r", F.when(F.col("n") >= min_n, F.col("r")))
-    mirror = g.where(F.col("metric_x") != F.col("metric_y")).select(
-        *keys, F.col("metric_y").alias("metric_x"), F.col("metric_x").alias("metric_y"), "r", "n")
-    return g.select(*keys, "metric_x", "metric_y", "r", "n").unionByName(mirror)
+    p = len(metrics)
+    if p > 62:
+        raise ValueError("up to 62 metrics at a time")
+    pairs = list(combinations(range(p), 2))
+    bits = {pair: (1 << pair[0]) | (1 << pair[1]) for pair in pairs}
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(m).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, m in enumerate(metrics)])
+    d = d.withColumn("_mask", mask)
+    own = []
+    for i, m in enumerate(metrics):
+        n = F.count(m)
+        own.append(F.struct(F.lit(m).alias("metric_x"), F.lit(m).alias("metric_y"),
+                            F.when((n >= min_n) & (F.min(m) != F.max(m)), F.lit(1.0)).alias("r"), n.alias("n")))
+
+    def rows_of(pair) -> Column:
+        """The masks of the rows that a pair is complete in; they name the rows."""
+        both = F.lit(bits[pair]).cast("long")
+        return F.array_sort(F.filter("_masks", lambda x: x.bitwiseAND(both) == both))
+
+    entity = d.groupBy(*keys).agg(F.collect_set("_mask").alias("_masks"), F.array(*own).alias("_own"))
+    entity = entity.withColumn("_pairs", F.array(*map(rows_of, pairs)) if pairs else F.lit(None).cast("array<array<bigint>>"))
+    sets = entity.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(F.array_distinct("_pairs")).alias("_set"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    copied = d.join(sets, same).where(F.array_contains("_set", F.col("_mask"))).drop(*[f"_k_{k}" for k in keys])
+    part = [*keys, "_set"]
+
+    def avg_rank(c: str) -> Column:
+        return (F.rank().over(Window.partitionBy(*part).orderBy(c))
+                + (F.count(F.lit(1)).over(Window.partitionBy(*part, c)) - 1) / 2.0)
+
+    ranked = copied.select(*part, *[avg_rank(m).alias(f"_r{i}") for i, m in enumerate(metrics)])
+    # a pair is read off the set of rows that is its own
+    shared = ranked.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), *[guarded_corr(f"_r{a}", f"_r{b}").alias(f"_r{a}_{b}") for a, b in pairs])
+    found = entity.select(*keys, "_own", F.posexplode_outer("_pairs").alias("_i", "_set"))
+    shared = shared.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_set").alias("_s"), "_n",
+                           F.array(*[F.col(f"_r{a}_{b}") for a, b in pairs]).cast("array<double>").alias("_r"))
+    found = found.join(shared, [*same, F.col("_set") == F.col("_s")], "left")
+    n = F.coalesce("_n", F.lit(0)).cast("long")
+    r = F.when(n >= min_n, F.get("_r", F.col("_i")))
+    names = lambda at: F.get(F.array(*[F.lit(metrics[x[at]]) for x in pairs]).cast("array<string>"), F.col("_i"))
+    both = F.array(*[F.struct(names(x).alias("metric_x"), names(y).alias("metric_y"), r.alias("r"), n.alias("n")) for x, y in ((0, 1), (1, 0))])
+    # the first pair's row (or the only row, without pairs) also brings the metrics themselves
+    nothing = F.array().cast("array<struct<metric_x:string,metric_y:string,r:double,n:bigint>>")
+    own = F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_own")).otherwise(nothing)
+    return found.select(*keys, F.inline(F.concat(own, F.when(F.col("_i").isNotNull(), both).otherwise(nothing))))
 
 
 def cross_correlation(df: DataFrame, keys: Sequence[str], period: str, target: str, driver: str,

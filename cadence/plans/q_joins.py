@@ -77,13 +77,15 @@ ex AS (SELECT event_id, CAST(unnest(generate_series(start, "end", INTERVAL 1 DAY
               (date_diff('day', DATE '1970-01-01', start) + date_diff('day', DATE '1970-01-01', "end")) / 2.0 AS band_mid
        FROM ev WHERE "end" >= start)""") + """
 SELECT ex.event_id, ex.period, ex.band_mid, p.event_type, p.metric, p.value
-FROM ex JOIN pc_long p ON ex.period = p.period""")
+FROM ex JOIN pc_long p ON ex.period = p.period
+WHERE (p.event_type, p.metric) IN (('error', 'event_count'), ('purchase', 'value_sum'))""")
 def j05_interval_overlay(spark, sf):
-    """Every error interval attached to each daily panel row it covers
-    (explode + equi-join, no theta join)."""
+    """Every error interval attached to each day of the two series it is
+    drawn over (explode + equi-join, no theta join)."""
     pc = build_pc(spark, sf).long()
     ev = build_ev(spark, sf).select("event_id", "start", "end")
-    return EV.overlay(ev, pc, "day").select("event_id", "period", "band_mid", "event_type",
+    series = [("error", "event_count"), ("purchase", "value_sum")]
+    return EV.overlay(ev, pc, "day", keys=["event_type", "metric"], series=series).select("event_id", "period", "band_mid", "event_type",
                                             "metric", "value")
 
 
@@ -97,14 +99,17 @@ f AS (SELECT ph.event_id, p.event_type,
              MAX(CASE WHEN phase = 'after' THEN value END) AS after
       FROM ph JOIN pc_long p ON ph.period = p.period AND p.metric = 'value_sum'
       GROUP BY 1, 2),
-g AS (SELECT ev.event_id, f.event_type, f.before, f.during, f.after FROM ev LEFT JOIN f ON ev.event_id = f.event_id)""") + """
+ty AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type),
+g AS (SELECT ev.event_id, ty.event_type, f.before, f.during, f.after
+      FROM ev CROSS JOIN ty LEFT JOIN f ON ev.event_id = f.event_id AND ty.event_type = f.event_type)""") + """
 SELECT *, (during / NULLIF(before, 0) - 1) * 100 AS change_before_during_pct,
           (after / NULLIF(during, 0) - 1) * 100 AS change_during_after_pct FROM g""")
 def j06_event_study(spark, sf):
     """Before / during / after values of daily value sums around every
-    error interval, per event type, with % changes."""
+    error interval, for each event type, with % changes."""
     pc = build_pc(spark, sf).long().where(F.col("metric") == "value_sum")
-    return EV.event_study(build_ev(spark, sf), pc, ["event_type"], "day")
+    types = [("click",), ("error",), ("purchase",), ("signup",), ("view",)]
+    return EV.event_study(build_ev(spark, sf), pc, ["event_type"], "day", types)
 
 
 def code_map(spark):

@@ -17,7 +17,7 @@ from cadence.plans import sql as S
 from cadence.plans.panels import (PA_METRICS, build_ev, build_pa, build_pb, build_sc, build_tx,
                                   dollars, money, read)
 from cadence.plans.registry import register
-from cadence.session import scratch_path, stable_tag
+from cadence.session import scratch_path
 from cadence.sources import files as SRC
 from cadence.sources import indicators as IND
 
@@ -38,9 +38,9 @@ EVENT_SCHEMA = T.StructType([
 def s01_csv_scan(spark, sf):
     """Events written as CSV (quoted JSON text with commas and quotes)
     to the shared scratch folder and scanned back with an explicit schema."""
-    path = scratch_path(spark, f"s01_events_csv_{stable_tag(sf)}")
+    path = scratch_path(spark, "s01_events_csv")
     SRC.write_csv(read(spark, sf, "events").select(*EVENT_SCHEMA.fieldNames()), path)
-    return SRC.read_csv(spark, path, EVENT_SCHEMA)
+    return SRC.read_csv(spark, path, EVENT_SCHEMA, multi_line=False)
 
 
 # External indicator codes of the yearly nation metrics.
@@ -120,8 +120,7 @@ def s03_optional_source(spark, sf):
 
 @register("s04_interval_catalog", S.with_(S.EV) + "SELECT * FROM ev")
 def s04_interval_catalog(spark, sf):
-    """Interval catalog scan: coercion, NULL start dropped, ordered by
-    start asc / severity desc."""
+    """Interval catalog scan: coercion, NULL start dropped."""
     return SRC.load_intervals(build_ev(spark, sf))
 
 
@@ -143,8 +142,7 @@ def s06_write_report(spark, sf):
     """The consolidated PA panel written as Parquet partitioned by year,
     reported back from disk (rows, columns, period range)."""
     pa = build_pa(spark, sf).df.withColumn("year", F.year("period"))
-    path = scratch_path(spark, f"s06_pa_{stable_tag(sf)}")
-    return SRC.write_table(pa, path, ["year"])
+    return SRC.write_table(pa, scratch_path(spark, "s06_pa"), ["year"])
 
 
 # ------------------------------------------------------------------ T: typing / contracts
@@ -387,11 +385,10 @@ def p08_membership(spark, sf):
 
 
 @register("p10_nonblank_text", """
-SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS text_len FROM conversations WHERE length(trim(text)) > 0""")
+SELECT conv_id, turn, role, text FROM conversations WHERE length(trim(text)) > 0""")
 def p10_nonblank_text(spark, sf):
-    """P10: rows whose text is not blank (lengths only in the output)."""
-    c = P.nonblank_rows(read(spark, sf, "conversations"), "text")
-    return c.select("conv_id", "turn", "role", F.length("text").alias("text_len"))
+    """P10: rows whose text is not blank."""
+    return P.nonblank_rows(read(spark, sf, "conversations"), "text").select("conv_id", "turn", "role", "text")
 
 
 @register("p12_trend_offset", S.with_(S.PB_WIDE) + """
@@ -409,7 +406,7 @@ def s06_partition_read(spark, sf):
     """S6 read side: the PA panel written partitioned by year, read back for
     1997-1998 through partition pruning (only two directories are listed)."""
     pa = build_pa(spark, sf).df.withColumn("year", F.year("period"))
-    path = scratch_path(spark, f"s06_pa_read_{stable_tag(sf)}")
+    path = scratch_path(spark, "s06_pa_read")
     SRC.write_table(pa, path, ["year"])
     return SRC.read_partitions(spark, path, "year", 1997, 1998)
 
@@ -426,12 +423,11 @@ def b01_consolidated_build(spark, sf):
     """The whole build: CSV scan, number coercion, validated join to the
     enrichment (with an audited real column), precedence, text merge, currency,
     deflation, totals, version literal, sort, write and read back."""
-    tag = stable_tag(sf)
-    raw, out = scratch_path(spark, f"b01_raw_{tag}"), scratch_path(spark, f"b01_table_{tag}")
+    raw, out = scratch_path(spark, "b01_raw"), scratch_path(spark, "b01_table")
     keys, numbers = ["o_orderpriority", "period"], ["order_value", "line_revenue", "order_count"]
     money_panel = pa_money(spark, sf)
     SRC.write_csv(money_panel.select(*keys, *numbers), raw)
-    base = SRC.read_csv(spark, raw)
+    base = SRC.read_csv(spark, raw, multi_line=False)
     base = base.withColumns({c: to_number(c) for c in numbers}).withColumns(
         {"period": F.col("period").cast("date"), "source": F.lit("orders")})
     month = F.month("period")

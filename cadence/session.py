@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,15 +51,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + "/" + name
+    """A path for a written intermediate table: in the application's own folder
+    under the shared checkpoint folder, and unlike that of any other call."""
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stable_tag(*parts: str) -> str:
-    """Deterministic short tag (same inputs -> same scratch folder on every run)."""
-    import hashlib
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cadence-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.  Results that were not
+    written elsewhere or collected still read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def env_cpus(default: str = "8") -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,15 +71,13 @@ def optional_source(spark: SparkSession, path: str, required: Iterable[str],
 def load_intervals(df: DataFrame, start: str = "start", end: str = "end",
                    severity: str = "severity") -> DataFrame:
     """Interval catalog: integer coercion of start/end/severity, rows
-    without a start dropped, ordered by start asc, severity desc (the catalog
-    is a short list made by hand; the sort is part of its contract)."""
+    without a start dropped.  Order is a matter of the output (O2)."""
     def to_int(c):
         t = df.schema[c].dataType
         return F.col(c) if isinstance(t, (T.DateType, T.IntegerType, T.LongType)) \
             else whole_number(c).try_cast("int")
     out = df.withColumns({c: to_int(c) for c in (start, end, severity) if c in df.columns})
-    return (out.na.drop("any", subset=[start])
-            .orderBy(F.col(start).asc_nulls_last(), F.col(severity).desc_nulls_last()))
+    return out.na.drop("any", subset=[start])
 
 
 def load_facts(df: DataFrame, key_candidates: Sequence[str], numeric_columns: Iterable[str],
@@ -94,16 +93,47 @@ def load_facts(df: DataFrame, key_candidates: Sequence[str], numeric_columns: It
     return out.withColumns({c: to_number(c) for c in present})
 
 
+def _commit(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a written folder in the place of ``path``; what was there goes last."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, place, old = jpath(staged), jpath(path), jpath(f"{staged}-replaced")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place) and not fs.rename(place, old):
+        raise OSError(f"{path} could not be set aside; the new table is left in {staged}")
+    if not fs.rename(new, place):
+        fs.rename(old, place)
+        raise OSError(f"{path} could not be replaced; the new table is left in {staged}")
+    fs.delete(old, True)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
-                period: str = "period", fmt: str = "parquet") -> DataFrame:
-    """Write the consolidated table (overwrite), then report rows,
-    columns and the period range of what is on disk (one aggregate over the
-    written files, so the report cannot drift from the data)."""
-    w = df.write.mode("overwrite").format(fmt)
+                period: str = "period", fmt: str = "parquet", replace: str = "all") -> DataFrame:
+    """Write the consolidated table, then report rows, columns and the period
+    range of what is on disk (one aggregate over the written files, so the report
+    cannot drift from the data).
+
+    The table is written to a staging folder of its own beside ``path`` and takes
+    its place by renaming once all tasks are done: a write that fails leaves the old
+    table, and ``df`` may read it.  ``replace="partitions"`` exchanges only the
+    partitions that ``df`` has rows for; Spark stages and commits those itself.  Of
+    two calls at a time each writes its own table and the later commit stays."""
+    spark = df.sparkSession
+    if replace not in ("all", "partitions") or replace == "partitions" and not partition_by:
+        raise ValueError("replace all, or partitions of a partitioned table")
+    w = df.write.format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(path)
-    spark = df.sparkSession
+    if replace == "partitions":
+        w.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
+    else:
+        staged = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+        try:
+            w.save(staged)
+        except Exception:
+            jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+            jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+            raise
+        _commit(spark, staged, path)
     back = spark.read.format(fmt).load(path)
     return back.agg(F.count(F.lit(1)).alias("n_rows"),
                     F.lit(len(back.columns)).cast("int").alias("n_cols"),

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadence.operators import compare as C
@@ -30,20 +31,40 @@ def test_overlay_and_event_study(spark):
     panel = spark.createDataFrame([("x", y, float(v)) for y, v in
                                    [(1999, 0.0), (2000, 2.0), (2001, 4.0), (2002, 8.0), (2003, 4.0)]],
                                   "k string, period int, value double")
-    ov = EV.overlay(ev, panel, "year")
+    ov = EV.overlay(ev, panel, "year")  # one series
     assert sorted(r[0] for r in ov.where("event_id = 1").select("period").collect()) == [2000, 2001, 2002]
     assert ov.where("event_id IN (3, 4)").count() == 2     # two intervals over the same period
-    st = {r[0]: r for r in EV.event_study(ev, panel, ["k"], "year").collect()}
+    st = {r[0]: r for r in EV.event_study(ev, panel, ["k"], "year", [("x",)]).collect()}
     e1 = st[1]
     assert (e1.before, e1.during, e1.after) == (0.0, 8.0, 4.0)
     assert e1.change_before_during_pct is None              # zero base
     assert math.isclose(e1.change_during_after_pct, -50.0)
     assert st[2].during is None and st[2].after is None     # NULL end: listed, without them
     far = spark.createDataFrame([(9, 2050, 2051), (10, 1990, 9_999_999)], "event_id int, start int, end int")
-    assert [(r.event_id, r.k, r.before) for r in EV.event_study(far.where("event_id = 9"), panel, ["k"], "year").collect()] == [(9, None, None)]
+    assert [(r.event_id, r.k, r.before) for r in EV.event_study(far.where("event_id = 9"), panel, ["k"], "year", [("x",)]).collect()] == [(9, "x", None)]
     assert EV.overlay(far, panel, "year").count() == 5      # open end: clipped to the panel
 
 
+def test_event_study_lists_every_event_and_selected_series(spark):
+    ev = spark.createDataFrame([(1, 2000, 2000), (2, 1990, 1990)], "event_id int, start int, end int")
+    panel = spark.createDataFrame([("a", y, 1.0 * y) for y in (1999, 2000, 2001)] + [("b", 1990, 5.0), ("b", 1991, 6.0), ("z", 2000, 7.0), (None, 2000, 8.0)],
+                                  "k string, period int, value double")
+    st = {(r.event_id, r.k): (r.before, r.during, r.after) for r in EV.event_study(ev, panel, ["k"], "year", [("a",), ("b",), ("gone",), (None,)]).collect()}
+    assert st == {(1, "a"): (1999.0, 2000.0, 2001.0), (1, "b"): (None, None, None), (2, "a"): (None, None, None), (2, "b"): (None, 5.0, 6.0),
+                  (1, "gone"): (None, None, None), (2, "gone"): (None, None, None), (1, None): (None, 8.0, None), (2, None): (None, None, None)}
+    assert EV.event_study(ev, panel, ["k"], "year", [("a",)]).count() == 2
+
+
+def test_overlay_of_selected_series(spark):
+    ev = spark.createDataFrame([(1, 2000, 2001)], "event_id int, start int, end int")
+    panel = spark.createDataFrame([(k, y, 1.0) for k in "abc" for y in (1999, 2000, 2001)], "k string, period int, value double")
+    got = EV.overlay(ev, panel, "year", keys=["k"], series=[("a",), ("c",)])
+    assert sorted(rows(got, "k", "period")) == [("a", 2000), ("a", 2001), ("c", 2000), ("c", 2001)]
+    assert EV.overlay(ev, panel, "year", keys=["k"], series=[]).count() == 0
+    with pytest.raises(Exception, match="select the series"):
+        EV.overlay(ev, panel, "year").collect()
+
+
 def test_trend_summary_cagr_guard(spark):
     df = spark.createDataFrame([("a", 2000, 100.0), ("a", 2002, 121.0), ("n", 2000, -1.0),
                                 ("n", 2001, 2.0), ("z", 2000, 0.0), ("z", 2001, 3.0),

@@ -90,11 +90,12 @@ def test_exact_elastic_net_satisfies_kkt(seed, p, n):
     rng = np.random.default_rng(seed)
     z = rng.normal(size=(n, p))
     y = z @ rng.normal(size=p) + rng.normal(size=n)
-    s = SV.Stats(n, z.sum(0), y.sum(), (z.T @ z).ravel(), z.T @ y, y @ y)
+    s = SV.Stats(*(np.asarray(x)[None] for x in (n, z.sum(0), y.sum(), z.T @ z, z.T @ y, y @ y)))
     g, c, _ = s.centred()
-    a, r = SV.ALPHAS[None, ::11], SV.L1_RATIOS[:, None]
-    w, met = SV._cd_grid(g, c, s.n, a, r)
-    assert met
+    a, r = np.broadcast_arrays(SV.ALPHAS[None, ::11], SV.L1_RATIOS[:, None])
+    w, met = SV.coordinate_descent(g, c, s.n, a.reshape(1, -1), r.reshape(1, -1), np.ones(1))
+    assert met.all()
+    w, g, c = w[0].reshape(*a.shape, p), g[0], c[0]
     l1 = np.broadcast_to(n * a * r, w.shape[:-1])
     l2 = np.broadcast_to(n * a * (1 - r), w.shape[:-1])
     grad = c - w @ g - l2[..., None] * w            # = l1 * sign(w) where w != 0

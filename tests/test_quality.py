@@ -18,7 +18,7 @@ def test_numeric_and_infer(spark):
 
 def test_add_missing_and_drops(spark):
     df = spark.createDataFrame([(1, 1.0), (None, 2.0), (3, None)], "k int, v double")
-    assert "gini" in Q.add_missing(df, ["gini", "v"]).columns
+    assert "share" in Q.add_missing(df, ["share", "v"]).columns
     assert Q.drop_null_keys(df, ["k"]).count() == 2
     assert Q.complete_cases(df, ["k", "v"]).count() == 1
 
@@ -41,6 +41,24 @@ def test_validated_join_rejects_duplicates_on_either_side(spark):
     assert rows(ok) == [(1, "a", "p"), (2, "b", None)]
 
 
+def test_validated_join_with_null_keys(spark):
+    """NULL keys repeat freely on both sides, match nothing and are not shuffled."""
+    base = spark.range(0, 900, 1, 4).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS k", "CASE WHEN id % 6 = 0 THEN NULL ELSE 'p' END AS q", "id AS x")
+    extra = spark.range(450).selectExpr("CASE WHEN id < 9 THEN NULL ELSE id END AS k", "'p' AS q", "id * 10 AS y", "map('a', id) AS m")
+    out = E.validated_left_join(base, extra, ["k", "q"])
+    assert out.columns == ["k", "q", "x", "y", "m"]
+    got = {r.x: (r.k, r.q, r.y) for r in out.collect()}
+    assert len(got) == 900
+    for x, (k, q, y) in got.items():
+        assert (k, q) == (None if x % 3 == 0 else x, None if x % 6 == 0 else "p")
+        assert y == (10 * x if x % 3 and 9 <= x < 450 else None)
+    spread = {r.p: r.n for r in out.where("k IS NULL").groupBy(F.spark_partition_id().alias("p")).count().withColumnRenamed("count", "n").collect()}
+    assert len(spread) > 1 and max(spread.values()) < 300
+    twice = base.where("k IS NOT NULL").unionByName(base.where("k = 4"))
+    with pytest.raises(Exception, match="duplicate key in base"):
+        E.validated_left_join(twice, extra, ["k", "q"]).collect()
+
+
 def test_require_columns(spark):
     df = spark.createDataFrame([(1,)], "a int")
     with pytest.raises(ValueError, match="missing"):
