@@ -19,10 +19,12 @@ the words to pairs, so that no row per text and pair is shuffled.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,10 +38,12 @@ from pyspark.sql import functions as F
 from cadence.llm.common import cut, ship_by_value, stored, worker_cache
 
 RANGE, LONGEST, BLOCK, FAN = 1 << 16, 1 << 12, 1 << 23, 16
-#: closed fragments of words that a worker keeps
-CACHE_WORDS = 200_000
+#: characters of text whose new words are encoded at a time, and closed fragments of words that a worker keeps
+BATCH, CACHE_WORDS = 1 << 19, 500_000
 #: a word starts with spaces and ends before spaces that come between two other characters
 WORDS = re.compile(r" +\s*\S*(?:(?! +\S)\s+\S*)*")
+#: without it, every space of a text is the start of a word
+RUN_OF_SPACE = re.compile(r"\s | \s|^\s|\s\Z")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -67,65 +71,61 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         alphabet = byte_alphabet()
         self.bytes_a = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if set(t) <= alphabet.keys()}
+        self.bytes_a |= {i: b"" for i in range(max(self.bytes_a) + 1) if i not in self.bytes_a}
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = list(map(piece_bytes, names))
+        self.size_a, self.size_b = {i: len(x) for i, x in self.bytes_a.items()}, list(map(len, self.bytes_b))
         # words stand alone only if no token holds a space after another character
         split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not any("▁" in n.lstrip("▁") for n in names)
         self.words = WORDS if split else re.compile(r"(?s).+")
 
-    def tokens(self, words: list[str]) -> list[tuple | None]:
-        """For each word (with its space) the tokens of both, or None if the joined
+    def split(self, text: str) -> list[str]:
+        """The words of a text, the first with the space put before it."""
+        if self.words is WORDS and not RUN_OF_SPACE.search(text):
+            return [" " + w for w in text.split(" ")]
+        return self.words.findall(" " + text)
+
+    def ids(self, words: list[str]) -> Iterator[tuple | None]:
+        """For each word (with its space) the ids of both, or None if the joined
         bytes of one differ from the word."""
-        out = []
+        a, b = self.bytes_a, self.bytes_b
         ids_b = self.b.encode([w[1:] for w in words], num_threads=1)
         for w, x, y in zip(words, self.a.encode_batch(words, add_special_tokens=False), ids_b):
-            a, b, data = [self.bytes_a.get(i, b"") for i in x.ids], [self.bytes_b[i] for i in y], w.encode()
-            out.append(([*zip(x.ids, map(len, a))], [*zip(y, map(len, b))]) if b"".join(a) == b"".join(b) == data else None)
-        return out
-
-
-def groups(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], tuple[list, list]]:
-    """The groups that tokens from a common border on close, as (tokens of a,
-    tokens of b), and the tokens after the last common end."""
-    out, i, j, at_i, at_j, end_a, end_b = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        x, y = end_a + a[i][1], end_b + b[j][1]
-        if x <= y:
-            i, end_a = i + 1, x
-        if y <= x:
-            j, end_b = j + 1, y
-        if x == y:
-            out.append((a[at_i:i], b[at_j:j]))
-            at_i, at_j = i, j
-    return out, (a[at_i:], b[at_j:])
-
-
-def links(group: tuple) -> list[tuple[int, int]]:
-    """Pairs of ids whose tokens overlap within a group."""
-    (a, b), out, i, j, end_a, end_b = group, [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        out.append((a[i][0], b[j][0]))
-        x, y = end_a + a[i][1], end_b + b[j][1]
-        if x <= y:
-            i, end_a = i + 1, x
-        if y <= x:
-            j, end_b = j + 1, y
-    return out
-
+            x = x.ids
+            yield (x, y) if b"".join([a[i] for i in x]) == b"".join([b[i] for i in y]) == w.encode() else None
 
-def shown(closed: Iterable[tuple]) -> str:
-    return ";".join(",".join(str(t[0]) for t in a) + "|" + ",".join(str(t[0]) for t in b) for a, b in closed)
-
-
-class Closed:
-    """What closed groups add to a text."""
-    __slots__ = ("numbers", "text", "pairs")
-
-    def __init__(self, closed: list[tuple]):
-        found = [x for g in closed for x in links(g)]
-        self.numbers = (sum(len(g[0]) for g in closed), sum(len(g[1]) for g in closed), len(closed), len(found))
-        self.text = shown(closed)
-        self.pairs = [x << 32 | y for x, y in found]
+    def tokens(self, words: list[str]) -> list[tuple | None]:
+        """The same as (id, number of bytes)."""
+        return [found and tuple([(i, len(of[i])) for i in ids] for ids, of in zip(found, (self.bytes_a, self.bytes_b))) for found in self.ids(words)]
+
+
+def close(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, bytes]:
+    """The closed fragment of tokens that start and end at a common border: its
+    groups as a string, and packed integers: its numbers of tokens and groups, and
+    its links as pairs of ids."""
+    pairs, shown, i, j, at_i, at_j, end_a, end_b = [], [], -1, -1, 0, 0, 0, 0
+    while i + 1 < len(a) or j + 1 < len(b):
+        # the token of the side that is behind; of both at a common end
+        back_a, back_b = end_a <= end_b, end_b <= end_a
+        if back_a and back_b and i >= 0:
+            shown.append(",".join(map(str, a[at_i:i + 1])) + "|" + ",".join(map(str, b[at_j:j + 1])))
+            at_i, at_j = i + 1, j + 1
+        if back_a:
+            i += 1
+            end_a += size_a[i]
+        if back_b:
+            j += 1
+            end_b += size_b[j]
+        pairs.append(a[i] << 32 | b[j])
+    if a:
+        shown.append(",".join(map(str, a[at_i:])) + "|" + ",".join(map(str, b[at_j:])))
+    return ";".join(shown), array("q", [len(a), len(b), len(shown), *pairs]).tobytes()
+
+
+def closed(groups: Iterable[tuple]) -> tuple[str, bytes]:
+    """Of neighbouring groups, as tokens of both."""
+    a, b = ([t for g in groups for t in g[side]] for side in (0, 1))
+    return close([i for i, _ in a], [i for i, _ in b], [n for _, n in a], [n for _, n in b])
 
 
 def compose(left: dict, right: dict) -> tuple[dict, tuple | None]:
@@ -192,11 +192,11 @@ class Block:
     def __init__(self, number: int, row: int | None = None):
         self.number, self.row, self.size = number, row, 0
         self.known: dict = {}  # word -> its place among the block's
-        self.closed: list[Closed] = []
+        self.closed: list[tuple[str, bytes]] = []
         self.rows: list[dict] = []
         self.used: list[np.ndarray] = []
 
-    def place(self, closed: Closed, word: str | None = None) -> int:
+    def place(self, closed: tuple[str, bytes], word: str | None = None) -> int:
         if word is not None:
             self.known[word] = len(self.closed)
         self.closed.append(closed)
@@ -206,13 +206,17 @@ class Block:
         """A text made of the fragments at ``places``; its groups are hashed, or
         written out if ``text``."""
         of = self.closed
-        shown = ";".join([of[i].text for i in places if of[i].text])
+        shown = ";".join(filter(None, [of[i][0] for i in places]))
         row |= {"text": shown} if text else {"groups_sha256": hashlib.sha256(shown.encode()).hexdigest() if shown else ""}
         self.rows.append(row)
         self.used.append(np.array(places, np.int32))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        numbers = np.array([c.numbers for c in self.closed], np.int64).reshape(-1, 4)
+        sizes = np.array([len(packed) >> 3 for _, packed in self.closed], np.int64)
+        every = np.frombuffer(b"".join([packed for _, packed in self.closed]), np.int64)
+        heads = np.concatenate(([0], np.cumsum(sizes)))[:-1, None].astype(np.int64) + np.arange(3)
+        sizes -= 3
+        numbers = np.column_stack((every[heads].reshape(-1, 3), sizes))
         total = np.zeros(len(self.closed), np.int64)
         for row, places in zip(self.rows, self.used):
             some, times = np.unique(places, return_counts=True)
@@ -221,9 +225,7 @@ class Block:
             for name, x, more in zip(("n_a", "n_b", "n_groups", "n_links"), n.tolist(), row.pop("open", (0, 0, 0, 0))):
                 row[name] = x + more
             row |= {"kind": "text", "block": self.number, "uses": some.astype("<u4").tobytes() + times.astype("<u4").tobytes()}
-        sizes = np.array([len(c.pairs) for c in self.closed], np.int64)
-        every = np.fromiter((p for c in self.closed for p in c.pairs), np.int64, int(sizes.sum()))
-        pairs, at = np.unique(every, return_inverse=True)
+        pairs, at = np.unique(np.delete(every, heads.ravel()), return_inverse=True)
         n = np.bincount(at, np.repeat(total, sizes), len(pairs)).astype(np.int64)
         packed = np.concatenate(([len(sizes)], sizes, at)).astype("<u4").tobytes()
         self.rows.append({"kind": "words", "block": self.number, "uses": packed})
@@ -261,31 +263,31 @@ class Aligner:
     def __init__(self, byte_level: str, pieces: bytes):
         self.pair, self.met = Pair(byte_level, pieces), {}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
+        """Meet these words; all of them are known afterwards."""
         new = [w for w in words if w not in self.met]
         if len(self.met) + len(new) > CACHE_WORDS:
             self.met.clear()
-            new = words
+            new = [*words]
+        size_a, size_b = self.pair.size_a, self.pair.size_b
         for lo in range(0, len(new), 4096):
             some = new[lo:lo + 4096]
-            for w, t in zip(some, self.pair.tokens(some)):
-                self.met[w] = t and Closed(groups(*t)[0])
+            for w, t in zip(some, self.pair.ids(some)):
+                self.met[w] = t and close(*t, [size_a[i] for i in t[0]], [size_b[i] for i in t[1]])
 
     def places(self, block: Block, words: list[str]) -> list[int] | None:
-        """The words' places in the block; None if a word has no tokens."""
+        """The places in the block of words that were met; None if a word has no tokens."""
         known = block.known
-        missing = [*set(words).difference(known)]
-        if missing:
-            self.learn(missing)
-            if not all(self.met[w] for w in missing):
-                return None
-            for w in missing:
-                block.place(self.met[w], w)
+        missing = set(words).difference(known)
+        if not all([self.met[w] for w in missing]):
+            return None
+        for w in missing:
+            block.place(self.met[w], w)
         return [known[w] for w in words]
 
-    def whole(self, block: Block, row: dict, text: str | None) -> None:
+    def whole(self, block: Block, row: dict, words: list[str]) -> None:
         """A text that is one range."""
-        places = self.places(block, self.pair.words.findall(" " + text)) if text else None
+        places = self.places(block, words) if words else None
         block.add(places or [], row | {"ok": places is not None}, False)
 
     def part(self, block: Block, row: dict, words: list[str], lo: int, hi: int) -> None:
@@ -293,17 +295,18 @@ class Aligner:
         ends = np.cumsum([len(w.encode()) for w in words]).tolist()
         # the first group of a range is open, unless the text starts with it
         opens, last = row["seg"] > 0, ends[-1] > hi
+        self.learn(set(words))
         places, tokens = self.places(block, words[opens:len(words) - last]), self.pair.tokens([words[0], words[-1]])
         fragment = {"pa": [], "pb": [], "sa": [], "sb": [], "closes": row["seg"], "ok": places is not None and None not in tokens}
         if fragment["ok"]:
             prefix, suffix = [], []
             if opens:
-                prefix, closed, suffix = cut_word(tokens[0], 0, lo, hi, True)
-                places = [block.place(Closed(closed)), *places]
+                prefix, inside, suffix = cut_word(tokens[0], 0, lo, hi, True)
+                places = [block.place(closed(inside)), *places]
                 fragment["closes"] = row["seg"] if suffix else None
             if last and not (opens and len(words) == 1):
-                _, closed, suffix = cut_word(tokens[1], ends[-1] - len(words[-1].encode()), lo, hi, False)
-                places = [*places, block.place(Closed(closed))]
+                _, inside, suffix = cut_word(tokens[1], ends[-1] - len(words[-1].encode()), lo, hi, False)
+                places = [*places, block.place(closed(inside))]
             for names, tokens in ((("pa", "pb"), prefix), (("sa", "sb"), suffix)):
                 fragment |= zip(names, tokens[0] if tokens else ([], []))
             row["open"] = (len(fragment["pa"]) + len(fragment["sa"]), len(fragment["pb"]) + len(fragment["sb"]), 0, 0)
@@ -321,23 +324,38 @@ def aligned(texts: DataFrame, byte_level: str, pieces: bytes) -> DataFrame:
             made[key] = Aligner(*shared.value)
         aligner, number = made[key], TaskContext.get().partitionId() << 32
 
-        block = Block(number)
-        for batch in batches:
-            for id_, row, seg, text, lo, hi in zip(*(batch.column(c) for c in ("id", "row", "seg", "text", "lo", "hi"))):
-                text, part = text.as_py(), {"id": id_.as_py(), "row": row.as_py(), "seg": seg.as_py()}
-                if part["row"] is None:
-                    aligner.whole(block, part, text)
-                    block.size += len(text or "") + 64
-                    if block.size >= BLOCK:
-                        yield from block.batches()
+        block, waiting, size = Block(number), [], 0
+
+        def add_waiting() -> None:
+            aligner.learn({w for _, words in waiting for w in words})
+            for part, words in waiting:
+                aligner.whole(block, part, words)
+            waiting.clear()
+
+        gc.disable()  # the words met are many objects, and no cycle is made
+        try:
+            for batch in batches:
+                for id_, row, seg, text, lo, hi in zip(*(batch.column(c) for c in ("id", "row", "seg", "text", "lo", "hi"))):
+                    text, part = text.as_py(), {"id": id_.as_py(), "row": row.as_py(), "seg": seg.as_py()}
+                    if part["row"] is None:
+                        waiting.append((part, aligner.pair.split(text) if text else []))
+                        size += len(text or "") + 64
+                        if size >= BATCH:
+                            add_waiting()
+                            block.size, size = block.size + size, 0
+                            if block.size >= BLOCK:
+                                yield from block.batches()
+                                number += 1
+                                block = Block(number)
+                    else:  # a block of its own, as the whole text may turn out to have no tokens
                         number += 1
-                        block = Block(number)
-                else:  # a block of its own, as the whole text may turn out to have no tokens
-                    number += 1
-                    own = Block(number, part["row"])
-                    aligner.part(own, part, aligner.pair.words.findall(text), lo.as_py(), hi.as_py())
-                    yield from own.batches()
-        yield from block.batches()
+                        own = Block(number, part["row"])
+                        aligner.part(own, part, aligner.pair.words.findall(text), lo.as_py(), hi.as_py())
+                        yield from own.batches()
+            add_waiting()
+            yield from block.batches()
+        finally:
+            gc.enable()
 
     return texts.mapInArrow(run, TABLE)
 
@@ -380,8 +398,9 @@ def composed(parts: DataFrame) -> DataFrame:
             closes = f["closes"]
             whole, seam = compose(whole, f)
             if seam:
-                found.append((closes, Closed([seam])))
-        rows = [{"kind": "seam", "row": row, "seg": at, "n_links": c.numbers[3], "text": c.text, "pairs": c.pairs} for at, c in found]
+                found.append((closes, closed([seam])))
+        rows = [{"kind": "seam", "row": row, "seg": at, "n_links": len(packed) // 8 - 3, "text": text, "pairs": array("q", packed)[3:].tolist()}
+                for at, (text, packed) in found]
         rows.append({c: flat(whole[c]) for c in ("pa", "pb", "sa", "sb")} | {"kind": "part", "row": row, "seg": seg, "closes": whole["closes"]})
         types = {"kind": pa.string(), "text": pa.string(), "pairs": pa.list_(pa.int64())} | {c: pa.list_(pa.int32()) for c in ("pa", "pb", "sa", "sb")}
         return pa.Table.from_pylist(rows, pa.schema([(c.split()[0], types.get(c.split()[0], pa.int64())) for c in SEAM.split(", ")]))
@@ -475,7 +494,7 @@ def align(docs: DataFrame, byte_level: str, pieces: bytes, id_col: str = "doc_id
     # a row per id of b
     top = counts.groupBy("b").agg(F.max("c").alias("top"))
     counts = counts.join(top, "b").select("a", "b", "c", (F.col("c") == F.col("top")).alias("best"))
-    found = counted(table.filter("kind <> 'pair'"), pairs.join(counts, ["a", "b"]))
+    found = stored(counted(table.filter("kind <> 'pair'"), pairs.join(counts, ["a", "b"])))
     short = found.filter("row IS NULL").select("id", *NUMBERS, "groups_sha256")
     # texts in several ranges: their parts and seams summed up
     across = seam_pairs.join(counts, ["a", "b"]).groupBy("row").agg(

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from array import array
 from collections import Counter
 
 import public_tokenizers
@@ -100,7 +101,7 @@ def test_cases(spark):
 def test_long_texts_in_ranges(spark, monkeypatch):
     """Short ranges: texts of many ranges, three levels of the tree, borders inside
     words, characters and words longer than what is cut."""
-    for name, value in (("RANGE", 40), ("LONGEST", 16), ("BLOCK", 300), ("FAN", 3)):
+    for name, value in (("RANGE", 40), ("LONGEST", 16), ("BLOCK", 300), ("BATCH", 100), ("FAN", 3)):
         monkeypatch.setattr(align, name, value)
     rng = random.Random(4)
     rows = [(i, text(rng, rng.randint(1, 90))) for i in range(40)] + [(50, text(rng, 300, "")), (51, text(rng, 200, "\n")), (52, text(rng, 100) + " ▁ " + text(rng, 9))]
@@ -115,7 +116,7 @@ words = st.text(st.sampled_from("ab é漢1.'\n\t ▁s\U0001F600"), max_size=60)
 @given(words.filter(bool))
 def test_words_stand_alone(t):
     parts = PAIR.words.findall(" " + t)
-    assert "".join(parts) == " " + t
+    assert "".join(parts) == " " + t and PAIR.split(t) == parts
     tokens = PAIR.tokens(parts)
     whole = whole_tokens(t)
     assert (None in tokens) == (whole is None)
@@ -124,7 +125,22 @@ def test_words_stand_alone(t):
             assert [i for w in tokens for i, _ in w[side]] == [i for i, _ in whole[side]]
 
 
-fragments = st.lists(st.tuples(st.lists(st.integers(1, 3), max_size=4), st.booleans()), min_size=3, max_size=6)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=12), st.data())
+def test_closed_groups_against_all_pairs(sizes, data):
+    """Groups and links of two ways to cut the same bytes."""
+    total = sum(sizes)
+    inner = data.draw(st.sets(st.integers(1, total - 1))) if total > 1 else set()
+    ends = sorted(inner | {total})
+    other = [e - s for s, e in zip([0, *ends], ends)]
+    a, b = list(range(len(sizes))), list(range(100, 100 + len(other)))
+    shown, packed = align.close(a, b, sizes, other)
+    numbers = array("q", packed).tolist()
+    spans = [[(sum(x[:k]), sum(x[:k + 1])) for k in range(len(x))] for x in (sizes, other)]
+    want = [i << 32 | j for i, (s, e) in zip(a, spans[0]) for j, (s2, e2) in zip(b, spans[1]) if s < e2 and s2 < e]
+    assert sorted(numbers[3:]) == sorted(want)
+    common = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+    cut = [[",".join(str(i) for i, (_, e) in zip(ids, of) if lo < e <= hi) for ids, of in ((a, spans[0]), (b, spans[1]))] for lo, hi in zip([0, *common], common)]
+    assert shown == ";".join("|".join(x) for x in cut) and numbers[:3] == [len(a), len(b), len(common)]
 
 
 @given(st.data())
