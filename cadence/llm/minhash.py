@@ -13,8 +13,9 @@ Equal sets collapse to one before banding.  In a band's bucket every set is firs
 compared with the bucket's smallest one only; what those links connect needs no
 more comparison, so a bucket of near copies yields a row per copy.  Then sets of
 one bucket that are still apart, and of sizes that could reach the threshold, are
-compared with each other inside the join, which hands on links only.  What stays
-quadratic is that comparison, of sets in one bucket that no link connects.
+compared with each other inside the join, on halves of their hashes, and what it
+hands on is confirmed on the full sets.  What stays quadratic is that comparison,
+of sets in one bucket that no link connects.
 """
 
 from __future__ import annotations
@@ -145,10 +146,18 @@ def _sets(rows: DataFrame, tags: DataFrame) -> DataFrame:
     return stored(rows.select("tag", "bands", "members").join(stored(tags.distinct()), "tag", "left_semi"))
 
 
+def _confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) whose full sets reach the threshold."""
+    full = _sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("tag")))
+    side = lambda c: full.select(F.col("tag").alias(c), F.col("members").alias(f"set_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(_linked(F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b")), percent)).select("a", "b")
+
+
 def links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a``, ``b``: links between distinct sets that connect what all pairs at or
     over the threshold do.  ``sets`` has the ``tag`` of one row of each; ``rows``
-    has ``tag``, ``n``, ``bands`` and ``members``.  Both joins hand on links only."""
+    has ``tag``, ``n``, ``bands`` and ``members``."""
     banded = rows.select("tag", "n", "bands").join(sets.select("tag"), "tag", "left_semi")
     banded = stored(banded.select("tag", "n", F.explode("bands").alias("value")))
     first = banded.groupBy("value").agg(F.min(F.struct("tag", "n")).alias("first"), F.max("tag").alias("last"))
@@ -156,24 +165,26 @@ def links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = stored(banded.join(first, "value"))
     apart = (F.col("tag") != F.col("first.tag")) & _reach(F.col("n"), F.col("first.n"), percent)
     stars = stored(shared.filter(apart).select(F.col("first.tag").alias("a"), F.col("tag").alias("b")).distinct())
-    full = _sets(rows, stars.select(F.explode(F.array("a", "b")).alias("tag")))
-    side = lambda c: full.select(F.col("tag").alias(c), F.col("members").alias(f"set_{c}"))
-    both = stars.join(side("a"), "a").join(side("b"), "b")
-    found = stored(both.filter(_linked(F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b")), percent)).select("a", "b"))
+    found = stored(_confirmed(stars, rows, percent))
     roots = components(found, "a", "b").select(F.col("node").alias("tag"), "root")
     shared = shared.select("tag", "n", "value").join(roots, "tag", "left").withColumn("root", F.coalesce("root", "tag"))
     # only buckets with members still apart go on
     mixed = shared.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value")
     shared = stored(shared.join(mixed, "value", "left_semi"))
-    compared = shared.join(_sets(rows, shared.select("tag")), "tag")
+    # half of each hash is enough to tell almost all pairs that are too different
+    halves = _sets(rows, shared.select("tag")).select("tag", "bands", F.array_distinct(
+        F.transform("members", lambda x: F.shiftright(x, 32).cast("int"))).alias("halves"))
+    compared = shared.join(halves, "tag")
     a, b = compared.alias("a"), compared.alias("b")
     both = lambda c: F.array_intersect(f"a.{c}", f"b.{c}")
     near = ((F.col("a.value") == F.col("b.value")) & (F.col("a.tag") < F.col("b.tag")) & (F.col("a.root") != F.col("b.root"))
             & _reach(F.col("a.n"), F.col("b.n"), percent)
             # a pair is compared in the least of the buckets that it shares
             & (F.array_min(both("bands")) == F.col("a.value"))
-            & _linked(F.col("a.n"), F.col("b.n"), F.size(both("members")), percent))
-    return found.unionByName(a.join(b, near).select(F.col("a.tag").alias("a"), F.col("b.tag").alias("b")))
+            # members that share their halves count as shared with the other set: no link is lost
+            & _linked(F.col("a.n"), F.col("b.n"), F.size(both("halves")) + F.col("a.n") - F.size("a.halves"), percent))
+    pairs = stored(a.join(b, near).select(F.col("a.tag").alias("a"), F.col("b.tag").alias("b")))
+    return found.unionByName(_confirmed(pairs, rows, percent))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 3, percent: int = 85) -> DataFrame:
