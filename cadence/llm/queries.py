@@ -53,7 +53,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learnt = langid.fit(docs.filter(crc32_mod("doc_id", 3) != 1))
     found = langid.predict(docs, learnt)
-    return found.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score",
+    return found.select("doc_id", F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score",
                         langid.rejected(F.col("lang_pred"), F.col("score")).alias("rejected"))
 
 
@@ -61,7 +61,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(labels.filter(crc32_mod("doc_id", 5) != 0), docs)
-    held_out = (crc32_mod("doc_id", 5) == 0).alias("held_out")
+    held_out = F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
@@ -77,19 +77,15 @@ WITH lines AS (
 full_lines AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS s
   FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines) WHERE words > 0),
-ahead AS (
-  SELECT *, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3,
-         lead(words, 1) OVER w AS words2, lead(words, 2) OVER w AS words3
-  FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-windows AS (
-  SELECT doc_id, s, CASE WHEN words >= 50 THEN 1 WHEN words + words2 >= 50 THEN 2 WHEN words3 IS NOT NULL THEN 3 END AS n, line, line2, line3
-  FROM ahead),
-placed AS (
-  SELECT doc_id, s, n, row_number() OVER (
-    PARTITION BY n, line, CASE WHEN n >= 2 THEN line2 END, CASE WHEN n >= 3 THEN line3 END ORDER BY doc_id, s) AS k
-  FROM windows WHERE n IS NOT NULL),
+same AS (
+  SELECT a.doc_id AS d1, b.doc_id AS d2, b.s - a.s AS ahead, b.s, b.words
+  FROM full_lines a JOIN full_lines b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.s < b.s)),
+runs AS (
+  SELECT d2 AS doc_id, min(s) AS lo, max(s) AS hi
+  FROM (SELECT *, s - row_number() OVER (PARTITION BY d1, d2, ahead ORDER BY s) AS run FROM same)
+  GROUP BY d1, d2, ahead, run HAVING count(*) >= 3 OR sum(words) >= 50),
 gone AS (
-  SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS s FROM placed WHERE k > 1),
+  SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS s FROM (SELECT DISTINCT * FROM runs)),
 marked AS (
   SELECT l.doc_id, l.pos, l.line, g.s IS NOT NULL AS gone
   FROM lines l LEFT JOIN full_lines f ON l.doc_id = f.doc_id AND l.pos = f.pos

@@ -49,39 +49,7 @@ def test_exact_dedup_compares_bytes_under_colliding_hashes(spark):
 
 
 def brute_lines(rows, k, words):
-    """The rule itself: a line goes if a window over it occurs earlier."""
-    seqs = {}
-    for i, t in rows:
-        seqs[i] = [(n, x) for n, x in enumerate((t or "").split("\n")) if x.split()] if t is not None else []
-    places = {}
-    for i in sorted(seqs):
-        lines = [x for _, x in seqs[i]]
-        for s in range(len(lines)):
-            n = count = 0
-            while n < k and count < words and s + n < len(lines):
-                count += len(lines[s + n].split())
-                n += 1
-            if n == k or count >= words:
-                places.setdefault(tuple(lines[s:s + n]), []).append((i, s, n))
-    gone = {i: set() for i in seqs}
-    for found in places.values():
-        for i, s, n in sorted(found)[1:]:
-            gone[i].update(seqs[i][j][0] for j in range(s, s + n))
-    return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in rows}
-
-
-@pytest.mark.parametrize("k,words", [(1, 50), (2, 4), (3, 50), (4, 9)])
-def test_line_dedup_against_brute_force(spark, k, words):
-    rng = random.Random(k)
-    rows = [(i, "\n".join(rng.choice(["a", "b b", "c c c", "d d d d d", "", "  ", "x%d" % rng.randrange(9)]) for _ in range(rng.randrange(12))))
-            for i in range(60)] + [(97, None), (98, ""), (99, "\n\n")]
-    got = line_dedup.line_dedup(docs(spark, rows).repartition(5), min_lines=k, min_words=words).collect()
-    assert {r.doc_id: r.text for r in got} == brute_lines(rows, k, words)
-    assert all(r.n_removed == (r.text is not None and (r.n_lines - len(r.text.split("\n")) if r.text or r.n_removed < r.n_lines else r.n_lines)) for r in got if r.text)
-
-
-def brute_runs(rows, k, words):
-    """Whole runs: a line goes if any stretch over it that counts occurs earlier."""
+    """The rule itself: a line goes if any stretch over it that counts occurs earlier."""
     seqs = {i: [(n, x) for n, x in enumerate((t or "").split("\n")) if x.split()] for i, t in rows}
     gone, met = {i: set() for i in seqs}, set()
     for i in sorted(seqs):
@@ -96,18 +64,19 @@ def brute_runs(rows, k, words):
 
 
 @pytest.mark.parametrize("k,words", [(1, 50), (2, 4), (3, 50), (3, 6), (4, 9)])
-def test_whole_runs_against_brute_force(spark, k, words):
+def test_line_dedup_against_brute_force(spark, k, words):
     rng = random.Random(k)
     rows = [(i, "\n".join(rng.choice(["a", "b b", "c c c", "d d d d d", "", "  ", "x%d" % rng.randrange(9)]) for _ in range(rng.randrange(12))))
             for i in range(60)] + [(97, None), (98, ""), (99, "\n\n")]
-    got = line_dedup.line_dedup(docs(spark, rows).repartition(5), min_lines=k, min_words=words, both_ways=True).collect()
-    assert {r.doc_id: r.text for r in got} == brute_runs(rows, k, words)
+    got = line_dedup.line_dedup(docs(spark, rows).repartition(5), min_lines=k, min_words=words).collect()
+    assert {r.doc_id: r.text for r in got} == brute_lines(rows, k, words)
+    assert all(r.n_removed == (r.text is not None and (r.n_lines - len(r.text.split("\n")) if r.text or r.n_removed < r.n_lines else r.n_lines)) for r in got if r.text)
 
 
 def test_whole_runs_reach_short_last_lines(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(25)) for c in "ab")
     rows = [(i, f"x{i}\n{a}\n{b}\nlast of them\ny{i}") for i in (1, 2, 3)] + [(4, "z\nlast of them")]
-    got = line_dedup.line_dedup(docs(spark, rows), both_ways=True).collect()
+    got = line_dedup.line_dedup(docs(spark, rows)).collect()
     assert {r.doc_id: (r.text, r.n_removed) for r in got} == {1: (rows[0][1], 0), 2: ("x2\ny2", 3), 3: ("x3\ny3", 3), 4: (rows[3][1], 0)}
 
 
