@@ -1,11 +1,13 @@
 """Exact dedup by content hash, with the bytes compared inside each group.
 
-Built from DataFrame functions alone.  Texts are grouped by (128-bit hash,
-text): the map-side combine leaves one row per distinct text and task, so a
-group holding a third of all rows is gone before the shuffle, and Spark's
-grouping compares the bytes, so two texts that share a hash stay apart.  The
-per-row side of the join back carries no text, unless hashes do collide; only
-the rows under a collided hash are then matched by their bytes.
+Built from DataFrame functions alone.  Texts are grouped by a 128-bit hash and
+their length, and no text is shuffled for that.  Only the texts of groups of two
+or more are then looked at again: each group gathers the distinct ones, which the
+map-side combine reduces to one per task unless hashes collide, so Spark compares
+the bytes.  The rows under a collided hash are matched by their texts.
+
+A group may hold any share of the rows: it is combined before each shuffle, and
+the rows are joined back to its one row.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import cut
+from cadence.llm.common import stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -42,17 +44,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
     agg = (best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    sha = F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256")
     rows = docs.select(F.col(id_col).alias("id"), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    rows = rows.withColumn("h", content_hash(F.col("t")))
-    groups = cut(rows.groupBy("h", "t").agg(*agg).select("h", sha, "keep_id", "group_size"))
-    collided = groups.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    joined = rows.select("id", "h").join(groups, "h")
+    hashed = rows.select("id", "t", content_hash(F.col("t")).alias("h"), F.octet_length("t").alias("size"))
+    sha = F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256")
+    groups = stored(hashed.groupBy("h", "size").agg(*agg))
+    # written out, the keys' size is known when the join is planned: few of them are sent to the rows
+    several = stored(groups.filter("group_size > 1").select("h", "size"))
+    again = hashed.join(several, ["h", "size"], "left_semi")
+    collided = stored(again.groupBy("h", "size").agg(F.collect_set("t").alias("texts")).filter(F.size("texts") > 1).select("h", "size"))
+    joined = hashed.select("id", "h", "size", sha).join(groups, ["h", "size"])
     if not collided.isEmpty():
-        collided = cut(collided)
-        shared = rows.join(collided, "h", "left_semi")
-        by_bytes = shared.groupBy("h", "t").agg(*agg)
-        joined = (joined.join(collided, "h", "left_anti").select("id", "text_sha256", "keep_id", "group_size")
-                  .unionByName(shared.join(by_bytes, ["h", "t"]).select("id", sha, "keep_id", "group_size")))
+        shared = hashed.join(collided, ["h", "size"], "left_semi")
+        by_bytes = shared.groupBy("h", "size", "t").agg(*agg)
+        joined = (joined.join(collided, ["h", "size"], "left_anti").select("id", "text_sha256", "keep_id", "group_size")
+                  .unionByName(shared.join(by_bytes, ["h", "size", "t"]).select("id", sha, "keep_id", "group_size")))
     return joined.select(F.col("id").alias(id_col), "keep_id", "group_size",
                          F.col("keep_id").eqNullSafe(F.col("id")).alias("kept"), "text_sha256")
