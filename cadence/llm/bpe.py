@@ -5,8 +5,8 @@ the rest: the encoding of ``b[:i]`` is that of ``b[:i - len(t)]`` followed by
 ``t``.  So an encoding is stored as the last token of each prefix.  Token ``t``
 is the last one of ``b[:i]`` iff its bytes end there and BPE leaves the border
 between it and the last token of ``b[:i - len(t)]`` alone.  Appending bytes
-never changes what is stored for the prefixes before them, so appends are exact
-and an edit recomputes only from its own place on.
+never changes what is stored for the prefixes before them, so appends are exact,
+and an edit recomputes from its own place on until the stored tokens agree again.
 
 Whether BPE leaves a border alone is read off the two tokens' merge histories:
 the pieces that touch the border grow in order of rank, and a merge across it
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -132,10 +133,22 @@ class PrefixEncoding:
         return self
 
     def edit(self, start: int, stop: int, new: bytes) -> PrefixEncoding:
-        """Replace bytes ``start`` to ``stop``; prefixes up to ``start`` stay."""
-        tail = self.data[stop:]
-        self.data, self.last = self.data[:start], self.last[:start]
-        return self.append(new + tail)
+        """Replace bytes ``start`` to ``stop``.  Prefixes up to ``start`` stay.  After
+        the new bytes, what is stored depends on the bytes and the last tokens of as
+        many prefixes as the longest token is long: once these agree with the old
+        ones, so do all after them, and the old ones are taken over."""
+        old, last, shift = self.data, self.last, len(new) - (stop - start)
+        same, self.data, self.last = 0, old[:start], last[:start]
+        longest, tail = self.vocabulary.longest, old[stop:]
+        self.append(new)
+        for lo in range(0, len(tail), longest):
+            self.append(tail[lo:lo + longest])
+            for end in range(len(self.data) - len(tail[lo:lo + longest]) + 1, len(self.data) + 1):
+                same = same + 1 if self.last[end - 1] == last[end - 1 - shift] else 0
+                if same >= longest:
+                    self.data, self.last = old[:start] + new + tail, self.last[:end] + last[end - shift:]
+                    return self
+        return self
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
@@ -146,11 +159,47 @@ class PrefixEncoding:
         return out[::-1]
 
 
+class TextEncoding:
+    """Encoding of one text that can be edited: the pattern's matches and each
+    one's ids.  An edit splits again from the match before it until matches start
+    at the same places as before, and encodes those that are new."""
+
+    def __init__(self, encoder: Encoder, text: str = ""):
+        self.encoder, self.text = encoder, text
+        self.matches = [(m.start(), m.end(), encoder.piece(m.group())) for m in encoder.pattern.finditer(text)]
+
+    def edit(self, start: int, stop: int, new: str) -> TextEncoding:
+        """Replace characters ``start`` to ``stop``."""
+        old, shift = self.matches, len(new) - (stop - start)
+        self.text = self.text[:start] + new + self.text[stop:]
+        # a match may look one character ahead, so the last one that ends before the edit is made anew
+        kept = max(0, bisect_left(old, start, key=lambda m: m[1]) - 1)
+        self.matches = old[:kept]
+        for m in self.encoder.pattern.finditer(self.text, self.matches[-1][1] if kept else 0):
+            before = m.start() - shift
+            i = bisect_left(old, before, key=lambda x: x[0])
+            if m.start() >= start + len(new) and i < len(old) and old[i][0] == before:
+                self.matches += [(a + shift, b + shift, ids) for a, b, ids in old[i:]]
+                break
+            self.matches.append((m.start(), m.end(), self.encoder.piece(m.group())))
+        return self
+
+    def append(self, more: str) -> TextEncoding:
+        return self.edit(len(self.text), len(self.text), more)
+
+    def ids(self) -> list[int]:
+        return np.frombuffer(b"".join(ids for _, _, ids in self.matches), "<u4").tolist()
+
+
 class Encoder:
     """Encodes whole texts, each match of the pattern separately."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.find, self.pieces = vocabulary, regex.compile(pattern).findall, {}
+        self.vocabulary, self.pattern, self.pieces = vocabulary, regex.compile(pattern), {}
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one match, of those met lately without a search."""
+        return self.pieces.get(piece) or self._piece(piece)
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
@@ -167,7 +216,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         get, piece = self.pieces.get, self._piece
-        return b"".join([get(p) or piece(p) for p in self.find(text)])
+        return b"".join([get(p) or piece(p) for p in self.pattern.findall(text)])
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist()))
