@@ -4,10 +4,10 @@ A classifier fitted on a labelled table gives every document a posterior over
 the domains.  Documents then get nonnegative rates, so that the expected tokens
 of each domain, the sum of rate x tokens x posterior, match the target totals:
 
-    minimise  1/2 sum_d (s_d - t_d)^2 / t_d  +  penalty/2 sum_i w_i (r_i - 1)^2,  r >= 0
+    minimise  1/2 sum_d (s_d - t_d)^2 / u_d  +  penalty/2 sum_i w_i (r_i - 1)^2,  r >= 0
 
-with w_i the document's share of all tokens, s_d = sum_i w_i r_i p_id and t the
-target weights.  It is solved by projected gradient steps of Barzilai-Borwein
+with w_i the document's share of all tokens, s_d = sum_i w_i r_i p_id, t the target
+weights and u_d = max(t_d, 0.01), so that small targets count for what they are of all.  It is solved by projected gradient steps of Barzilai-Borwein
 length.  A rate follows from its posterior and the steps so far, a short list of
 numbers; so an iteration is one pass over the posteriors that returns the sums,
 nothing per document is kept between passes, and a lost executor costs a task.
@@ -31,8 +31,10 @@ from cadence.llm.sampling import sample_rows
 
 FEATURES = 1 << 14
 PENALTY, ITERATIONS = 1e-4, 100
-#: by how much of itself a domain's expected total may miss its target
-MISS = 0.005
+#: by how much of itself a domain's expected total may miss its target; of a target of none, by how much of all
+MISS, NONE = 0.005, 1e-6
+#: the least weight of a domain's miss
+LEAST = 0.01
 
 
 #: target shares of the tokens for the domains of the labels table
@@ -66,7 +68,7 @@ class Domains:
 def fit(labels: DataFrame, docs: DataFrame, domain_col: str = "domain", id_col: str = "doc_id", text_col: str = "text", *,
         per_domain: int = 3000, chars: int = 8000) -> Domains:
     """Softmax regression on hashed tokens, from at most ``per_domain`` labelled
-    rows of each domain and ``chars`` characters of each.
+    rows of each domain and ``chars`` characters of each, in slices spread over it.
 
     Only labels of documents with a text count, towards the shares too; a domain
     without any is not learnt.  If that holds for all, the shares of all labels stay.
@@ -76,14 +78,14 @@ def fit(labels: DataFrame, docs: DataFrame, domain_col: str = "domain", id_col:
     sample, counts = sample_rows(known, docs, domain_col, id_col, text_col, per_label=per_domain, chars=chars)
     if sample is None:
         sample, counts = sample_rows(labels, docs, domain_col, id_col, text_col, per_label=per_domain, chars=chars)
-    names = sorted(counts)
-    total = sum(counts.values())
+    drawn = {}
+    if sample is not None:
+        sample = cut(sample)
+        drawn = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(drawn or counts)
+    total = sum(counts[n] for n in names)
     shares = [counts[n] / total for n in names]
-    if sample is None:
-        return Domains(names, shares, None)
-    sample = cut(sample)
-    drawn = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(names) < 2 or len(drawn) < len(names):
+    if len(drawn) < 2:
         return Domains(names, shares, None)
     # the sample takes the same number of each domain; weights give the table's shares back
     number, weight = F.lit(0.0), F.lit(0.0)
@@ -144,13 +146,15 @@ def solve(members: DataFrame, target: np.ndarray) -> tuple[list[tuple[float, np.
 
     share, _ = sums()
     length = 1.0
-    while not (met := bool(np.abs(share / target - 1).max() <= MISS)) and len(steps) < ITERATIONS:
-        steps.append((length, (share - target) / target))
+    scale = np.maximum(target, LEAST)
+    allowed = MISS * np.where(target > NONE, target, 1.0)
+    while not (met := bool((np.abs(share - target) <= allowed).all())) and len(steps) < ITERATIONS:
+        steps.append((length, (share - target) / scale))
         new, moved = sums()
         delta, share = new - share, new
         if moved < 1e-12:  # targets out of reach: the nearest totals are found
             break
-        length = moved / (float((delta * delta / target).sum()) + PENALTY * moved)
+        length = moved / (float((delta * delta / scale).sum()) + PENALTY * moved)
     return steps, share, met
 
 
@@ -164,11 +168,12 @@ def mix(docs: DataFrame, domains: Domains, weights: dict, id_col: str = "doc_id"
 
     ``weights`` are the domains' target shares of the tokens, scaled to one over
     the domains learnt; a domain learnt but without a weight keeps its labelled
-    share.  Null texts have no tokens and the empty text's posterior.  Without
+    share, and weights that are all 0 count as equal.  Null texts have no tokens and the empty text's posterior.  Without
     tokens, or with a single domain, all rates are 1.  Rows that repeat an id
     get the same copies if their texts are equal.  Other columns are ignored.
     """
     target = np.array([float(weights.get(n, s)) for n, s in zip(domains.names, domains.shares)] or [1.0])
+    target = target if target.sum() > 0 else np.ones(len(target))
     target = np.maximum(target / target.sum(), 1e-9)
     members = stored(memberships(docs, domains, id_col, text_col))
     steps, _, met = solve(members, target)

@@ -4,9 +4,9 @@ A word is the mean of the embeddings of its hashed character n-grams and of
 itself, so a misspelling or an inflection unseen in training shares most of its
 vector with the word it comes from.  The bag is the mean over the words of a
 text, or (``window``) of the ``window`` neighbouring words that speak most for
-the last class, so that a few words tell in a text of any length.  A word over
-``WHOLE`` characters (unspaced text) counts as overlapping pieces, each a word
-of its own to the bag and the window.  Embeddings and softmax are trained
+the last class, so that a few words tell in a text of any length.  A word counts
+as its overlapping pieces of up to ``PIECE`` characters, each a word of its own to
+the bag and the window; most words have one.  Embeddings and softmax are trained
 jointly in numpy (sparse Adagrad on small batches).
 
 The model is linear in the bag, so scoring needs one number per word and class;
@@ -20,7 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from itertools import chain
 
 import numpy as np
@@ -32,19 +32,19 @@ from cadence.llm.common import ship_by_value, worker_cache
 
 BUCKETS = 1 << 16
 CACHE_WORDS = 500_000
-WHOLE = 40
-#: characters of a piece, and of them those shared with the next one: every n-gram lies in a piece
-PIECE, SHARED = 12, 4
+#: characters of a piece (of a word with its two marks), and of them those shared with the next one: every n-gram lies in a piece
+PIECE, SHARED = 16, 4
 TOKENS = {"words": re.compile(r"[^\W_]+"), "words and signs": re.compile(r"\w+|[^\w\s]+")}
 
 
 def pieces(words: list[str]) -> list[str]:
-    """The words, those over ``WHOLE`` characters in pieces.  A piece starts with
-    a space, which no word holds, and has the marks of the word's two ends only."""
-    if max(map(len, words), default=0) <= WHOLE:
+    """The pieces of the words.  The only piece of a word is the word; one of several
+    starts with a space, which no word holds, and has the marks of the word's two
+    ends only."""
+    if max(map(len, words), default=0) <= PIECE - 2:
         return words
     return list(chain.from_iterable(
-        [w] if len(w) <= WHOLE else [f" {m[i:i + PIECE]}" for m in (f"<{w}>",) for i in range(0, len(m) - SHARED, PIECE - SHARED)] for w in words))
+        [w] if len(w) <= PIECE - 2 else [f" {m[i:i + PIECE]}" for m in (f"<{w}>",) for i in range(0, len(m) - SHARED, PIECE - SHARED)] for w in words))
 
 
 def ngrams(word: str) -> list[str]:
@@ -207,13 +207,14 @@ def posteriors(docs: DataFrame, model: Model, text_col: str, *, keep: tuple[str,
 
     A null text counts as empty, whose posterior is the bias alone.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast is pickled by reference, and workers need not have this package
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     passed = [f"k{i}" for i in range(len(keep))]
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in passed), "n_tokens long", "posterior array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, model = worker_cache("subword"), shared.value
+        made, model = worker_cache("subword"), Model(*shared.value)
         if model.tag not in made:
             made.clear()
             made[model.tag] = Scorer(model)
