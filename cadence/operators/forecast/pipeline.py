@@ -68,14 +68,14 @@ def fit_predict(df: DataFrame, keys: Sequence[str], period: str, target: str,
     keys = list(keys)
     require_columns(df, [*keys, period, target, *predictors], "forecast input")
     feats = FE.feature_names(predictors, lag)
+    df = df.select(*keys, period, target, *predictors)
+    if materialise:
+        # the panel feeds the entity list, the frame, the driver trends, the
+        # known-value lookup and the last observed level: compute it once
+        df = _materialise(df)
     every = df.select(*keys).distinct()
-    # nothing past the cut-off is ever used
+    # past the cut-off, only the entities' names are used
     df = df.where(F.col(period) <= F.lit(cutoff))
-    if materialise:
-        every = _materialise(every)
-        # the panel feeds the frame, the driver trends, the known-value lookup
-        # and the last observed level: compute its used columns once
-        df = _materialise(df.select(*keys, period, target, *predictors))
     frame = FE.feature_frame(df, keys, period, target, predictors, lag, mode, cutoff, freq)
     kept, rej_support = FE.support_split(frame, keys, FE.minimum_support(len(feats)), every)
     split = FE.holdout_split(kept, keys, period, len(feats))

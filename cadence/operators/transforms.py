@@ -131,37 +131,43 @@ def transform_series(df: DataFrame, keys: Sequence[str], period: str = "period",
     are dropped.  Output: keys..., period, original, transformed, axis_label,
     base_period.
     """
-    if kind not in TRANSFORMS:
-        raise ValueError(f"unknown transform {kind!r}")
+    return transform_kinds(df, keys, [kind], period, value, base_period, unit, min_points).drop("kind")
+
+
+def transform_kinds(df: DataFrame, keys: Sequence[str], kinds: Sequence[str], period: str = "period", value: str = "value",
+                    base_period=None, unit: str | None = None, min_points: int = 2) -> DataFrame:
+    """Several transforms of every series, with a ``kind`` column: the panel is
+    read and dealt out by series once, whatever the number of kinds."""
+    if unknown := set(kinds) - set(TRANSFORMS):
+        raise ValueError(f"unknown transforms {sorted(unknown)}")
     unit_col = F.col(unit) if unit else F.lit(None).cast("string")
     d = (df.where(F.col(value).isNotNull() & F.col(period).isNotNull())
          .select(*keys, period, F.col(value).alias("original"), unit_col.alias("_unit")))
     d = d.withColumn("_n", F.count("*").over(whole_series(keys))).where(F.col("_n") >= min_points)
-    o = F.col("original")
-    base_period_col = F.lit(None).cast(d.schema[period].dataType)
-    if kind in ("base100", "log10_base100", "cum_change"):
-        d = d.withColumn("_b", _base_struct(period, "original", base_period).over(whole_series(keys)))
-        base, base_period_col = F.col("_b.v"), F.col("_b.p")
-        if kind == "base100":
-            t = o / base * 100
-        elif kind == "log10_base100":
-            t = log10_pos(o / base * 100)
-        else:
-            t = (o / base - 1) * 100
-        label = F.lit(AXIS_LABELS[kind])
-    elif kind == "original":
-        t, label, _ = display_scale(o, F.col("_unit"), keys)
-    elif kind == "log10":
-        t, label = log10_pos(o), F.lit(AXIS_LABELS[kind])
-    elif kind == "pct_change":
-        t, label = pct_change_expr("original", series_window(keys, period)), F.lit(AXIS_LABELS[kind])
-    else:  # zscore, population std; a constant series is omitted
-        ws = whole_series(keys)
-        sd = F.stddev_pop(o).over(ws)
-        t, label = F.when(sd > 0, (o - F.avg(o).over(ws)) / sd), F.lit(AXIS_LABELS[kind])
-    out = d.select(*keys, period, "original", finite(t).alias("transformed"),
-                   label.alias("axis_label"), base_period_col.alias("base_period"))
-    return out.where(F.col("transformed").isNotNull())
+    o, ws = F.col("original"), whole_series(keys)
+    no_base = F.lit(None).cast(d.schema[period].dataType)
+    if {"base100", "log10_base100", "cum_change"} & set(kinds):
+        d = d.withColumn("_b", _base_struct(period, "original", base_period).over(ws))
+    base = F.col("_b.v")
+    made, rows = {}, []
+    for i, kind in enumerate(kinds):
+        label, at = F.lit(AXIS_LABELS.get(kind)).cast("string"), no_base
+        if kind in ("base100", "log10_base100", "cum_change"):
+            t = {"base100": o / base * 100, "log10_base100": log10_pos(o / base * 100), "cum_change": (o / base - 1) * 100}[kind]
+            at = F.col("_b.p")
+        elif kind == "original":
+            t, label, _ = display_scale(o, F.col("_unit"), keys)
+        elif kind == "log10":
+            t = log10_pos(o)
+        elif kind == "pct_change":
+            t = pct_change_expr("original", series_window(keys, period))
+        else:  # zscore, population std; a constant series is omitted
+            sd = F.stddev_pop(o).over(ws)
+            t = F.when(sd > 0, (o - F.avg(o).over(ws)) / sd)
+        made |= {f"_t{i}": finite(t), f"_l{i}": label}
+        rows.append(F.struct(F.lit(kind).alias("kind"), F.col(f"_t{i}").alias("transformed"), F.col(f"_l{i}").alias("axis_label"), at.alias("base_period")))
+    out = d.withColumns(made).select(*keys, period, "original", F.inline(F.array(*rows)))
+    return out.where(F.col("transformed").isNotNull()).select(*keys, period, "original", "transformed", "axis_label", "base_period", "kind")
 
 
 def zscore(df: DataFrame, keys: Sequence[str], value: str, out: str | None = None,

@@ -15,16 +15,9 @@ from cadence.plans.registry import load_all
 
 
 def pb_transform_sweep(spark, sf):
-    """PB panel build + every series transform, one union."""
-    long = build_pb(spark, sf).long()
-    keys = ["c_nationkey", "metric"]
-    outs = [T.transform_series(long, keys, kind=k, base_period=dt.date(1996, 1, 1))
-            .withColumn("kind", F.lit(k))
-            for k in ("base100", "log10", "log10_base100", "pct_change", "cum_change", "zscore")]
-    u = outs[0]
-    for o in outs[1:]:
-        u = u.unionByName(o)
-    return u
+    """PB panel build + every series transform, from one window stage."""
+    kinds = ("base100", "log10", "log10_base100", "pct_change", "cum_change", "zscore")
+    return T.transform_kinds(build_pb(spark, sf).long(), ["c_nationkey", "metric"], kinds, base_period=dt.date(1996, 1, 1))
 
 
 def corr_and_lags(spark, sf):

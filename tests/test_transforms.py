@@ -146,3 +146,17 @@ def test_transform_warnings(spark):
     assert got[("zero", "zscore", T.WARN_ZERO_STD)] == 2 and got[("flat", "zscore", T.WARN_ZERO_STD)] == 2
     assert got[("one", "base100", T.WARN_FEW)] == 1
     assert ("neg", "base100", T.WARN_NO_BASE) not in got
+
+
+def test_kinds_together_equal_kinds_alone(spark):
+    rows_ = [(k, t, None if (t + len(k)) % 5 == 0 else float((t * 7) % 11 - (3 if k == "neg" else 0))) for k in ("a", "neg", "one") for t in range(1 if k == "one" else 14)]
+    rows_ += [("const", t, 4.0) for t in range(5)]
+    df = spark.createDataFrame(rows_, "k string, period int, value double")
+    kinds = list(T.TRANSFORMS)
+    together = T.transform_kinds(df, ["k"], kinds, base_period=3)
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    for kind in kinds:
+        alone = T.transform_series(df, ["k"], kind=kind, base_period=3)
+        assert alone.columns == ["k", "period", "original", "transformed", "axis_label", "base_period"]
+        assert rows(together.where(f"kind = '{kind}'").drop("kind")) == rows(alone)
