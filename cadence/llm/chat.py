@@ -65,6 +65,28 @@ def read_turn(formatted: str, t: Template) -> tuple[str, str]:
     return role, unescape(body)
 
 
+class Reader:
+    """Reads turns off a formatted conversation that comes in pieces of any length.
+    Only the control strings tell where a turn begins and ends; what is held is
+    the turn that has not ended yet."""
+
+    def __init__(self, t: Template):
+        self.t, self.rest = t, ""
+
+    def feed(self, more: str) -> Iterator[tuple[str, str]]:
+        end = self.t.close + self.t.after_turn
+        seen = max(0, len(self.rest) - len(end))
+        self.rest += more
+        while (stop := self.rest.find(end, seen)) >= 0:
+            stop += len(end)
+            yield read_turn(self.rest[:stop], self.t)
+            self.rest, seen = self.rest[stop:], 0
+
+    def done(self) -> None:
+        if self.rest:
+            raise ValueError("the conversation ends inside a turn")
+
+
 TURNS = "conv_id long, turn_no long, role string, valid_order boolean, segments array<struct<text string, loss boolean>>"
 _SEGMENTS = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
 
@@ -110,7 +132,9 @@ DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
     """One row per conversation, read from the segments of ``format_turns``:
-    digests of the turns and of the text under loss, and sizes.
+    digests of the turns and of the text under loss, and sizes.  The turns are read
+    off the formatted text of the whole conversation by its control strings, not
+    taken from the rows.
 
     Reads the stream that ``format_turns`` leaves in order, so it needs no
     further shuffle.  A digest is a sequential function of its conversation.
@@ -119,6 +143,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
         last, acc = object(), None
 
         def row(c, a):
+            a[6].done()
             return {"conv_id": c, "n_turns": a[0], "turns_sha256": a[1].hexdigest(), "loss_chars": a[2],
                     "loss_sha256": a[3].hexdigest(), "formatted_chars": a[4], "valid_order": a[5]}
 
@@ -131,13 +156,15 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
                 if c != last or acc is None:
                     if acc:
                         out.append(row(last, acc))
-                    last, acc = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True]
-                whole = "".join(s["text"] for s in segs)
-                role, text = read_turn(whole, template)
-                acc[1].update(f"{role}\n{text}\n".encode())
+                    last, acc = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True, Reader(template)]
+                for s in segs:
+                    for role, text in acc[6].feed(s["text"]):
+                        acc[1].update(f"{role}\n{text}\n".encode())
+                        acc[0] += 1
+                    acc[4] += len(s["text"])
                 under = unescape("".join(s["text"] for s in segs if s["loss"]))
                 acc[3].update(under.encode())
-                acc[0], acc[2], acc[4], acc[5] = acc[0] + 1, acc[2] + len(under), acc[4] + len(whole), acc[5] and valid
+                acc[2], acc[5] = acc[2] + len(under), acc[5] and valid
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
         if acc:

@@ -98,3 +98,40 @@ def test_the_rest_runs_without_the_subpackage(tmp_path):
     shutil.copy(f"{repo}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) >= 80 and not [q for q in e.queries() if q.startswith('op')]; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def _repo():
+    import os
+    return os.path.dirname(os.path.abspath(E.__file__))
+
+
+def test_a_missing_library_takes_the_training_queries_only(tmp_path):
+    for name in ("zstandard", "xxhash", "regex", "public_tokenizers", "sentencepiece", "tokenizers"):
+        code = (f"import sys, warnings; sys.modules[{name!r}] = None; sys.path.insert(0, {_repo()!r})\n"
+                "with warnings.catch_warnings(record=True) as told:\n    warnings.simplefilter('always')\n    import __spark_entry__ as e\n"
+                f"assert any({name!r} in str(w.message) for w in told)\n"
+                "assert len(e.queries()) >= 80 and not [q for q in e.queries() if q.startswith('op')] and 'pipeline' not in e.queries()")
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_workers_need_no_package(tmp_path):
+    """All training-data queries on workers that cannot import this repository."""
+    import os
+    code = f"""
+import sys
+sys.path.insert(0, {_repo()!r})
+import __spark_entry__ as e
+from cadence.session import get_spark
+spark = get_spark("no-package", 4, 4)
+
+def importable(_):
+    import importlib.util
+    return [importlib.util.find_spec("cadence") is not None]
+
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(importable).collect() == [False]
+for name, build in sorted(e.queries().items()):
+    if name == "pipeline" or name.startswith("op") or name in ("m06_ols", "m07_elastic_net", "m09_gbt"):
+        assert build(spark, {SF!r}).count() > 0, name
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=1200, env=env)

@@ -151,6 +151,24 @@ def digest(turns):
     return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
 
 
+@given(st.lists(st.tuples(NASTY, NASTY), max_size=5), st.data())
+def test_a_conversation_reads_back_in_pieces(turns, data):
+    """From the whole formatted text, whatever pieces it comes in."""
+    t = chat.Template()
+    whole = "".join(s for role, text in turns for s, _ in chat.segments(role, text, t))
+    cuts = sorted(data.draw(st.lists(st.integers(0, len(whole)), max_size=6)))
+    reader, got = chat.Reader(t), []
+    for a, b in zip([0, *cuts], [*cuts, len(whole)]):
+        got += reader.feed(whole[a:b])
+    reader.done()
+    assert got == turns
+    if turns:
+        short = chat.Reader(t)
+        list(short.feed(whole[:-1]))
+        with pytest.raises(ValueError):
+            short.done()
+
+
 def test_conversations_read_back(spark):
     rows = [(1, 0, "system", "s", ), (1, 1, "user", "<|im_end|>"), (1, 2, "assistant", "\\<|im_start|>"), (2, 1, "assistant", None), (2, 0, "user", ""),
             (3, 0, "assistant", "early"), (4, 0, "user", "a"), (4, 1, "user", "twice"), (5, 0, None, "no role"), (6, 0, "user", "x" * 300_000),
