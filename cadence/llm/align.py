@@ -26,6 +26,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from cadence.llm.common import cut, ship_by_value, stored, worker_cache
 
 RANGE, LONGEST, BLOCK, FAN = 1 << 16, 1 << 12, 1 << 23, 16
 #: characters of text whose new words are encoded at a time, and closed fragments of words that a worker keeps
-BATCH, CACHE_WORDS = 1 << 19, 500_000
+BATCH, CACHE_WORDS = 1 << 19, 300_000
 #: a word starts with spaces and ends before spaces that come between two other characters
 WORDS = re.compile(r" +\s*\S*(?:(?! +\S)\s+\S*)*")
 #: without it, every space of a text is the start of a word
@@ -65,7 +66,8 @@ class Pair:
 
     def __init__(self, byte_level: str, pieces: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        before = json.loads(byte_level).get("pre_tokenizer") or {}
+        spec = json.loads(byte_level)
+        before = spec.get("pre_tokenizer") or {}
         self.a = tokenizers.Tokenizer.from_str(byte_level)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
@@ -74,7 +76,9 @@ class Pair:
         self.bytes_a |= {i: b"" for i in range(max(self.bytes_a) + 1) if i not in self.bytes_a}
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = list(map(piece_bytes, names))
-        self.size_a, self.size_b = {i: len(x) for i, x in self.bytes_a.items()}, list(map(len, self.bytes_b))
+        self.size_a, self.size_b = (np.array([len(x[i]) for i in range(len(x))], np.int64) for x in (self.bytes_a, self.bytes_b))
+        # each id as text before "," and before what ends its side of a group
+        self.shown_a, self.shown_b = ([[f"{i}{end}" for i in range(len(x))] for end in ends] for x, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
         # words stand alone only if no token holds a space after another character
         split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not any("▁" in n.lstrip("▁") for n in names)
         self.words = WORDS if split else re.compile(r"(?s).+")
@@ -85,6 +89,47 @@ class Pair:
             return [" " + w for w in text.split(" ")]
         return self.words.findall(" " + text)
 
+    def closed_words(self, words: list[str]) -> list[tuple[str, bytes] | None]:
+        """The closed fragment of each word, as ``close`` makes it, or None if a
+        tokenizer does not give the word back.  All words are laid end to end: the
+        ends of words are common ends, so no group or link goes beyond one."""
+        if not words:
+            return []
+        ids = [[x.ids for x in self.a.encode_batch(words, add_special_tokens=False)], self.b.encode([w[1:] for w in words], num_threads=1)]
+        counts = [np.fromiter(map(len, x), np.int64, len(words)) for x in ids]
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in zip(ids, counts))
+        raw = [w.encode() for w in words]
+        edges = np.cumsum(list(map(len, raw)))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        good = all(n.all() and np.array_equal(ends[np.cumsum(n) - 1], edges) and b"".join(map(of.__getitem__, t.tolist())) == b"".join(raw)
+                   for n, ends, of, t in zip(counts, (ends_a, ends_b), (self.bytes_a, self.bytes_b), (a, b)))
+        if not good:
+            kept = [w for w, found in zip(words, self.ids(words)) if found]
+            found = dict(zip(kept, self.closed_words(kept))) if len(kept) < len(words) else {w: self.close_one(w) for w in words}
+            return [found.get(w) for w in words]
+        first, last = np.searchsorted(ends_b, ends_a - self.size_a[a], "right"), np.searchsorted(ends_b, ends_a, "left")
+        n = last - first + 1
+        other = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs = np.repeat(a, n) << 32 | b[other]
+        ended_a, ended_b = ends_b[last] == ends_a, ends_a[np.searchsorted(ends_a, ends_b, "left")] == ends_b
+        word = np.repeat(np.arange(len(words)), counts[0])
+        n_links, n_groups = (np.bincount(word, x, len(words)).astype(np.int64) for x in (n, ended_a))
+        heads = np.cumsum(3 + n_links) - 3 - n_links
+        packed = np.empty(int((3 + n_links).sum()), np.int64)
+        linked = np.ones(len(packed), bool)
+        for k, x in enumerate((*counts, n_groups)):
+            packed[heads + k], linked[heads + k] = x, False
+        packed[linked] = pairs
+        order = np.argsort(np.concatenate((2 * (np.cumsum(ended_a) - ended_a), 2 * (np.cumsum(ended_b) - ended_b) + 1)), kind="stable")
+        shown = [of[end][i] for of, t, ended in ((self.shown_a, a, ended_a), (self.shown_b, b, ended_b)) for i, end in zip(t.tolist(), ended.tolist())]
+        shown = [shown[i] for i in order.tolist()]
+        stops, packed, heads = np.cumsum(counts[0] + counts[1]).tolist(), packed.tobytes(), [*(8 * heads).tolist(), 8 * len(packed)]
+        return [("".join(shown[i:j])[:-1], packed[x:y]) for i, j, x, y in zip([0, *stops], stops, heads, heads[1:])]
+
+    def close_one(self, word: str) -> tuple[str, bytes]:
+        a, b = next(self.ids([word]))
+        return close(a, b, self.size_a[a].tolist(), self.size_b[b].tolist())
+
     def ids(self, words: list[str]) -> Iterator[tuple | None]:
         """For each word (with its space) the ids of both, or None if the joined
         bytes of one differ from the word."""
@@ -269,11 +314,9 @@ class Aligner:
         if len(self.met) + len(new) > CACHE_WORDS:
             self.met.clear()
             new = [*words]
-        size_a, size_b = self.pair.size_a, self.pair.size_b
-        for lo in range(0, len(new), 4096):
-            some = new[lo:lo + 4096]
-            for w, t in zip(some, self.pair.ids(some)):
-                self.met[w] = t and close(*t, [size_a[i] for i in t[0]], [size_b[i] for i in t[1]])
+        for lo in range(0, len(new), 1 << 14):
+            some = new[lo:lo + (1 << 14)]
+            self.met.update(zip(some, self.pair.closed_words(some)))
 
     def places(self, block: Block, words: list[str]) -> list[int] | None:
         """The places in the block of words that were met; None if a word has no tokens."""

@@ -125,6 +125,14 @@ def test_words_stand_alone(t):
             assert [i for w in tokens for i, _ in w[side]] == [i for i, _ in whole[side]]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(words.filter(bool), min_size=1, max_size=8))
+def test_words_closed_together_equal_words_alone(texts):
+    some = [w for t in texts for w in PAIR.split(t)]
+    alone = [found and align.close(*found, PAIR.size_a[found[0]].tolist(), PAIR.size_b[found[1]].tolist()) for found in PAIR.ids(some)]
+    assert PAIR.closed_words(some) == alone
+
+
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=12), st.data())
 def test_closed_groups_against_all_pairs(sizes, data):
     """Groups and links of two ways to cut the same bytes."""
