@@ -345,11 +345,20 @@ def _catalog_values_sql() -> str:
 REAL_METRICS = ["order_value_real", "line_revenue_real"]
 
 
-@register("p06_metric_resolution", S.with_(PA_MONEY_SQL, f"""
+REAL_SQL = [PA_MONEY_SQL, f"""
 pr AS (SELECT *, {_defl('order_value')} AS order_value_real, {_defl('line_revenue')} AS line_revenue_real FROM pam)""",
-                                           S.long_cte("prl", "pr", ["o_orderpriority"],
-                                                      list(PA_METRICS) + REAL_METRICS),
-                                           _catalog_values_sql()) + """
+            S.long_cte("prl", "pr", ["o_orderpriority"], list(PA_METRICS) + REAL_METRICS), _catalog_values_sql()]
+
+
+def resolved(spark, sf, use_real):
+    d = E.deflate(pa_money(spark, sf), {"order_value": "order_value_real",
+                                        "line_revenue": "line_revenue_real"}, "deflator")
+    metrics = list(PA_METRICS) + REAL_METRICS
+    long = to_long(d, ["o_orderpriority"], "period", metrics)
+    return P.resolve_metrics(long, catalog_df(spark), metrics, use_real=use_real)
+
+
+@register("p06_metric_resolution", S.with_(*REAL_SQL) + """
 SELECT prl.o_orderpriority, prl.period, prl.value, cat.label,
        CASE WHEN real_column IS NOT NULL THEN real_column ELSE "column" END AS "column",
        CASE WHEN real_column IS NOT NULL THEN COALESCE(real_unit, unit) ELSE unit END AS unit,
@@ -358,11 +367,15 @@ FROM prl JOIN cat ON prl.metric = CASE WHEN real_column IS NOT NULL THEN real_co
 def p06_metric_resolution(spark, sf):
     """Catalog labels resolved to real-terms series where available
     (broadcast catalog join), with unit and used-real flag."""
-    d = E.deflate(pa_money(spark, sf), {"order_value": "order_value_real",
-                                        "line_revenue": "line_revenue_real"}, "deflator")
-    metrics = list(PA_METRICS) + REAL_METRICS
-    long = to_long(d, ["o_orderpriority"], "period", metrics)
-    return P.resolve_metrics(long, catalog_df(spark), metrics, use_real=True)
+    return resolved(spark, sf, True)
+
+
+@register("p06_metric_resolution_original", S.with_(*REAL_SQL) + """
+SELECT prl.o_orderpriority, prl.period, prl.value, cat.label, "column", unit, false AS used_real
+FROM prl JOIN cat ON prl.metric = cat."column" """)
+def p06_metric_resolution_original(spark, sf):
+    """Catalog labels resolved to their original series."""
+    return resolved(spark, sf, False)
 
 
 @register("p07_period_range", S.with_(S.PA_WIDE) + """
