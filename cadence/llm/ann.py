@@ -30,7 +30,7 @@ from cadence.llm.common import ship_by_value, stored
 PROJECTIONS, SEED = 96, 11
 #: radii at which windows stop to count, on vectors of length one; after the last one, everything is verified
 RADII = (0.1, 0.2, 0.4, 0.6, 0.8, 0.9, 0.97, 1.03, 1.08, 1.13, 1.18, 1.24, 1.3)
-BLOCK, CHUNK, STEP = 8192, 4096, 256
+BLOCK, CHUNK, STEP = 8192, 1 << 16, 256
 
 
 def threshold(projections: int = PROJECTIONS, z: float = 1.3) -> int:
