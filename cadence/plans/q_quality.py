@@ -3,7 +3,6 @@ projections and filters (P)."""
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
