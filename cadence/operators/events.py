@@ -57,18 +57,18 @@ def overlay(events: DataFrame, panel: DataFrame, freq: str, period: str = "perio
             start: str = "start", end: str = "end", keys: Sequence[str] = (), series: Sequence[Sequence] | None = None) -> DataFrame:
     """Attach every event to each period of a series that it covers.
 
-    ``series`` are the key values of the series to draw the bands over; without
-    any the panel must hold one series, and a second row for a covered period
-    fails the query.  The panel is looked up once per distinct interval, clipped
-    to the panel's own periods, and the events are joined back to their interval;
-    a hot day is left to AQE's skew join.  The output has a row per event,
-    covered period and selected series."""
-    if series is None:
+    ``keys`` tell the panel's series apart: all of them are drawn over, or those
+    whose key values ``series`` selects.  Without keys the panel must hold one
+    series, and a second row for a covered period fails the query.  The panel is
+    looked up once per distinct interval, clipped to the panel's own periods, and
+    the events are joined back to their interval; a hot day is left to AQE's skew
+    join.  The output has a row per event, covered period and series."""
+    if series is not None:
+        panel = selected(panel, keys, series)
+    elif not keys:
         k = F.row_number().over(Window.partitionBy(period).orderBy(period))
         twice = F.raise_error(F.concat(F.lit("select the series to overlay: several rows for period "), F.col(period).cast("string")))
         panel = panel.withColumn("_k", k).where(F.when(F.col("_k") > 1, twice.cast("boolean")).otherwise(True)).drop("_k")
-    else:
-        panel = selected(panel, keys, series)
     ends = panel.select(F.struct(F.min(period).alias("lo"), F.max(period).alias("hi"))).scalar()
     spans = events.where(F.col(end) >= F.col(start)).select(start, end).distinct()
     covered = explode_intervals(spans, freq, start, end, period, (ends.getField("lo"), ends.getField("hi")))

@@ -77,16 +77,14 @@ ex AS (SELECT event_id, CAST(unnest(generate_series(start, "end", INTERVAL 1 DAY
               (date_diff('day', DATE '1970-01-01', start) + date_diff('day', DATE '1970-01-01', "end")) / 2.0 AS band_mid
        FROM ev WHERE "end" >= start)""") + """
 SELECT ex.event_id, ex.period, ex.band_mid, p.event_type, p.metric, p.value
-FROM ex JOIN pc_long p ON ex.period = p.period
-WHERE (p.event_type, p.metric) IN (('error', 'event_count'), ('purchase', 'value_sum'))""")
+FROM ex JOIN pc_long p ON ex.period = p.period""")
 def j05_interval_overlay(spark, sf):
-    """Every error interval attached to each day of the two series it is
-    drawn over (explode + equi-join, no theta join)."""
+    """Every error interval attached to each daily panel row it covers
+    (explode + equi-join, no theta join)."""
     pc = build_pc(spark, sf).long()
     ev = build_ev(spark, sf).select("event_id", "start", "end")
-    series = [("error", "event_count"), ("purchase", "value_sum")]
-    return EV.overlay(ev, pc, "day", keys=["event_type", "metric"], series=series).select("event_id", "period", "band_mid", "event_type",
-                                            "metric", "value")
+    return EV.overlay(ev, pc, "day", keys=["event_type", "metric"]).select("event_id", "period", "band_mid", "event_type",
+                                                                           "metric", "value")
 
 
 @register("j06_event_study", S.with_(S.EV, S.PC_LONG, """

@@ -8,6 +8,7 @@ from cadence.operators import compare as C
 from cadence.operators import events as EV
 from cadence.operators import scoring as SC
 from cadence.operators import summary as A
+from cadence.plans import q_joins as J
 from tests.conftest import rows
 
 EV_SCHEMA = "event_id int, start int, `end` int, category string, severity int"
@@ -65,6 +66,29 @@ def test_overlay_of_selected_series(spark):
         EV.overlay(ev, panel, "year").collect()
 
 
+def test_overlay_of_every_series(spark):
+    ev = spark.createDataFrame([(1, 2000, 2001), (2, 2001, 2001), (2, 2001, 2001), (3, 2002, 2001), (4, 2001, None)], "event_id int, start int, end int")
+    panel = spark.createDataFrame([(k, m, y, 1.0) for k in ("a", "b", None) for m in ("n", "users") for y in (1999, 2000, 2001)] + [("late", "n", 2001, None)],
+                                  "k string, m string, period int, value double")
+    got = EV.overlay(ev, panel, "year", keys=["k", "m"])
+    want = [(e, y, k, m) for e, y in [(1, 2000), (1, 2001), (2, 2001), (2, 2001)] for k in ("a", "b", None) for m in ("n", "users")]
+    want += [(e, 2001, "late", "n") for e in (1, 2, 2)]
+    assert sorted(rows(got, "event_id", "period", "k", "m"), key=str) == sorted(want, key=str)
+
+
+def test_overlay_query_covers_the_whole_panel(spark, tmp_path):
+    types = ("click", "error", "purchase")
+    recs = [(i, f"2024-01-0{1 + d} 05:00:00", t, 1.0 * i, i, "p") for i, (d, t) in enumerate((d, t) for d in range(4) for t in types)]
+    recs += [(100, None, "error", 1.0, 1, "p"), (None, "2024-01-01 00:00:00", "error", 1.0, 1, "p")]
+    table = spark.createDataFrame(recs, "event_id long, ts string, event_type string, value double, user_id long, props string")
+    table.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    got = rows(J.j05_interval_overlay(spark, str(tmp_path)), "event_id", "period", "event_type", "metric")
+    starts = {i: d for i, d in ((1, 0), (4, 1), (7, 2), (10, 3))}
+    want = [(i, dt.date(2024, 1, 1 + x), t, m) for i, d in starts.items() for x in range(d, min(d + i % 3, 3) + 1)
+            for t in types for m in ("n", "value_sum", "users")]
+    assert sorted(got) == sorted(want)
+
+
 def test_trend_summary_cagr_guard(spark):
     df = spark.createDataFrame([("a", 2000, 100.0), ("a", 2002, 121.0), ("n", 2000, -1.0),
                                 ("n", 2001, 2.0), ("z", 2000, 0.0), ("z", 2001, 3.0),
