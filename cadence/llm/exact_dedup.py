@@ -6,6 +6,12 @@ or more are then looked at again: each group gathers the distinct ones, which th
 map-side combine reduces to one per task unless hashes collide, so Spark compares
 the bytes.  The rows under a collided hash are matched by their texts.
 
+The rows of these groups are found by a 32-bit code of (hash, length).  A code takes
+4 bytes a group, so Spark sends them to the rows up to some two million groups, and no
+other text is shuffled; beyond its broadcast threshold each text is shuffled once.  A
+row that shares its code with such a group by chance is looked at too, which changes
+nothing: its own group has one text.
+
 A group may hold any share of the rows: it is combined before each shuffle, and
 the rows are joined back to its one row.
 """
@@ -48,9 +54,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = rows.select("id", "t", content_hash(F.col("t")).alias("h"), F.octet_length("t").alias("size"))
     sha = F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256")
     groups = stored(hashed.groupBy("h", "size").agg(*agg))
-    # written out, the keys' size is known when the join is planned: few of them are sent to the rows
-    several = stored(groups.filter("group_size > 1").select("h", "size"))
-    again = hashed.join(several, ["h", "size"], "left_semi")
+    # written out, the codes' size is known when the join is planned
+    code = F.hash("h", "size").alias("code")
+    several = stored(groups.filter("group_size > 1").select(code))
+    again = hashed.select("*", code).join(several, "code", "left_semi")
     collided = stored(again.groupBy("h", "size").agg(F.collect_set("t").alias("texts")).filter(F.size("texts") > 1).select("h", "size"))
     joined = hashed.select("id", "h", "size", sha).join(groups, ["h", "size"])
     if not collided.isEmpty():

@@ -48,6 +48,30 @@ def test_exact_dedup_compares_bytes_under_colliding_hashes(spark):
         (0, 0, 3), (1, 1, 2), (2, 0, 3), (3, 3, 1), (4, 1, 2), (5, 5, 1), (6, 0, 3)]
 
 
+def test_exact_dedup_sends_codes_of_groups_to_the_rows(spark, monkeypatch):
+    """Twenty bytes a group would exceed the threshold, and all texts be shuffled."""
+    plans, stored = [], exact_dedup.stored
+    monkeypatch.setattr(exact_dedup, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        df = spark.range(0, 12_000, 1, 3).selectExpr("id AS doc_id", "CASE WHEN id < 10000 THEN concat('text ', id % 5000) ELSE concat('own ', id) END AS text")
+        found = exact_dedup.exact_dedup(df).groupBy("group_size", "kept").count().collect()
+        assert {(r[0], r[1]): r[2] for r in found} == {(2, True): 5000, (2, False): 5000, (1, True): 2000}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    collisions = [p for p in plans if "collect_set" in p]
+    assert len(collisions) == 1 and "BroadcastHashJoin" in collisions[0] and "SortMergeJoin" not in collisions[0]
+
+
+def test_exact_dedup_of_groups_that_share_a_code(spark):
+    texts = spark.range(400_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("t"))
+    coded = texts.select("t", F.hash(exact_dedup.md5_128(F.col("t")), F.octet_length("t")).alias("code"))
+    a, b = coded.groupBy("code").agg(F.min("t"), F.max("t"), F.count("t").alias("n")).where("n > 1").first()[1:3]
+    got = exact_dedup.exact_dedup(docs(spark, [(1, a), (2, a), (3, b), (4, b + "x"), (5, b + "x")]))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got.collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (5, 4, 2)]
+
+
 def brute_lines(rows, k, words):
     """The rule itself: a line goes if any stretch over it that counts occurs earlier."""
     seqs = {i: [(n, x) for n, x in enumerate((t or "").split("\n")) if x.split()] for i, t in rows}
